@@ -4,31 +4,76 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acacia.llm import simhash, topk, urls
+from acacia.llm import decontaminate, licenses, mixing, pages, pii, repeats, simhash, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.fit(docs))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selected(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op6_simhash, op8_url_filter, op10_top_k)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_toxicity,
+        op3_license_scan,
+        op4_pii,
+        op5_html_extraction,
+        op6_simhash,
+        op7_mixing,
+        op8_url_filter,
+        op9_substring_dedup,
+        op10_top_k,
+    )
+}
 
 _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in urls.RULES)
 
 ORACLES = {
+    "op7_mixing": mixing.oracle(),
     "op8_url_filter": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULES}),
 rest AS (

@@ -28,14 +28,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
     have = _powers.get(0)
     if have is None or len(have[0]) < n:
-        size = max(n, _PIECE)
+        size = max(n, _PIECE + 1)
         tables = []
         for factor in (_BASE, _INVERSE):
             row = np.full(size, factor, np.uint64)
             row[0] = 1
             tables.append(np.multiply.accumulate(row))
         have = tuple(tables)
-        if n <= _PIECE:
+        if n <= _PIECE + 1:
             _powers[0] = have
     return have
 
