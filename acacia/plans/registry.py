@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from acacia.plans import catalog
+
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
