@@ -43,6 +43,8 @@ NOTICES = (
     ("all rights reserved", "proprietary"),
 )
 COVERAGE, DRIFT = 0.8, 3
+#: Template grams up to which they are sent to all tasks; beyond it the join is left to Spark.
+BROADCAST_GRAMS = 100_000
 
 _RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -105,7 +107,10 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
     phrases = [p for p, _ in (*base, *notices)]
     labels = [x for _, x in (*base, *notices)]
     templates = [p.encode().translate(ALNUM_TABLE).split() for p in phrases]
-    table = spark.createDataFrame(template_rows(phrases), "gram long, template int, position int")
+    rows = template_rows(phrases)
+    table = spark.createDataFrame(rows, "gram long, template int, position int")
+    if len(rows) <= BROADCAST_GRAMS:
+        table = F.broadcast(table)
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("doc_id").alias("key1"),
