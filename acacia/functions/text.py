@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def printed(x: pd.Series, digits: pd.Series) -> pd.Series:
     """A number with some decimals, rounded as C's printf does (on the exact binary value). For narrative edges only."""
     return pd.Series([None if pd.isna(v) else f"{v:.{int(n)}f}" for v, n in zip(x, digits, strict=True)])
