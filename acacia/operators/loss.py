@@ -131,9 +131,8 @@ def road_stats(roads: DataFrame, parks: DataFrame, cell_km: float = 0.5, buffer_
     Roads (park_id, points: array of lat, lon) are walked in steps of half a cell; every cell within the
     buffer of a step is roaded. The area is right to about a cell along the buffer's edge.
     """
-    pairs = roads.select("park_id", F.monotonically_increasing_id().alias("road"), F.posexplode("points").alias("i", "p"))
-    order = Window.partitionBy("park_id", "road").orderBy("i")
-    steps = pairs.select("park_id", "road", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), F.lag("p").over(order).alias("q")).where("q is not null")
+    legs = F.transform(F.sequence(F.lit(1), F.size("points") - 1), lambda i: F.struct(F.col("points")[i - 1].alias("q"), F.col("points")[i].alias("p")))
+    steps = roads.where(F.size("points") > 1).select("park_id", F.explode(legs).alias("leg")).select("park_id", F.col("leg.p.lat").alias("lat"), F.col("leg.p.lon").alias("lon"), F.col("leg.q").alias("q"))
     steps = steps.withColumn("km", geo.haversine_km("q.lat", "q.lon", "lat", "lon"))
     length = steps.groupBy("park_id").agg(F.sum("km").alias("road_length_km"))
     n = F.ceil(F.col("km") / (cell_km / 2)).cast("int")

@@ -77,11 +77,11 @@ def first_of_title(rows: DataFrame) -> DataFrame:
 
 
 def checklist(schema: DataFrame, status: DataFrame) -> DataFrame:
-    """Every item of the schema (category, item_id) for every park with a status, pending where there is none."""
-    parks = status.select("pa_id").distinct()
-    items = F.array_agg(F.struct("category", "item_id"))
-    wanted = parks.join(F.broadcast(schema.agg(items.alias("items")))).select("pa_id", F.inline("items"))  # one row with the whole schema
-    return wanted.join(status.select("pa_id", "item_id", "status"), ["pa_id", "item_id"], "left").fillna("pending", ["status"])
+    """Every item of the schema (category, item_id) for every park with a status, pending where there is none. The schema is one document and becomes an array."""
+    items = schema.agg(F.array_agg(F.struct("category", "item_id"))).first()[0]
+    wanted = F.array(*[F.struct(F.lit(i["category"]).alias("category"), F.lit(i["item_id"]).alias("item_id")) for i in items])
+    rows = status.select("pa_id").distinct().select("pa_id", F.inline(wanted))
+    return rows.join(status.select("pa_id", "item_id", "status"), ["pa_id", "item_id"], "left").fillna("pending", ["status"])
 
 
 def checklist_counts(status: DataFrame) -> DataFrame:
