@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acacia.functions import classify, geo, text
-from acacia.operators import clusters, effort, fires, loss, merge, narrative, search, spatial, tracks
+from acacia.functions import classify, geo, projection, text
+from acacia.operators import clusters, effort, fires, loss, marts, merge, narrative, search, spatial, tracks
 from acacia.plans import views
 from acacia.plans.views import view
 from acacia.sources import fires as fire_sources
@@ -770,3 +770,96 @@ SELECT user_id, count(*) AS points, CAST(epoch_us(min(ts)) AS BIGINT) AS start_u
 def patrol_sessions(spark, sf_dir):
     out = streams.patrol_sessions(views.read(spark, sf_dir, "events").select("user_id", "ts"))
     return out.select("user_id", "points", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"))
+
+
+# --- Combined results ----------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {views.TRACKS}, c AS (SELECT file, avg(lat) AS lat, avg(lon) AS lon, count(*) AS points FROM track_points GROUP BY 1)
+SELECT 'f' || CAST(s_suppkey * 2 AS VARCHAR) AS upload_id, round(lat, 6) AS lat, round(lon, 6) AS lon, points FROM supplier LEFT JOIN c ON file = 'f' || CAST(s_suppkey * 2 AS VARCHAR)"""
+)
+def uploads_with_centroids(spark, sf_dir):
+    uploads = views.read(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), (F.col("s_suppkey") * 2).cast("string")).alias("upload_id"))
+    out = marts.with_centroids(uploads, views.track_points(spark, sf_dir).withColumnRenamed("file", "upload_id"))
+    return out.select("upload_id", *_d("lat", "lon"), "points")
+
+
+@query(f"WITH {views.cte('places')} SELECT place_type, count(*) AS places, count(DISTINCT park_id) AS parks FROM places GROUP BY GROUPING SETS ((place_type), ())")
+def place_counts(spark, sf_dir):
+    return marts.place_counts(view(spark, sf_dir, "places"))
+
+
+@query(
+    """WITH b AS (SELECT s_suppkey AS park_id, CAST(s_suppkey % 37 AS DOUBLE) * 3e0 AS x, CAST(s_suppkey % 23 AS DOUBLE) * 5e0 AS y FROM supplier),
+t AS (SELECT DISTINCT r AS tile_row, c AS tile_col FROM b, range(0, 60) q(r), range(0, 60) w(c)
+  WHERE r BETWEEN CAST(trunc((200e0 - (y + 12)) / 20) AS INT) AND CAST(trunc((200e0 - y) / 20) AS INT) AND c BETWEEN CAST(trunc((x + 100) / 20) AS INT) AND CAST(trunc((x + 125) / 20) AS INT))
+SELECT CAST(tile_row AS INT) AS tile_row, CAST(tile_col AS INT) AS tile_col FROM t WHERE (tile_row + tile_col) % 3 <> 0"""
+)
+def missing_tiles(spark, sf_dir):
+    x, y = (F.col("s_suppkey") % 37).cast("double") * 3.0, (F.col("s_suppkey") % 23).cast("double") * 5.0
+    parks = views.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("park_id"), x.alias("x_min"), y.alias("y_min"), (x + 25).alias("x_max"), (y + 12).alias("y_max"))
+    tiles = marts.park_tiles(parks, -100.0, 200.0, 20.0)
+    have = tiles.select("tile_row", "tile_col").distinct().where((F.col("tile_row") + F.col("tile_col")) % 3 == 0)
+    return marts.required_tiles(tiles, have)
+
+
+@query(
+    """WITH p AS (SELECT s_suppkey AS p_id, CAST(s_suppkey % 37 AS DOUBLE) * 3e0 AS x, CAST(s_suppkey % 23 AS DOUBLE) * 5e0 AS y FROM supplier), t AS (SELECT n_nationkey AS t_id, CAST(n_nationkey % 5 AS DOUBLE) * 25e0 AS x, CAST(n_nationkey // 5 AS DOUBLE) * 25e0 AS y FROM nation)
+SELECT p_id, t_id FROM p JOIN t ON p.x < t.x + 25 AND p.x + 10 > t.x AND p.y < t.y + 25 AND p.y + 7 > t.y"""
+)
+def parks_of_tiles(spark, sf_dir):
+    def box(rows: DataFrame, i: str, x, y, w: float, h: float) -> DataFrame:
+        return rows.select(F.col(i).alias("id"), x.alias("x_min"), y.alias("y_min"), (x + w).alias("x_max"), (y + h).alias("y_max"))
+
+    s, n = F.col("s_suppkey"), F.col("n_nationkey")
+    parks = box(views.read(spark, sf_dir, "supplier"), "s_suppkey", (s % 37).cast("double") * 3.0, (s % 23).cast("double") * 5.0, 10.0, 7.0)
+    tiles = box(views.read(spark, sf_dir, "nation"), "n_nationkey", (n % 5).cast("double") * 25.0, F.floor(n / 5).cast("double") * 25.0, 25.0, 25.0)
+    return marts.overlapping(parks, tiles, 25.0).select("p_id", "t_id")
+
+
+@query(f"WITH {DET}, {views.IN_AREAS} SELECT event_id FROM located WHERE area_id IS NULL AND year(acq_date) = 2024 AND latitude BETWEEN 3 AND 8 AND longitude BETWEEN 20 AND 24")
+def fires_in_buffer(spark, sf_dir):
+    rows = spatial.first_area(view(spark, sf_dir, "detections"), views.areas(spark))
+    return marts.buffer_only(rows, 2024, (3, 8, 20, 24)).select("event_id")
+
+
+@query(
+    f"""WITH {views.cte("places")}, {views.LOSSES}, met AS (
+  SELECT l.park_id, year, p.name, power(p.lat - l.lat, 2) + power(p.lon - l.lon, 2) AS d, {views.haversine("l.lat", "l.lon", "p.lat", "p.lon")} AS km, p.id FROM losses l JOIN places p ON p.park_id = l.park_id AND abs(p.lat - l.lat) <= 3 AND abs(p.lon - l.lon) <= 3)
+SELECT park_id, year, name, round(km, 5) AS km FROM met QUALIFY row_number() OVER (PARTITION BY park_id, year ORDER BY d, id) = 1"""
+)
+def nearest_by_degrees(spark, sf_dir):
+    near = spatial.nearest_places(views.losses(spark, sf_dir), view(spark, sf_dir, "places"), ["park_id", "year"], 1, 3.0, by="degrees")
+    return near.select("park_id", "year", F.col("place_name").alias("name"), F.round("distance_km", 5).alias("km"))
+
+
+@query()
+def park_stats(spark, sf_dir):
+    roadless = view(spark, sf_dir, "parks").select("park_id", (F.col("area_km2") / 28).alias("roadless_percentage"))
+    out = marts.park_stats(view(spark, sf_dir, "parks"), views.infractions(spark, sf_dir), view(spark, sf_dir, "detections"), views.losses(spark, sf_dir), roadless, (1995, 2001))
+    return out.select("park_id", "total_groups", "total_fires", "peak_month", "worst_year", "loss_trend", F.array_join("insights", " | ").alias("insights"))
+
+
+@query()
+def recent_activity(spark, sf_dir):
+    uploads = views.read(spark, sf_dir, "orders").select(F.concat(F.lit("f"), (F.col("o_orderkey") % 100).cast("string")).alias("upload_id"), F.col("o_orderdate").alias("uploaded_at"))
+    uploads = uploads.groupBy("upload_id").agg(F.max("uploaded_at").alias("uploaded_at"))
+    return marts.recent_activity(uploads, views.track_points(spark, sf_dir).withColumnRenamed("file", "upload_id"), views.areas(spark)).select("upload_id", "uploaded_at", *_d("latitude", "longitude"), "area_id")
+
+
+@query(f"WITH {DET} SELECT event_id, round(latitude, 6) AS lat, round(longitude, 6) AS lon FROM detections")
+def equal_area_round_trip(spark, sf_dir):
+    """Detections to equal-area metres and back."""
+    xy = view(spark, sf_dir, "detections").select("event_id", projection.to_equal_area("latitude", "longitude").alias("p"))
+    back = xy.select("event_id", projection.from_equal_area("p.x", "p.y").alias("q"))
+    return back.select("event_id", F.round("q.lat", 6).alias("lat"), F.round("q.lon", 6).alias("lon"))
+
+
+@query()
+def track_lines(spark, sf_dir):
+    """Each track as a line: its length on the ellipsoid, and its points and length after simplification."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("pt_no", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    lines = views.track_points(spark, sf_dir).groupBy("file").agg(line.alias("line"))
+    out = lines.withColumn("less", projection.simplified("line", F.lit(0.01)))
+    return out.select("file", F.size("line").alias("points"), F.round(projection.line_km("line"), 5).alias("km"), F.size("less").alias("points_left"), F.round(projection.line_km("less"), 5).alias("km_left"))

@@ -83,3 +83,32 @@ def test_abstracts(spark):
     r = one(spark, text.abstract_text(index), F.octet_length(text.abstract_text(long)))
     assert r[0] == "a b  a" and r[1] == 1003
     assert one(spark, text.about_park(F.lit("On KRUGER"), F.lit(None).cast("string"), F.lit("Kruger National Park")))[0]
+
+
+def test_equal_area_known_points():
+    import numpy as np
+
+    from acacia.functions import projection
+
+    x, y = projection.mollweide(np.array([0.0, 90.0, -90.0, 0.0]), np.array([180.0, 10.0, 10.0, 0.0]))
+    assert np.allclose(x, [2 * np.sqrt(2) * projection.A, 0, 0, 0], atol=1e-2) and np.allclose(y, [0, np.sqrt(2) * projection.A, -np.sqrt(2) * projection.A, 0], atol=1e-2)
+    lat, lon = np.linspace(-89, 89, 50), np.linspace(-179, 179, 50)
+    back = projection.from_mollweide(*projection.mollweide(lat, lon))
+    assert np.allclose(back[0], lat) and np.allclose(back[1], lon)
+
+
+def test_geodesic_and_simplify():
+    import numpy as np
+
+    from acacia.functions import projection
+
+    d = projection.geodesic_m(np.array([0.0, 0.0, 1.0]), np.array([0.0, 0.0, 1.0]), np.array([0.0, 1.0, 1.0]), np.array([1.0, 0.0, 1.0]))
+    assert np.allclose(d, [111319.4908, 110574.3886, 0], atol=1e-3)
+    line = np.array([[0, 0], [0.0005, 1], [0, 2], [1, 3]], float)
+    assert projection.simplify(line, 0.001).tolist() == [True, False, True, True]
+
+
+def test_year_ranges():
+    from acacia.functions.params import year_range
+
+    assert year_range("2020") == (2020, 2020) and year_range("x", "2001", None, (2000, 2024)) == (2001, 2024) and year_range(None, "x", "y") == (1900, 2100)
