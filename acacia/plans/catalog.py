@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acacia.functions import classify, geo, projection, text
-from acacia.operators import clusters, effort, fires, loss, marts, merge, narrative, search, spatial, tracks
+from acacia.operators import clusters, components, effort, fires, loss, marts, merge, narrative, search, spatial, tracks
 from acacia.plans import views
 from acacia.plans.views import view
 from acacia.sources import fires as fire_sources
@@ -481,9 +481,9 @@ labelled AS (SELECT n, min(m) AS root FROM reach GROUP BY 1)"""
     + """ SELECT root AS first_pixel, count(*) AS pixels, CAST(max(r) - min(r) + 1 AS INT) AS height, CAST(max(c) - min(c) + 1 AS INT) AS width, CAST(sum(value) AS BIGINT) AS total FROM labelled JOIN p USING (n) GROUP BY 1 HAVING count(*) >= 3"""
 )
 def pixel_components(spark, sf_dir):
-    """Edge-connected components of the raster as one tile."""
+    """Edge-connected components of the raster, labelled in blocks and joined across their borders."""
     grid = view(spark, sf_dir, "pixels").where("value > 30").select(F.lit("all").alias("park_id"), "r", "c", "value")
-    labelled = clusters.pixel_components(grid, ["park_id"])
+    labelled = components.large_raster(grid, ["park_id"], 16)
     first = labelled.groupBy("component").agg(F.min(F.col("r") * 1000 + F.col("c")).alias("first_pixel"))
     return loss.component_metrics(labelled, ["park_id"], 3).join(first, "component").select("first_pixel", "pixels", "height", "width", "total")
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from acacia.operators import clusters, effort, loss, merge, search, spatial, tracks
+from acacia.operators import clusters, components, effort, loss, merge, search, spatial, tracks
 from acacia.sources import fires as fire_sources
 from acacia.sources import geodata, sinks
 
@@ -69,6 +69,17 @@ def test_pixels_touch_by_edges_or_corners():
     assert clusters.label_pixels(r, c, True).tolist() == [1, 1, 1, 2]
 
 
+@pytest.mark.parametrize("corners", [False, True])
+def test_components_are_not_cut_at_block_borders(spark, corners):
+    rnd = random.Random(8)
+    on = sorted((r, c) for r in range(20) for c in range(20) if rnd.random() < 0.55)
+    whole = clusters.label_pixels(np.array([p[0] for p in on]), np.array([p[1] for p in on]), corners)
+    rows = spark.createDataFrame([("t", r, c, 1) for r, c in on], "tile string, r int, c int, value int")
+    got = {(x.r, x.c): x.component for x in components.large_raster(rows, ["tile"], 4, corners).collect()}
+    pairs = {(int(a), got[p]) for a, p in zip(whole, on, strict=True)}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
 def track(spark, minutes):
     t0 = datetime(2024, 1, 15, 8)
     rows = [("f", 0, 0, i, 0.0, i * 0.01, t0 + timedelta(minutes=m) if m is not None else None, "") for i, m in enumerate(minutes)]
