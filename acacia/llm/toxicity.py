@@ -2,9 +2,9 @@
 
 Severity has ordered grades: 0 for documents labelled clean, and 1 to 3 for documents labelled
 toxic, by thirds of the number of words in them that mark the toxic class. The model has one weight
-for each word, shared by all thresholds, and one threshold for each grade above 0:
-``P(grade >= k) = sigmoid(weights . x - threshold_k)``. Words are the features, with value
-``1 + ln(count)``; proximal gradient steps with an L1 penalty keep few of them. A document's expected
+for each feature, shared by all thresholds, and one threshold for each grade above 0:
+``P(grade >= k) = sigmoid(weights . x - threshold_k)``. Words and
+beginnings of words are the features, with value ``1 + ln(count)``; proximal gradient steps with an L1 penalty keep few of them. A document's expected
 severity is the sum of ``P(grade >= k)``, and it is rejected if grade 1 or more is likelier than not.
 
 The model is fitted on a sample of labelled documents of at most ``SAMPLE`` distinct texts, chosen by
@@ -29,52 +29,113 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acacia.llm.words import ALNUM_TABLE
+from acacia.llm.work import written
 
-SAMPLE, GRADES = 12_000, 3
+SAMPLE, GRADES = 10_000, 3
 #: L1 penalty on the weights of scaled features while words are chosen.
 PENALTY = 0.06
-#: Words in fewer sampled documents than this are no features.
+#: Words and beginnings in fewer sampled documents than this are no features.
 LEAST_DOCUMENTS = 4
 
 
+#: Bytes of a word that make a beginning, which is a feature of its own: inflected words share it.
+BEGINNINGS = (4, 5, 6)
+_MARK = b"^"  # no word has it
+
+
+def features(text: bytes) -> Counter:
+    """How often each word, and each beginning of a longer word, is in a text."""
+    words = Counter(text.translate(ALNUM_TABLE).split())
+    out = Counter(words)
+    for word, n in words.items():
+        for k in BEGINNINGS:
+            if len(word) <= k:
+                break
+            out[_MARK + word[:k]] += n
+    return out
+
+
 @dataclass
 class Ordinal:
     weights: dict[bytes, float]
     thresholds: list[float]
 
+    def __post_init__(self) -> None:
+        self.begun = [(k, {w[1:]: w for w in self.weights if w[:1] == _MARK and len(w) == k + 1}) for k in BEGINNINGS]
+        self.begun = [(k, known) for k, known in self.begun if known]
+
     def reach(self, text: bytes | None) -> list[float]:
         """P(grade >= k) for k from 1 on."""
         if not self.thresholds:
             return []
-        known = self.weights
         counts: dict[bytes, int] = {}
-        for word in (text or b"").translate(ALNUM_TABLE).split():
-            if word in known:
-                counts[word] = counts.get(word, 0) + 1
-        z = sum(known[w] * (1 + math.log(n)) for w, n in counts.items())
+        for word, n in Counter((text or b"").translate(ALNUM_TABLE).split()).items():
+            if word in self.weights:
+                counts[word] = counts.get(word, 0) + n
+            for k, known in self.begun:
+                if len(word) > k and (name := known.get(word[:k])) is not None:
+                    counts[name] = counts.get(name, 0) + n
+        z = sum(self.weights[w] * (1 + math.log(n)) for w, n in counts.items())
         return [1 / (1 + math.exp(max(-500.0, min(500.0, t - z)))) for t in self.thresholds]
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[bytes, int]]:
-    """Texts and toxic flags of labelled documents; repeated texts once; ``most`` at most."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """Texts and toxic flags of labelled documents, written; repeated texts once; ``most`` documents at most."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    table = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").toArrow()  # a bounded sample
-    seen: dict[bytes, int] = {}
-    for text, toxic in zip(table["text"].to_pylist(), table["toxic"].to_pylist(), strict=True):
-        seen[text] = max(seen.get(text, 0), int(toxic > 0))
-    return sorted(seen.items())
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg((F.max("toxic") > 0).cast("int").alias("toxic"))  # chosen is bounded
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "text", "toxic"), "sample")
+
+
+def counted(rows: DataFrame, words: list[bytes]) -> DataFrame:
+    """row, word and count of some features in the sample."""
+    known = frozenset(words)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[], [], []]
+            for row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for word, n in features(text).items():
+                    if word in known:
+                        for column, x in zip(columns, (row, word, n), strict=True):
+                            column.append(x)
+            kinds = (pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "word", "n"])
 
-def grades_of(counts: list[Counter], toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    return rows.select("row", "text").mapInArrow(run, "row long, word binary, n long")
+
+
+_SUMS = "word binary, slope double, square double, with_toxic long, with_clean long"
+
+
+def screened(rows: DataFrame, sizes: dict[int, int], penalty: float) -> tuple[list[bytes], list[bool]]:
+    """Features whose scaled slope at zero reaches half the penalty, and whether they mark the toxic class."""
+    half = {y: 0.5 / n for y, n in sizes.items()}  # the classes weigh the same
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[bytes, list] = {}
+            for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for word, n in features(text).items():
+                    row = sums.setdefault(word, [0.0, 0.0, 0, 0])
+                    value = 1 + math.log(n)
+                    row[0] += half[toxic] * value * (0.5 - toxic)
+                    row[1] += half[toxic] * value * value
+                    row[2 if toxic else 3] += 1
+            kinds = (pa.float64(), pa.float64(), pa.int64(), pa.int64())
+            columns = [pa.array(list(sums), pa.binary()), *(pa.array([v[i] for v in sums.values()], k) for i, k in enumerate(kinds))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SUMS.split(", ")])
+
+    sums = rows.select("toxic", "text").mapInArrow(run, _SUMS).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("slope", "square", "with_toxic", "with_clean")])
+    marks = F.col("with_toxic") / sizes[1] > 4 * (F.col("with_clean") + 1) / sizes[0]
+    found = sums.where(F.col("with_toxic") + F.col("with_clean") >= LEAST_DOCUMENTS).where(F.abs(F.col("slope")) / F.sqrt("square") >= penalty / 2)
+    kept = found.select("word", marks.alias("marks")).orderBy("word").collect()
+    return [bytes(r["word"]) for r in kept], [r["marks"] for r in kept]
+
+
+def grades_of(hits: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """Severity grades: toxic documents by how many of their words mark the class."""
-    has = [Counter(), Counter()]
-    for c, y in zip(counts, toxic.tolist(), strict=True):
-        has[y].update(c.keys())
-    sizes = [max(1, int((toxic == y).sum())) for y in (0, 1)]
-    marking = {w for w, n in has[1].items() if n >= LEAST_DOCUMENTS and n / sizes[1] > 4 * (has[0][w] + 1) / sizes[0]}
-    hits = np.array([sum(n for w, n in c.items() if w in marking) for c in counts])
     out = np.zeros(len(toxic), np.int64)
     at = np.flatnonzero(toxic)
     if len(at):
@@ -115,43 +176,40 @@ def _only(features: tuple[np.ndarray, np.ndarray, np.ndarray], kept: np.ndarray)
     return features[0][on], number[features[1][on]], features[2][on]
 
 
-def fit_rows(rows: list[tuple[bytes, int]], grades: int = GRADES, penalty: float = PENALTY, rounds: int = 400) -> Ordinal:
-    """Three steps: words whose slope at zero reaches half the penalty; of these the ones the penalty leaves; and their weights without it."""
-    toxic = np.array([y for _, y in rows], np.int64)
-    if not len(toxic) or toxic.min() == toxic.max():
-        return Ordinal({}, [])
-    counts = [Counter(t.translate(ALNUM_TABLE).split()) for t, _ in rows]
-    grade = grades_of(counts, toxic, grades)
-    frequency: Counter = Counter()
-    for c in counts:
-        frequency.update(c.keys())
-    words = sorted(w for w, n in frequency.items() if n >= LEAST_DOCUMENTS)
-    vocabulary = {w: i for i, w in enumerate(words)}
-    cells = [(vocabulary[w], n) for c in counts for w, n in c.items() if w in vocabulary]
-    sizes = [sum(w in vocabulary for w in c) for c in counts]
-    features = (
-        np.repeat(np.arange(len(rows)), sizes),
-        np.fromiter((w for w, _ in cells), np.int64, len(cells)),
-        1 + np.log(np.fromiter((n for _, n in cells), np.float64, len(cells))),
-    )
+def fit_cells(toxic: np.ndarray, row: np.ndarray, column: np.ndarray, n: np.ndarray, words: list[bytes], marks: list[bool], grades: int = GRADES, penalty: float = PENALTY, rounds: int = 400) -> Ordinal:
+    """The words that the penalty leaves, and their weights without it, from counts ``n`` of words (columns) in documents (rows)."""
+    hits = np.bincount(row, n * np.asarray(marks, bool)[column], minlength=len(toxic)) if len(row) else np.zeros(len(toxic))
+    grade = grades_of(hits, toxic, grades)
     levels = [k for k in range(1, grades + 1) if (grade >= k).any()]
     target = np.stack([grade >= k for k in levels], axis=1).astype(float)
-    balance = np.where(toxic == 1, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean())) / len(toxic)
+    balance = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum()))
+    value = 1 + np.log(n)
     # Scaled to one size, a rare word that marks a class stands out from frequent words.
-    scale = 1 / np.sqrt(np.maximum(np.bincount(features[1], features[2] ** 2 * balance[features[0]], minlength=len(words)), 1e-12))
-    features = (features[0], features[1], features[2] * scale[features[1]])
-    slope = np.bincount(features[1], features[2] * ((0.5 - target[:, 0]) * balance)[features[0]], minlength=len(words))
-    for chosen in (np.abs(slope) >= penalty / 2, None):
-        if chosen is None:
-            weights, _ = _descend(features, len(words), target, balance, penalty, rounds)
-            chosen = weights != 0
-        features, scale, words = _only(features, chosen), scale[chosen], [w for w, yes in zip(words, chosen, strict=True) if yes]
-    weights, thresholds = _descend(features, len(words), target, balance, 0.0, rounds)
+    scale = 1 / np.sqrt(np.maximum(np.bincount(column, value**2 * balance[row], minlength=len(words)), 1e-12))
+    features = (row, column, value * scale[column])
+    weights, _ = _descend(features, len(words), target, balance, penalty, rounds)
+    chosen = weights != 0
+    features, scale, words = _only(features, chosen), scale[chosen], [w for w, yes in zip(words, chosen, strict=True) if yes]
+    weights, thresholds = _descend(features, len(words), target, balance, 0.0, 10 * rounds)
     return Ordinal({w: float(x) for w, x in zip(words, weights * scale, strict=True)}, thresholds.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Ordinal:
-    return fit_rows(sample(docs, labels, most))
+    """Words are counted and screened over the sample in Spark; what is fitted on are the few that pass."""
+    rows = sample(docs, labels, most)
+    flags = {r["row"]: r["toxic"] for r in rows.select("row", "toxic").collect()}
+    sizes = dict(Counter(flags.values()))
+    if len(sizes) < 2:
+        return Ordinal({}, [])
+    words, marks = screened(rows, sizes, PENALTY)
+    cells = counted(rows, words).toArrow()
+    place = {r: i for i, r in enumerate(sorted(flags))}
+    number = {w: i for i, w in enumerate(words)}
+    row = np.array([place[r] for r in cells["row"].to_pylist()], np.int64)
+    column = np.array([number[w] for w in cells["word"].to_pylist()], np.int64)
+    order = np.lexsort((column, row))
+    toxic = np.array([flags[r] for r in sorted(flags)], np.int64)
+    return fit_cells(toxic, row[order], column[order], np.asarray(cells["n"], np.float64)[order], words, marks)
 
 
 def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
