@@ -40,13 +40,13 @@ def peak_month(fires: DataFrame) -> DataFrame:
 
 def hotspots(fires: DataFrame, least: int = 10, most: int = 10) -> DataFrame:
     """Each park's tenth-degree cells with most fires, and their share of the park's fires."""
-    total = fires.groupBy("park_id").agg(F.count(F.lit(1)).alias("park_fires"))
     cells = fires.groupBy("park_id", F.round("latitude", 1).alias("lat_bucket"), F.round("longitude", 1).alias("lon_bucket")).agg(
         F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), F.count(F.lit(1)).alias("fires")
-    ).where(F.col("fires") >= least)
-    order = Window.partitionBy("park_id").orderBy(F.desc("fires"), "lat_bucket", "lon_bucket")
-    ranked = cells.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    return ranked.join(total, "park_id").withColumn("percentage", F.col("fires") / F.col("park_fires") * 100)
+    )
+    park = Window.partitionBy("park_id")
+    order = park.orderBy(F.desc("fires"), "lat_bucket", "lon_bucket")
+    ranked = cells.withColumn("park_fires", F.sum("fires").over(park)).where(F.col("fires") >= least).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return ranked.withColumn("percentage", F.col("fires") / F.col("park_fires") * 100)
 
 
 def weekly_front(fires: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Points in areas and nearest places.
 
 Both joins are equi-joins on one-degree cells: an area is spread over the cells of its box, and a
-point meets one row with all areas of its cell. No pair is made that does not share a cell, and no
-side has to be broadcast, though Spark will do so for a small one.
+point meets one row with all areas of its cell. No pair is made that does not share a cell. Areas are
+sent to all tasks where a count of their corners shows that they are few, so that points stay where
+they are; beyond that both sides are dealt by cell.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from acacia.functions import geo
 
 
+#: Corners of all areas up to which they are sent to all tasks.
+BROADCAST_CORNERS = 500_000
+
+
 def edges(rings) -> Column:
     """Edges of all rings ([lon, lat] pairs); rings that are not closed are closed."""
 
@@ -65,7 +70,11 @@ def cells_of_areas(areas: DataFrame, buffered: bool = True) -> DataFrame:
     rows = F.sequence(F.floor(F.col("box.lat_min") - d), F.floor(F.col("box.lat_max") + d))
     columns = F.sequence(F.floor(F.col("box.lon_min") - d), F.floor(F.col("box.lon_max") + d))
     spread = with_edges(areas).withColumn("cell_lat", F.explode(rows)).withColumn("cell_lon", F.explode(columns))
-    return spread.groupBy("cell_lat", "cell_lon").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "buffer_km", "box", "edges"))).alias("areas"))
+    cells = spread.groupBy("cell_lat", "cell_lon").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "buffer_km", "box", "edges"))).alias("areas"))
+    # An area's corners go into every cell of its box; both numbers together bound the table.
+    copies = F.sum(F.size(F.flatten("rings")).cast("long") * F.size(rows) * F.size(columns))
+    size = with_edges(areas).agg(copies).first()[0] or 0
+    return F.broadcast(cells) if size <= BROADCAST_CORNERS else cells
 
 
 def first_area(points: DataFrame, areas: DataFrame, buffered: bool = True, name: str = "area_id") -> DataFrame:
@@ -101,11 +110,12 @@ def areas_near(points: DataFrame, boxes: DataFrame, name: str = "park_id") -> Da
 
 def nearest_places(
     queries: DataFrame, places: DataFrame, key: list[str], k: int = 1, reach: float = 1.0, types: list[str] | None = None,
-    max_km: float | None = None, per_type: bool = False, by: str = "haversine", same_park: bool = True,
+    max_km: float | None = None, per_type: bool = False, by: str = "haversine", same_park: bool = True, outer: bool = False,
 ) -> DataFrame:
     """The k nearest places of each query (key columns, lat, lon and park_id), within ``reach`` degrees on either axis.
 
-    ``by`` orders by "haversine", "equirect" or "degrees"; ties go to the smaller place id.
+    ``by`` orders by "haversine", "equirect" or "degrees"; ties go to the smaller place id. With ``outer`` a
+    query without a place stays, with nulls.
     """
     wanted = places if types is None else places.where(F.col("place_type").isin(*types))
     wanted = wanted.select(
@@ -119,8 +129,8 @@ def nearest_places(
     on = [spread["cell_lat"] == wanted["cell_lat"], spread["cell_lon"] == wanted["cell_lon"]]
     if same_park:
         on.append(spread["park_id"] == wanted["place_park"])
-    met = spread.join(wanted, on).drop("cell_lat", "cell_lon", "step_lat", "step_lon")
-    met = met.where((F.abs(F.col("place_lat") - F.col("lat")) <= reach) & (F.abs(F.col("place_lon") - F.col("lon")) <= reach))
+    on += [F.abs(F.col("place_lat") - F.col("lat")) <= reach, F.abs(F.col("place_lon") - F.col("lon")) <= reach]
+    met = spread.join(wanted, on, "left" if outer else "inner").drop("cell_lat", "cell_lon", "step_lat", "step_lon")
     formula = geo.equirect_km if by == "equirect" else geo.haversine_km
     met = met.withColumn("distance_km", formula("lat", "lon", "place_lat", "place_lon"))
     order = F.col("distance_km")
@@ -128,5 +138,6 @@ def nearest_places(
         order = (F.col("place_lat") - F.col("lat")) * (F.col("place_lat") - F.col("lat")) + (F.col("place_lon") - F.col("lon")) * (F.col("place_lon") - F.col("lon"))
     if max_km is not None:
         met = met.where(F.col("distance_km") <= max_km)
-    ranked = Window.partitionBy(*key, *(["place_type"] if per_type else [])).orderBy(order, "place_id")
-    return met.withColumn("place_rank", F.row_number().over(ranked)).where(F.col("place_rank") <= k)
+    ranked = Window.partitionBy(*key, *(["place_type"] if per_type else [])).orderBy(order.asc_nulls_last(), "place_id")
+    out = met.withColumn("place_rank", F.row_number().over(ranked)).where(F.col("place_rank") <= k)
+    return out.where("place_id is not null or place_rank = 1") if outer else out

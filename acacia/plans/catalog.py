@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acacia.functions import classify, geo, projection, text
@@ -57,14 +57,12 @@ FROM spots LEFT JOIN (SELECT * FROM near WHERE place = 1) USING (area_id, lat_bu
 def flagship_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which tenth-degree cells of each area have ten fires or more, their share, and the nearest named place."""
     found = spatial.first_area(view(spark, sf_dir, "detections"), views.areas(spark)).where("area_id is not null")
-    total = found.groupBy("area_id").agg(F.count(F.lit(1)).alias("area_fires"))
+    key = ["area_id", "lat_bucket", "lon_bucket"]
     spots = found.groupBy("area_id", F.round("latitude", 1).alias("lat_bucket"), F.round("longitude", 1).alias("lon_bucket")).agg(
         F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), F.count(F.lit(1)).alias("fires")
-    ).where("fires >= 10")
-    key = ["area_id", "lat_bucket", "lon_bucket"]
-    near = spatial.nearest_places(spots, view(spark, sf_dir, "places"), key, same_park=False).select(*key, F.col("place_name").alias("nearest_place"))
-    joined = spots.join(near, key, "left").join(total, "area_id")
-    return joined.select(*key, "fires", F.round(F.col("fires") * 100.0 / F.col("area_fires"), 6).alias("percentage"), "nearest_place")
+    ).withColumn("area_fires", F.sum("fires").over(Window.partitionBy("area_id"))).where("fires >= 10")
+    near = spatial.nearest_places(spots, view(spark, sf_dir, "places"), key, same_park=False, outer=True)
+    return near.select(*key, "fires", F.round(F.col("fires") * 100.0 / F.col("area_fires"), 6).alias("percentage"), F.col("place_name").alias("nearest_place"))
 
 
 @query(f"WITH {DET}, {views.IN_AREAS} SELECT event_id, area_id FROM located")
