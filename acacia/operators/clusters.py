@@ -7,6 +7,7 @@ Point sets and clusters come in a fixed order, on which ties and border points d
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -14,38 +15,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _close(a: np.ndarray, b: np.ndarray, eps: float, rows: int = 1 << 20) -> bool:
+    """Whether a point of ``a`` lies within ``eps`` of one of ``b``; looked at in blocks, and no further than the first hit."""
+    step = max(1, rows // max(1, len(b)))
+    return any((((a[i : i + step, None] - b[None]) ** 2).sum(axis=2) <= eps * eps).any() for i in range(0, len(a), step))
+
+
 def dbscan(points: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Labels from 0 in the order of each cluster's first core point; noise is -1. A point counts among its own neighbours."""
+    """Labels from 0 in the order of each cluster's first core point; noise is -1. A point counts among its own neighbours.
+
+    Points are put into cells within which all are neighbours. Cells of ``least`` points or more hold core
+    points only, so that dense places need no pairs; a cluster is a component of cells with core points near
+    each other, and a border point belongs to the first cluster it is near.
+    """
     n, dims = points.shape
     labels = np.full(n, -1)
     if not n:
         return labels
-    cell = np.floor(points / eps).astype(np.int64)
-    members = {}
+    side = eps / np.sqrt(dims) * (1 - 1e-9)
+    cell = np.floor((points - points.min(axis=0)) / side).astype(np.int64)
+    members: dict[tuple, list[int]] = {}
     for i, c in enumerate(map(tuple, cell.tolist())):
         members.setdefault(c, []).append(i)
-    steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * dims, indexing="ij"), -1).reshape(-1, dims)
+    inside = {c: np.array(own) for c, own in members.items()}
+    reach = int(np.ceil(np.sqrt(dims) + 1e-6))
+    steps = [s for s in np.stack(np.meshgrid(*[range(-reach, reach + 1)] * dims, indexing="ij"), -1).reshape(-1, dims).tolist() if any(s)]
 
-    def neighbours(i: int) -> np.ndarray:
-        near = [j for s in steps for j in members.get(tuple((cell[i] + s).tolist()), ())]
-        near = np.sort(np.array(near))
-        return near[((points[near] - points[i]) ** 2).sum(axis=1) <= eps * eps]
+    beside: dict[tuple, list[tuple]] = {}
 
-    around = [neighbours(i) for i in range(n)]
-    core = np.array([len(a) >= least for a in around])
-    label = 0
-    for i in np.flatnonzero(core):
-        if labels[i] >= 0:
+    def around(c: tuple) -> list[tuple]:
+        if c not in beside:
+            beside[c] = [d for s in steps if (d := tuple(map(add, c, s))) in inside]
+        return beside[c]
+
+    core = np.zeros(n, bool)
+    for c, own in inside.items():
+        if len(own) >= least:
+            core[own] = True
             continue
-        labels[i] = label
-        stack = [int(i)]
-        while stack:
-            for j in around[stack.pop()]:
-                if labels[j] < 0:
-                    labels[j] = label
-                    if core[j]:
-                        stack.append(int(j))
-        label += 1
+        near = np.concatenate([own, *(inside[d] for d in around(c))])
+        for i in own:
+            core[i] = (((points[near] - points[i]) ** 2).sum(axis=1) <= eps * eps).sum() >= least
+    cores = {c: own[core[own]] for c, own in inside.items() if core[own].any()}
+    parent = {c: c for c in cores}
+
+    def root(c: tuple) -> tuple:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    for c, own in cores.items():
+        for d in around(c):
+            if d > c and d in cores and root(c) != root(d) and _close(points[own], points[cores[d]], eps):
+                parent[root(d)] = root(c)
+    number: dict[tuple, int] = {}
+    for i in np.flatnonzero(core):
+        labels[i] = number.setdefault(root(tuple(cell[i].tolist())), len(number))
+    for i in np.flatnonzero(~core):
+        c = tuple(cell[i].tolist())
+        near = [cores[d] for d in (c, *around(c)) if d in cores]
+        if near:
+            near = np.concatenate(near)
+            near = near[((points[near] - points[i]) ** 2).sum(axis=1) <= eps * eps]
+            if len(near):
+                labels[i] = labels[near].min()
     return labels
 
 
