@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acacia.llm.words import IS_SPACED, Words, mixed, paired
+from acacia.llm.words import IS_SPACED, Words, mixed, paired, pieces
 from acacia.llm.work import partitions, written
 
 WINDOW, ROUNDS = 35, 4
@@ -230,7 +230,7 @@ def shared_symbols(docs: DataFrame, buckets: int, rounds: int) -> DataFrame:
     """For each text with any, one bit for each of its symbols: whether it occurs elsewhere."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, 2)):
             parse = Parse(Words(batch.column(2), IS_SPACED, False), rounds)
             sizes = np.bincount(parse.text, minlength=batch.num_rows)
             yield _packed(parse.names, np.zeros(len(parse.names), np.uint32), buckets, _head(batch.column(0), batch.column(1), sizes))
@@ -250,7 +250,7 @@ def covered_words(docs: DataFrame, symbols: DataFrame, buckets: int, rounds: int
     """For each text with any, the spans of words that repeated windows cover, as flat 64-bit borders."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, 2)):
             parse = Parse(Words(batch.column(2), IS_SPACED, False), rounds, edges=True)
             sizes = np.bincount(parse.text, minlength=batch.num_rows)
             shared = np.zeros(len(parse.names), bool)

@@ -8,8 +8,11 @@ above 0x7F.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BYTES = np.arange(256, dtype=np.uint8)
 IS_ALNUM = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x41) & (_BYTES <= 0x5A)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)
@@ -72,6 +75,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def pieces(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text, a row at least, so that arrays over all words stay small."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+    part = np.cumsum(lengths) // most
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    for a, b in zip(first, [*first[1:], len(part)], strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
 class Words:
     """Spans of the words of several texts, in order.
 
