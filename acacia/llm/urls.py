@@ -26,6 +26,9 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
+#: Rules up to which they are sent to all tasks; beyond it the join is left to Spark.
+BROADCAST_RULES = 100_000
+
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.createDataFrame(list(rules), "host string, path string, verdict string")
@@ -36,6 +39,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     widest = rules.agg(
         F.coalesce(F.max(F.length("path")), F.lit(0)).alias("chars"),
         F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(1)).alias("labels"),
+        F.count(F.lit(1)).alias("rules"),
     ).first()
     rest = F.expr("CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END")
     located = (
@@ -78,6 +82,8 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
         )
         .withColumn("rule_short", F.substring("rule_digest", 1, 8))
     )
+    if widest["rules"] <= BROADCAST_RULES:
+        known = F.broadcast(known)
     met = expanded.join(known, F.col("short") == F.col("rule_short"), "left")
     confirmed = F.when(F.col("digest") == F.col("rule_digest"), F.col("found"))
     best = met.groupBy("row", "page_id", "host", "path").agg(F.max(confirmed).alias("best"))
