@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acacia.llm.work import written
+from acacia.operators.components import connected
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a tile at most (on average, where a population count needs several tiles).
@@ -194,28 +195,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return packed.join(sides, ["ones", "part"]).select("meeting", "side", "prints").groupBy("meeting").applyInArrow(meet, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) to (print, root) by star contraction: large stars, then small stars, until nothing changes."""
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.min("b").alias("low")), "low").select(F.col("a").alias("at"), F.least("a", "low").alias("low"))
-        large = both.join(low, F.col("a") == F.col("at")).where("b > a").select(F.col("low").alias("a"), "b")
-        large = written(large.where("a <> b").distinct(), "large")
-        low = written(large.groupBy("b").agg(F.min("a").alias("low")), "low").select(F.col("b").alias("at"), "low")
-        met = large.join(low, F.col("b") == F.col("at"))
-        small = met.select(F.col("low").alias("a"), "b").unionByName(met.where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b")))
-        small = written(small.distinct(), "small")
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
-            return small.select(F.col("b").alias("print"), F.col("a").alias("root"))
-        edges = small
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = written(fingerprints(docs), "prints")
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = written(components(links(nodes.select("print"), radius, tile)), "roots")
+    roots = written(connected(links(nodes.select("print"), radius, tile)).withColumnRenamed("node", "print"), "roots")
     whole = roots.unionByName(roots.select(F.col("root").alias("print"), "root")).distinct()
     known = whole.join(nodes, "print")
     smallest = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")

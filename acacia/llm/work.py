@@ -1,4 +1,4 @@
-"""Written intermediate tables.
+"""Written intermediate tables and small helpers that the operators share.
 
 Lineage is cut with Parquet tables in the shared folder that the session names in
 ``spark.checkpoint.dir``, so that a lost executor costs a re-read and no recomputation.
@@ -6,24 +6,11 @@ Lineage is cut with Parquet tables in the shared folder that the session names i
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from acacia.operators.work import shared_folder, written
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once and returns the table read back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/acacia-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["free_name", "partitions", "shared_folder", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
