@@ -3,9 +3,11 @@
 Severity has ordered grades: 0 for documents labelled clean, and 1 to 3 for documents labelled
 toxic, by thirds of the number of words in them that mark the toxic class. The model has one weight
 for each feature, shared by all thresholds, and one threshold for each grade above 0:
-``P(grade >= k) = sigmoid(weights . x - threshold_k)``. Words and
-beginnings of words are the features, with value ``1 + ln(count)``; proximal gradient steps with an L1 penalty keep few of them. A document's expected
-severity is the sum of ``P(grade >= k)``, and it is rejected if grade 1 or more is likelier than not.
+``P(grade >= k) = sigmoid(weights . x - threshold_k)``. Words and beginnings of words are the
+features, with value ``1 + ln(count)``; proximal gradient steps with an L1 penalty keep few of them.
+A document's expected severity is the sum of ``P(grade >= k)``. It is rejected from that
+``P(grade >= 1)`` on which tells the classes of the sample apart best (the rates of toxic and clean
+documents that reach it differ most).
 
 The model is fitted on a sample of labelled documents of at most ``SAMPLE`` distinct texts, chosen by
 the hash of their ids; every document is scored.
@@ -59,6 +61,7 @@ def features(text: bytes) -> Counter:
 class Ordinal:
     weights: dict[bytes, float]
     thresholds: list[float]
+    cut: float = 0.5
 
     def __post_init__(self) -> None:
         self.begun = [(k, {w[1:]: w for w in self.weights if w[:1] == _MARK and len(w) == k + 1}) for k in BEGINNINGS]
@@ -176,6 +179,19 @@ def _only(features: tuple[np.ndarray, np.ndarray, np.ndarray], kept: np.ndarray)
     return features[0][on], number[features[1][on]], features[2][on]
 
 
+def best_cut(chance: np.ndarray, toxic: np.ndarray) -> float:
+    """Between which chances the rates of toxic and of clean documents above differ most; of equal places the widest."""
+    order = np.argsort(chance, kind="stable")
+    sorted_chance, y = chance[order], toxic[order]
+    below = np.cumsum((1 - y) / max(1, (1 - y).sum()) - y / max(1, y.sum()))[:-1]
+    gap = np.diff(sorted_chance)
+    fits = (gap > 0) & (below >= below[gap > 0].max(initial=-1.0) - 1e-12)
+    if not fits.any():
+        return 0.5
+    i = int(np.flatnonzero(fits)[gap[fits].argmax()])
+    return float(np.clip((sorted_chance[i] + sorted_chance[i + 1]) / 2, 0.1, 0.9))
+
+
 def fit_cells(toxic: np.ndarray, row: np.ndarray, column: np.ndarray, n: np.ndarray, words: list[bytes], marks: list[bool], grades: int = GRADES, penalty: float = PENALTY, rounds: int = 400) -> Ordinal:
     """The words that the penalty leaves, and their weights without it, from counts ``n`` of words (columns) in documents (rows)."""
     hits = np.bincount(row, n * np.asarray(marks, bool)[column], minlength=len(toxic)) if len(row) else np.zeros(len(toxic))
@@ -191,7 +207,9 @@ def fit_cells(toxic: np.ndarray, row: np.ndarray, column: np.ndarray, n: np.ndar
     chosen = weights != 0
     features, scale, words = _only(features, chosen), scale[chosen], [w for w, yes in zip(words, chosen, strict=True) if yes]
     weights, thresholds = _descend(features, len(words), target, balance, 0.0, 10 * rounds)
-    return Ordinal({w: float(x) for w, x in zip(words, weights * scale, strict=True)}, thresholds.tolist())
+    z = np.bincount(features[0], features[2] * weights[features[1]], minlength=len(toxic)) if len(words) else np.zeros(len(toxic))
+    cut = best_cut(1 / (1 + np.exp(np.clip(thresholds[0] - z, -500, 500))), toxic)
+    return Ordinal({w: float(x) for w, x in zip(words, weights * scale, strict=True)}, thresholds.tolist(), cut)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Ordinal:
@@ -219,7 +237,7 @@ def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
         for batch in batches:
             reach = [model.reach(t) for t in batch.column(1).to_pylist()]
             first = [r[0] if r else 0.0 for r in reach]
-            arrays = [batch.column(0), pa.array([round(sum(r), 9) for r in reach], pa.float64()), pa.array(first, pa.float64()), pa.array([x >= 0.5 for x in first])]
+            arrays = [batch.column(0), pa.array([round(sum(r), 9) for r in reach], pa.float64()), pa.array(first, pa.float64()), pa.array([bool(r) and r[0] >= model.cut for r in reach], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "severity", "p_toxic", "rejected"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -233,7 +251,7 @@ def clean(docs: DataFrame, model: Ordinal) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
-            keep = [not ((r := model.reach(t)) and r[0] >= 0.5) for t in texts]
+            keep = [not ((r := model.reach(t)) and r[0] >= model.cut) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
