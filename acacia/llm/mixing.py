@@ -72,13 +72,13 @@ def shared_out(children: DataFrame, parent: list[str], key: str) -> DataFrame:
 def budgets(leaves: DataFrame, fraction: float, epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
     """Leaves (domain, lang, source, tokens) with the tokens each may take."""
     nodes = leaves.where("tokens > 0")
-    total = nodes.agg(F.floor(F.sum("tokens") * F.lit(float(fraction))).cast("double").alias("budget"))
+    total = nodes.agg(F.floor(F.sum("tokens") * F.lit(float(fraction))).cast("double")).first()[0]
     above = None
     for depth, level in enumerate(LEVELS):
         parent, own = list(LEVELS[:depth]), list(LEVELS[: depth + 1])
         children = nodes.groupBy(*own).agg((F.sum("tokens") * epochs).cast("double").alias("capacity")).withColumn("weight", _weight(level, weights))
         if above is None:
-            children = children.join(F.broadcast(total))  # one row
+            children = children.withColumn("budget", F.lit(total or 0.0))
         else:
             children = children.join(above, parent)
         above = shared_out(children, parent, level).select(*own, F.col("take").alias("budget"))
