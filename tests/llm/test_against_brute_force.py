@@ -155,6 +155,14 @@ def test_secrets_join_base_spans_and_redaction(odd):
     assert kept[16].text == "password = [SECRET] and token: abc" and kept[12].text.startswith("[EMAIL]@d.e [IP].[IP] ") and kept[4].text == PASSAGE
 
 
+def test_long_secrets_go_whole(spark):
+    secret = "eyJ0" + "aB3._-xY" * 250
+    docs = spark.createDataFrame([(i, f"the token: {secret} and more", 0) for i in range(20)], "doc_id long, text string, n_chars int")
+    weights = pii.fit(docs)
+    assert {r.spans for r in pii.report(docs, weights).collect()} == {f"secret:11:{11 + len(secret)}"}
+    assert {r.text for r in pii.redacted(docs, weights).collect()} == {"the token: [SECRET] and more"}
+
+
 def test_reliability_estimates():
     import numpy as np
 
