@@ -1,16 +1,21 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page is read as a sequence of tokens: each start tag with its path from the root (tag names and
-class words), so that equal tags in other places are other tokens. For every host, each token's
-occurrence vector (how often it occurs on each page) is gathered as page count, total and an
-order-free fingerprint; tokens of equal vectors are one equivalence class. Classes that occur on most
-pages of the host, and whose tokens' paths contain each other or stand side by side below one
-parent in the same class, nest into the host's template. Its slots are the places between template
-tokens; the slot with most text that is no link is the host's main container, where the pages mark
-none themselves.
-
-From each page the container is taken, without its menus, headers, footers, asides, forms, scripts,
-notices, adverts and comments (by tag name, role, and words of class and id).
+class words), so that equal tags in other places are other tokens, and each block of text with the
+path at which it begins. For every host, each token's occurrence vector (how often it occurs on each
+page) is gathered as page count, total and an order-free fingerprint; tokens of equal vectors are one
+equivalence class. A class on most pages of the host nests if its outermost tags all hang below tags
+of one other class (the root's class hangs below none); the nested classes of three tokens or more
+are the host's template. Blocks of text in it are template text. The rest of the text fills slots, and the
+host's main container is the innermost once-per-page tag of the template that holds more than half of it.
+
+On each page the container is taken without template text and without menus, headers, footers, asides, forms,
+scripts, notices, adverts and comments (by tag name, role, and words of class and id). The page's own
+article or main element is evidence afterwards: it widens a container that it holds, narrows one that
+holds it alone, and stands in on pages without the container and on hosts of a single page.
+
+Template text stays where a page's container would keep less than half of its text, so that
+copies of a page don't erase each other.
 
 Defined cases: null or empty html gives empty text; a page without a marked container and without a
 template slot gives the text of its body; a tag that is never closed ends with its parent or the
@@ -26,13 +31,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acacia.llm.work import written
 
 #: A token counts for the template if it is on this share of a host's pages or more.
 SUPPORT = 0.5
+#: Tokens of a class that counts as template, and pages that a template text is on at least.
+CLASS, REPEATS = 3, 3
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -44,6 +51,8 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[\s_-]+")
 _SPACE = re.compile(r"\s+")
+#: Paths that end in a tag of running text, which is no container.
+_TEXT_TAG = r"/(?:p|h[1-6]|li|d[dt]|tr|pre|blockquote|a|b|i|em|strong|span|font|small|u|br|hr|img)(?:[.][^/]*)?$"
 _LINK = re.compile(r"/a(?:[./]|$)")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,29 +76,31 @@ _CLOSES = {"p": frozenset("p".split()), "li": frozenset("li".split()), "dt": fro
 
 
 class Node:
-    """An open tag: its name, path key, whether it and all in it are skipped, and whether it is in the container."""
+    """An open tag: its name, path key, whether it and all in it are skipped (1 by a part of a class name only, 2 for sure), and whether it is in the container."""
 
     __slots__ = ("name", "key", "skipped", "inside")
 
-    def __init__(self, name: str, key: str, skipped: bool, inside: bool):
+    def __init__(self, name: str, key: str, skipped: int, inside: bool):
         self.name, self.key, self.skipped, self.inside = name, key, skipped, inside
 
 
-def _marks(attributes: str) -> tuple[set[str], str, bool]:
-    """Words of class and id, role, and whether it is hidden."""
+def _marks(attributes: str) -> tuple[set[str], set[str], str, bool]:
+    """Words of class and id, its whole class names, role, and whether it is hidden."""
     words: set[str] = set()
+    whole: set[str] = set()
     role, hidden = "", False
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape(a or b or c).lower()
             if name in ("class", "id"):
                 words.update(_SPLIT.split(value))
+                whole.update(value.split())
             elif name == "role":
                 role = value
             else:
                 hidden = hidden or name == "hidden" or value == "true"
     words.discard("")
-    return words, role, hidden
+    return words, whole, role, hidden
 
 
 def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, Node | None]]:
@@ -97,7 +108,7 @@ def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, No
     stack: list[Node] = []
     raw_until = 0
     at = 0
-    root = Node("", "", False, False)
+    root = Node("", "", 0, False)
 
     def top() -> Node:
         return stack[-1] if stack else root
@@ -134,12 +145,12 @@ def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, No
             yield "break", name, None
         elif name == "br":
             yield "text", " ", top()
-        words, role, hidden = _marks(m[3] or m[6] or "")
+        words, whole, role, hidden = _marks(m[3] or m[6] or "")
         above = top()
-        key = f"{above.key}/{name}" + "".join("." + w for w in sorted(words))
+        key = f"{above.key}/{name}" + "".join("." + w.replace("/", "|") for w in sorted(words))
         in_article = any(n.name in ("article", "main") for n in stack)
-        skipped = above.skipped or name in _SKIP or (name == "header" and not in_article) or bool(words & _SKIP_WORDS) or role in _SKIP_ROLES or hidden
-        node = Node(name, key, skipped, above.inside or (container is not None and key == container))
+        skipped = 2 if name in _SKIP or (name == "header" and not in_article) or words & _SKIP_WORDS or role in _SKIP_ROLES or hidden else 0
+        node = Node(name, key, max(above.skipped, skipped), above.inside or (container is not None and key == container))
         yield "open", name, node
         closed = (m[3] or m[6] or "").endswith("/")
         if name in _RAW and not closed:
@@ -152,43 +163,82 @@ def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, No
         yield "text", html.unescape(page[at:]), top()
 
 
-def _marked(page: str) -> str | None:
-    """The path of the page's own main container: its first article that is not skipped, else its main."""
-    found: dict[str, str] = {}
+def _marked(page: str, slot: str | None = None) -> tuple[str | None, bool, bool]:
+    """The path of the page's own main container (its first article that is not skipped, else its main, else one skipped by
+    a part of a class name), whether other articles stand beside it, and whether ``slot`` is on the page."""
+    found: dict[tuple[int, str], str] = {}
     low = page.lower()
-    if "<article" not in low and "<main" not in low:
-        return None
+    if "<article" not in low and "<main" not in low and slot is None:
+        return None, False, False
+    several = has_slot = False
     for what, name, node in walk(page):
-        if what == "open" and node is not None and not node.skipped and name in ("article", "main"):
-            found.setdefault(name, node.key)
-            if "article" in found:
-                break
-    return found.get("article") or found.get("main")
+        if what == "open" and node is not None:
+            has_slot = has_slot or node.key == slot
+            if node.skipped < 2 and name in ("article", "main"):
+                first = found.setdefault((node.skipped, name), node.key)
+                several = several or (name == "article" and node.skipped == 0 and not (node.key + "/").startswith(first + "/"))
+                if slot is None and (0, "article") in found:
+                    break
+                if node.key == slot and first == slot:
+                    break
+    return next((found[k] for k in ((0, "article"), (0, "main"), (1, "article"), (1, "main")) if k in found), None), several, has_slot
 
 
-def extract(page: str | None, slot: str | None = None) -> str:
-    """Blocks of main text, a line each."""
-    if not page:
-        return ""
-    container = _marked(page) or slot
-    if container is not None and container != _marked(page) and not any(n is not None and n.key == container for w, _, n in walk(page) if w == "open"):
-        container = None
-    blocks: list[str] = []
-    parts: list[str] = []
+def _container(page: str, slot: str | None) -> str | None:
+    own, several, has_slot = _marked(page, slot)
+    if slot is None or not has_slot:
+        return own
+    if own is None or own == slot:
+        return slot
+    if slot.startswith(own + "/"):
+        return own
+    return own if own.startswith(slot + "/") and not several else slot
 
-    def flush() -> None:
-        block = _SPACE.sub(" ", "".join(parts)).strip()
-        parts.clear()
-        if block:
-            blocks.append(block)
 
+def _blocks(page: str, container: str | None = None, upto: int = 0) -> Iterator[tuple[str, int, str, int]]:
+    """Blocks of text in the container that are skipped ``upto`` that degree: path outside links at which it begins, degree, text, characters outside links."""
+    parts: list[str] = []
+    path, degree, chars = "", 0, 0
     for what, text, node in walk(page, container):
         if what == "break":
-            flush()
-        elif what == "text" and node is not None and not node.skipped and (node.inside or container is None):
+            block = _SPACE.sub(" ", "".join(parts)).strip()
+            if block:
+                yield path, degree, block, chars
+            parts, path, degree, chars = [], "", 0, 0
+        elif what == "text" and node is not None and node.skipped <= upto and (node.inside or container is None):
             parts.append(text)
-    flush()
-    return "\n".join(blocks)
+            size = len(text.strip())
+            if size:
+                link = _LINK.search(node.key)
+                if not chars and not path:
+                    path = node.key[: link.start()] if link else node.key
+                degree = max(degree, node.skipped)
+                chars += 0 if link else size
+    block = _SPACE.sub(" ", "".join(parts)).strip()
+    if block:
+        yield path, degree, block, chars
+
+
+def _block_token(path: str, block: str) -> int:
+    return (xxhash.xxh64_intdigest(f"{path}\n{block}") >> 1) or 1
+
+
+def extract(page: str | None, slot: str | None = None, template: frozenset[int] = frozenset()) -> str:
+    """Blocks of main text, a line each."""
+    if not page:
+        return ""
+    container = _container(page, slot)
+    blocks = list(_blocks(page, container))
+    if container is None or not blocks:
+        # Parts of class names don't decide where nearly all of the page would go by them.
+        wide = list(_blocks(page, container, 1))
+        if 10 * sum(len(b[2]) for b in blocks) < sum(len(b[2]) for b in wide):
+            blocks = wide
+    if template:
+        rest = [b for b in blocks if _block_token(b[0], b[2]) not in template]
+        if 2 * sum(len(b[2]) for b in rest) >= sum(len(b[2]) for b in blocks):
+            blocks = rest
+    return "\n".join(b[2] for b in blocks)
 
 
 def _host(url: str | None) -> str:
@@ -196,20 +246,22 @@ def _host(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
-def _tokens(page: str) -> dict[str, list[int]]:
-    """Each start token: how often it occurs, characters of text in it that are no links, and whether it is skipped."""
-    out: dict[str, list[int]] = {}
-    for what, text, node in walk(page):
+def _tokens(page: str) -> dict[tuple[str, int], list[int]]:
+    """Each token (path; block of text or 0): how often it occurs, characters outside links, those skipped by a part of a class name, and how it is skipped."""
+    out: dict[tuple[str, int], list[int]] = {("", 0): [1, 0, 0, 0]}
+    for what, _, node in walk(page):
         if what == "open" and node is not None:
-            row = out.setdefault(node.key, [0, 0, 0])
+            row = out.setdefault((node.key, 0), [0, 0, 0, 0])
             row[0] += 1
-            row[2] |= node.skipped
-        elif what == "text" and node is not None and node.key and not node.skipped and not _LINK.search(node.key):
-            out[node.key][1] += len(text.strip())
+            row[3] = max(row[3], node.skipped)
+    for path, degree, block, chars in _blocks(page, None, 1):
+        row = out.setdefault((path, _block_token(path, block)), [0, 0, 0, 0])
+        row[0] += 1
+        row[1 + degree] += chars
     return out
 
 
-_VECTOR = "host string, token string, pages long, total long, vector long, chars long, skipped boolean"
+_VECTOR = "host string, token string, block long, pages long, total long, vector long, chars long, doubtful long, skipped long"
 
 
 def vectors(pages: DataFrame) -> DataFrame:
@@ -217,54 +269,70 @@ def vectors(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[tuple[str, str], list] = {}
+            rows: dict[tuple[str, str, int], list] = {}
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not page:
                     continue
                 host, number = _host(url), xxhash.xxh64_intdigest(url or "")
-                for token, (n, chars, skipped) in _tokens(page).items():
-                    row = rows.setdefault((host, token), [0, 0, 0, 0, False])
+                for (token, block), (n, chars, doubtful, skipped) in _tokens(page).items():
+                    row = rows.setdefault((host, token, block), [0, 0, 0, 0, 0, 0])
                     row[0] += 1
                     row[1] += n
                     row[2] += xxhash.xxh64_intdigest(f"{number}:{n}") >> 28  # sums of 36 bits stay in 64
                     row[3] += chars
-                    row[4] = row[4] or bool(skipped)
-            columns = [[k[0] for k in rows], [k[1] for k in rows], *([v[i] for v in rows.values()] for i in range(5))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_()), strict=True)], [c.split()[0] for c in _VECTOR.split(", ")])
-
-    sums = pages.select("url", "html").mapInArrow(run, _VECTOR).groupBy("host", "token")
-    return sums.agg(
-        F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.max("skipped").alias("skipped")
-    )
+                    row[4] += doubtful
+                    row[5] = max(row[5], skipped)
+            columns = [*([k[i] for k in rows] for i in range(3)), *([v[i] for v in rows.values()] for i in range(6))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), *[pa.int64()] * 7), strict=True)], [c.split()[0] for c in _VECTOR.split(", ")])
+
+    sums = pages.select("url", "html").mapInArrow(run, _VECTOR).groupBy("host", "token", "block")
+    return sums.agg(*(F.sum(c).alias(c) for c in ("pages", "total", "vector", "chars", "doubtful")), F.max("skipped").alias("skipped"))
+
+
+def template(profile: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """Tokens (host, token, block, ...) of the host's template: those of nested classes on most pages."""
+    key = ["host", "pages", "total", "vector"]
+    root = profile.where("token = '' and block = 0").select("host", F.col("pages").alias("host_pages"))
+    frequent = profile.join(root, "host").where((F.col("pages") >= F.col("host_pages") * F.lit(support)) & (F.col("pages") > 1))
+    vector = F.struct("pages", "total", "vector")
+    above = frequent.where("block = 0").select("host", F.col("token").alias("above"), vector.alias("outer"))
+    parent = F.when(F.col("token") != "", F.regexp_replace("token", "/[^/]*$", ""))
+    tags = frequent.where("block = 0").withColumn("above", parent).join(above, ["host", "above"], "left").withColumn("class", vector)
+    outermost = F.when(F.col("outer") != F.col("class"), F.col("outer"))
+    nests = tags.groupBy(*key).agg(F.min(outermost).alias("low"), F.max(outermost).alias("high")).where("low is null or low = high").select(*key)
+    sizes = frequent.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= CLASS)
+    return frequent.join(nests, key).join(sizes, key)
 
 
 def slots(profile: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """Each host's main slot: the template token below which most text stands that is no link."""
-    token, parent = F.col("token"), F.regexp_replace("token", "/[^/]*$", "")
-    root = profile.where(token.rlike("^/html[^/]*$")).groupBy("host").agg(F.max("pages").alias("host_pages"))
-    frequent = profile.join(root, "host").where(F.col("pages") >= F.col("host_pages") * F.lit(support))
-    classed = frequent.withColumn("class", F.struct("pages", "total", "vector"))
-    # A class nests if its tokens hang below tokens of a class on no fewer pages; a slot holds its own text and its children's.
-    inner = classed.where(~F.col("skipped")).select("host", parent.alias("at"), F.col("chars").alias("own"))
-    held = inner.groupBy("host", "at").agg(F.sum("own").alias("held"))
-    once = classed.where(~F.col("skipped") & (F.col("total") == F.col("pages"))).select("host", F.col("token").alias("at"), parent.alias("above"), "class", F.col("chars").alias("direct"))
-    nested = once.select("host", F.col("at").alias("above"), F.col("class").alias("outer"))
-    valid = once.join(nested, ["host", "above"], "left").where((F.col("above") == "") | (F.col("outer.pages") >= F.col("class.pages")))
-    scored = valid.join(held, ["host", "at"], "left").withColumn("held", F.coalesce("held", F.lit(0)) + F.col("direct"))
-    best = Window.partitionBy("host").orderBy(F.desc("held"), F.length("at"), "at")
-    return scored.withColumn("place", F.row_number().over(best)).where("place = 1 and held > 0").select("host", F.col("at").alias("slot"))
+    """Each host's main container (null if no tag holds most of the text), and the blocks that are template text."""
+    known = written(template(profile, support), "template")
+    fixed = known.where((F.col("block") != 0) & (F.col("pages") >= REPEATS))
+    data = profile.where("block <> 0 and chars + doubtful > 0").join(fixed.select("host", "block"), ["host", "block"], "left_anti")
+    held = data.groupBy("host", "token").agg(F.sum("chars").alias("chars"), F.sum("doubtful").alias("doubtful"))
+    steps = F.split("token", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    held = held.select("host", F.explode(prefixes).alias("token"), "chars", "doubtful").groupBy("host", "token").agg(F.sum("chars").alias("chars"), F.sum("doubtful").alias("doubtful"))
+    held = written(held, "held")
+    whole = held.where("token = ''").select("host", F.when(F.col("chars") * 10 < F.col("doubtful") + F.col("chars"), 1).otherwise(0).alias("upto"), F.col("chars").alias("all_chars"), F.col("doubtful").alias("all_doubtful"))
+    once = known.where((F.col("block") == 0) & (F.col("total") == F.col("pages")) & ~F.col("token").rlike(_TEXT_TAG) & (F.col("token") != "")).select("host", "token", "skipped")
+    most = (F.col("chars") + F.col("upto") * F.col("doubtful")) * 2 > F.col("all_chars") + F.col("upto") * F.col("all_doubtful")
+    best = once.join(held, ["host", "token"]).join(whole, "host").where(most & (F.col("skipped") <= F.col("upto")))
+    best = best.groupBy("host").agg(F.max_by("token", F.struct(F.size(F.split("token", "/")), "token")).alias("slot"))
+    texts = fixed.groupBy("host").agg(F.sort_array(F.collect_set("block")).alias("texts"))  # no more than twice a page's blocks
+    return best.join(texts, "host", "full")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    chosen = written(slots(written(vectors(pages), "vectors")), "slots").select(F.col("host").alias("slot_host"), "slot")
+    chosen = written(slots(written(vectors(pages), "vectors")), "slots").select(F.col("host").alias("slot_host"), F.col("slot").alias("__slot"), "texts")
     rest = F.expr("CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END")
     host = F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
     found = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host")).join(chosen, F.col("host") == F.col("slot_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(p, s) for p, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(p, s, frozenset(t or ())) for p, s, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return found.select("page_id", "url", "html", "slot").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return found.select("page_id", "url", "html", "__slot", "texts").mapInArrow(run, "page_id long, url string, text string, n_chars long")

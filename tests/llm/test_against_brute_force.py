@@ -207,6 +207,38 @@ def test_pages_without_marks_use_the_template(spark):
     assert [r.text for r in out] == [f"Story {i} {'long text ' * 20}".strip() for i in range(8)]
 
 
+def texts_of(spark, bodies, host="u.example"):
+    rows = [(i, f"http://{host}/{i}", b if b.startswith("<!") else page(b)) for i, b in enumerate(bodies)]
+    return [r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+STORY = "Story {} " + "long text " * 20
+
+
+def test_template_text_goes_and_data_stays(spark):
+    # The notice stands inside the article, and only its class of tokens tells it from the story.
+    notice = "<div class='x'><section class='y'><p>Printed on recycled paper by the same people.</p></section></div>"
+    bodies = [f"<article><p>{STORY.format(i)}</p>{notice}<p>End {i}</p></article>" for i in range(6)]
+    assert texts_of(spark, bodies) == [f"{STORY.format(i).strip()}\nEnd {i}" for i in range(6)]
+    # Copies of a page are no template.
+    assert texts_of(spark, [f"<article><p>{STORY.format(0)}</p></article>"] * 4) == [STORY.format(0).strip()] * 4
+
+
+def test_template_decides_before_an_article_elsewhere(spark):
+    bodies = [f"<div class='teaser'><article><p>Teaser {i}</p></article></div><div class='text'><p>{STORY.format(i)}</p><p>More {i}</p></div>" for i in range(6)]
+    assert texts_of(spark, bodies) == [f"{STORY.format(i).strip()}\nMore {i}" for i in range(6)]
+
+
+def test_tokens_of_equal_vectors_are_one_class(spark):
+    rows = [(i, f"http://c.example/{i}", page(f"<div><p>{i}</p></div>" + "<ul><li><b>x</b></ul>" * (i % 3 + 1))) for i in range(6)]
+    profile = pages.vectors(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    classes = {}
+    for r in pages.template(profile).where("block = 0").collect():
+        classes.setdefault((r.pages, r.total, r.vector), set()).add(r.token)
+    ul = {"/html/body/ul", "/html/body/ul/li", "/html/body/ul/li/b"}
+    assert ul in classes.values() and any({"/html/body", "/html/body/div"} <= c and not c & ul for c in classes.values())
+
+
 def test_pages_given(spark):
     import html
     import re
