@@ -14,7 +14,8 @@ scripts, notices, adverts and comments (by tag name, role, and words of class an
 article or main element is evidence afterwards: it widens a container that it holds, narrows one that
 holds it alone, and stands in on pages without the container and on hosts of a single page.
 
-Template text stays where a page's container would keep less than half of its text, so that
+A class name that is no more than partly such a word never skips html, body, main, article, the container or what
+holds it. Template text stays where a page's container would keep less than half of its text, so that
 copies of a page don't erase each other.
 
 Defined cases: null or empty html gives empty text; a page without a marked container and without a
@@ -149,7 +150,14 @@ def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, No
         above = top()
         key = f"{above.key}/{name}" + "".join("." + w.replace("/", "|") for w in sorted(words))
         in_article = any(n.name in ("article", "main") for n in stack)
-        skipped = 2 if name in _SKIP or (name == "header" and not in_article) or words & _SKIP_WORDS or role in _SKIP_ROLES or hidden else 0
+        if name in _SKIP or (name == "header" and not in_article) or role in _SKIP_ROLES or hidden:
+            skipped = 2
+        elif name in ("html", "body") or (container is not None and (container + "/").startswith(key + "/")):
+            skipped = 0
+        elif name in ("article", "main"):
+            skipped = 2 if whole and whole <= _SKIP_WORDS else 0
+        else:
+            skipped = 2 if whole & _SKIP_WORDS else 1 if words & _SKIP_WORDS else 0
         node = Node(name, key, max(above.skipped, skipped), above.inside or (container is not None and key == container))
         yield "open", name, node
         closed = (m[3] or m[6] or "").endswith("/")

@@ -239,6 +239,24 @@ def test_tokens_of_equal_vectors_are_one_class(spark):
     assert ul in classes.values() and any({"/html/body", "/html/body/div"} <= c and not c & ul for c in classes.values())
 
 
+@pytest.mark.parametrize("copies", [1, 5])
+def test_parts_of_class_names_never_take_the_page(spark, copies):
+    def whole(i, attributes, inner):
+        return page("BODY").replace("<body>BODY", f"<body{attributes}>{inner}")
+
+    kept = [
+        lambda i: whole(i, " class='has-sidebar'", f"<article><p>{STORY.format(i)}</p></article>"),
+        lambda i: whole(i, " class='no-comments'", f"<p>{STORY.format(i)}</p>"),
+        lambda i: whole(i, "", f"<div class='layout-nav-left'><div class='nav'>Menu {i}</div><article><p>{STORY.format(i)}</p></article></div>"),
+        lambda i: whole(i, "", f"<div class='layout-nav-left'><div class='nav'>Menu {i}</div><div class='text'><p>{STORY.format(i)}</p></div></div>"),
+        lambda i: whole(i, "", f"<article class='post social'><p>{STORY.format(i)}</p></article>"),
+        lambda i: whole(i, "", f"<main class='with-sidebar'><div class='cookie-notice'>We use {i}</div><p>{STORY.format(i)}</p></main>"),
+        lambda i: whole(i, "", f"<div class='share-page'><main><p>{STORY.format(i)}</p><section class='comments'><article class='comment'>Me {i}</article></section></main></div>"),
+    ]
+    for n, make in enumerate(kept):
+        assert (n, texts_of(spark, [make(i) for i in range(copies)])) == (n, [STORY.format(i).strip() for i in range(copies)])
+
+
 def test_pages_given(spark):
     import html
     import re
