@@ -490,7 +490,7 @@ def pixel_components(spark, sf_dir):
 def loss_patterns(spark, sf_dir):
     lost = view(spark, sf_dir, "pixels").where("code > 0").withColumn("year", F.col("code") % 3 + 2020)
     by = ["park_id", "tile", "year"]
-    labelled = clusters.pixel_components(lost, by, corners=True)
+    labelled = components.large_raster(lost.select(*by, "r", "c", "value"), by, corners=True)
     totals = lost.groupBy(*by).agg(F.count(F.lit(1)).alias("lost"))
     return loss.dominant_pattern(loss.component_metrics(labelled, by, 3), totals, by)
 
