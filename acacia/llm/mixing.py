@@ -118,9 +118,13 @@ def selected(docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS,
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The documents taken, with all their columns and ``copies``."""
     copies = free_name("copies", docs.columns)
-    chosen = selected(docs, **parameters).where("doc_id is not null").groupBy(F.col("doc_id").alias("__taken")).agg(F.max("copies").alias(copies))
+    # A leaf's rows of one id are taken together, and only they: the id alone, or a missing one, names no row.
+    keys = ["__taken", *(f"__{level}" for level in LEVELS)]
+    chosen = selected(docs, **parameters).groupBy(F.col("doc_id").alias("__taken"), *(F.col(level).alias(f"__{level}") for level in LEVELS)).agg(F.max("copies").alias(copies))
     chosen = written(chosen, "chosen")
-    return docs.join(chosen, F.col("doc_id") == F.col("__taken")).drop("__taken")
+    source = F.coalesce(docs["source"], F.lit(""))
+    same = docs["doc_id"].eqNullSafe(F.col("__taken")) & (domain_of(source) == F.col("__domain")) & (F.coalesce(docs["lang"], F.lit("")) == F.col("__lang")) & (source == F.col("__source"))
+    return docs.where(docs["text"].rlike(r"[^\x20\x09-\x0D]")).join(chosen, same).drop(*keys)
 
 
 #: DuckDB twin of ``selected`` with the parameters above.
