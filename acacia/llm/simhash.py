@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from acacia.llm.work import written
 from acacia.operators.components import connected
@@ -195,27 +196,59 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     return packed.join(sides, ["ones", "part"]).select("meeting", "side", "prints").groupBy("meeting").applyInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+def _classes(docs: DataFrame, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id and print of every row; and of every print (node) its group's root and component_id."""
     prints = written(fingerprints(docs), "prints")
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
     roots = written(connected(links(nodes.select("print"), radius, tile)).withColumnRenamed("node", "print"), "roots")
     whole = roots.unionByName(roots.select(F.col("root").alias("print"), "root")).distinct()
     known = whole.join(nodes, "print")
     smallest = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
-    linked_prints = written(whole.join(smallest, "root").select("print", "component_id"), "linked")
+    linked_prints = written(whole.join(smallest, "root").select("print", "root", "component_id"), "linked")
     final = written(
-        nodes.join(linked_prints, "print", "left").select(F.col("print").alias("node"), F.coalesce("component_id", "least").alias("component_id")),
+        nodes.join(linked_prints, "print", "left").select(F.col("print").alias("node"), F.coalesce("root", "print").alias("root"), F.coalesce("component_id", "least").alias("component_id")),
         "classes",
     )
+    return prints, final
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+    prints, final = _classes(docs, radius, tile)
     return prints.join(final, F.col("print") == F.col("node")).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def _printed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with their fingerprint as ``__print``."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__print", T.LongType())])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = fingerprints_of(batch.column(at).cast(pa.binary()).to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, "__print"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest, once each; rows without a doc_id stay."""
-    found = near_duplicates(docs, radius)
-    kept = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` for each group of near duplicates, whose doc_id is the group's smallest; rows without a doc_id stay.
+
+    Where one doc_id has several texts, the row is told by its fingerprint too.
+    """
+    prints, final = _classes(docs, radius, TILE)
+    own = prints.join(final, (F.col("print") == F.col("node")) & (F.col("doc_id") == F.col("component_id")))
+    kept = own.groupBy("root").agg(F.min(F.struct("doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias("__kept"), F.col("k.print").alias("__own"))
+    several = prints.where("doc_id is not null").groupBy("doc_id").agg((F.min("print") != F.max("print")).alias("several")).where("several")
+    kept = written(kept.join(several, F.col("__kept") == F.col("doc_id"), "left").select("__kept", "__own", F.col("several").isNotNull().alias("several")), "kept")
+    named = docs.where("doc_id is not null")
+    plain = named.join(kept.where("not several"), F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    out = plain.unionByName(docs.where("doc_id is null"))
+    told = kept.where("several")
+    if told.isEmpty():
+        return out
+    rows = _printed(named.join(told, F.col("doc_id") == F.col("__kept"), "left_semi"))
+    rows = rows.join(told, (F.col("doc_id") == F.col("__kept")) & (F.col("__print") == F.col("__own")), "left_semi")
+    return out.unionByName(rows.dropDuplicates(["doc_id", "__print"]).drop("__print"))
