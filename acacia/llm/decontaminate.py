@@ -4,16 +4,17 @@ A shard is one Arrow batch of documents. Its words are numbered by the benchmark
 other words act as one separator, and runs between separators that are shorter than the shortest
 benchmark phrase are left out, since no phrase can occur there. Over the rest a suffix array is
 sorted, and a wavelet matrix over its Burrows-Wheeler transform answers ranks. All phrases search
-backward together, occurrences are located by walking to sampled suffix positions, and their spans
-are merged into the words to remove.
+backward together, occurrences are located by walking to sampled suffix positions, every word in them is
+compared with the phrase's own, and their spans are merged into the words to remove.
 
 The benchmark is cut into blocks of bounded bytes that go out one after the other; documents pass
 through one stage for each block and carry the spans found so far along.
 
 Defined cases: null texts and texts without words have no words, no hits and are clean; items that
 are null or have no words, and items without an id, have no phrase; items of fewer words than a
-window are one phrase; an item_id that occurs in several rows counts once; an empty benchmark leaves
-every document clean; repeated documents are judged one by one; other columns are kept.
+window are one phrase; an item_id of any type counts as its text, and once if it occurs in several rows;
+an empty benchmark leaves every document clean; a text is scanned whole, in a task's memory, however long
+it is; repeated documents are judged one by one; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -37,20 +38,30 @@ BLOCK_BYTES = 4 << 20
 
 @dataclass
 class Phrases:
-    """The distinct windows of some items: vocabulary hashes (sorted), windows as rows of word numbers (from 1), and each window's items."""
+    """The distinct windows of some items: vocabulary hashes (sorted) with their words, windows as rows of word numbers (from 1), and each window's items.
+
+    ``seed`` is that of the word hash, and such that no two words of the vocabulary share one.
+    """
 
     vocabulary: np.ndarray
+    spelled: list[bytes]
+    seed: int
     words: np.ndarray
     sizes: np.ndarray
-    owners: list[list[int]]
+    owners: list[list[str]]
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]], window: int = WINDOW) -> Phrases:
-        found: dict[tuple[int, ...], list[int]] = {}
+    def of(cls, items: list[tuple[str, str]], window: int = WINDOW) -> Phrases:
+        found: dict[tuple[int, ...], list[str]] = {}
         kept = [(i, t) for i, t in items if i is not None and t]
         words = Words(pa.array([t for _, t in kept], pa.string()), IS_ALNUM, True)
-        hashes = words.hashes()
-        vocabulary = np.unique(hashes)
+        data = words.data.tobytes()
+        own_words = [data[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
+        distinct, seed = len(set(own_words)), 0
+        while len(np.unique(words.hashes(seed))) < distinct:
+            seed += 1
+        hashes = words.hashes(seed)
+        vocabulary, first = np.unique(hashes, return_index=True)
         numbers = (np.searchsorted(vocabulary, hashes) + 1).tolist()
         for n, (item, _) in enumerate(kept):
             own = numbers[words.first[n] : words.first[n + 1]]
@@ -61,7 +72,22 @@ class Phrases:
         rows = np.zeros((len(found), window), np.int64)
         for n, phrase in enumerate(found):
             rows[n, : len(phrase)] = phrase
-        return cls(vocabulary, rows, np.array([len(p) for p in found], np.int64), list(found.values()))
+        return cls(vocabulary, [own_words[i] for i in first.tolist()], seed, rows, np.array([len(p) for p in found], np.int64), list(found.values()))
+
+    def right(self, words: Words, start: np.ndarray, which: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether each occurrence has the words of its phrase and not others of the same hash. ``number``: the vocabulary number of each word, from 0."""
+        edge = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + self.sizes[which], -1)
+        hit = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        wrong = np.zeros(len(words) + 1, np.int64)
+        spelled = self.spelled
+        text, _ = words.joined(hit)
+        for i, n, own in zip(hit.tolist(), number[hit].tolist(), text.split(b" "), strict=False):
+            if own != spelled[n]:
+                wrong[i + 1] = 1
+        wrong = np.cumsum(wrong)
+        return wrong[start + self.sizes[which]] == wrong[start]
 
 
 class WaveletMatrix:
@@ -153,7 +179,7 @@ def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]
     nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(words) or not len(phrases.sizes):
         return nothing
-    hashes = words.hashes()
+    hashes = words.hashes(phrases.seed)
     at = np.minimum(np.searchsorted(phrases.vocabulary, hashes), len(phrases.vocabulary) - 1)
     known = phrases.vocabulary[at] == hashes
     begins = known.copy()
@@ -179,7 +205,9 @@ def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]
     n = high - low
     which = np.repeat(np.arange(len(n)), n)
     rows = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    return origin[index.locate(rows)], which
+    start = origin[index.locate(rows)]
+    right = phrases.right(words, start, which, at)
+    return start[right], which[right]
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,11 +242,11 @@ def _scan(batch: pa.RecordBatch, text_at: int, phrases: Phrases, spans: list, it
 def scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict[str, str]]:
     """The columns ``keep`` (all, if None) and three more: words, merged spans and item ids; with the names that those got."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
     names = {k: free_name(k, docs.columns) for k in ("n_words", "spans", "items")}
-    added = [T.StructField(names["n_words"], T.LongType()), *(T.StructField(names[k], T.ArrayType(T.LongType())) for k in ("spans", "items"))]
+    added = [T.StructField(names[k], t) for k, t in (("n_words", T.LongType()), ("spans", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType())))]
     out = docs
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about block_bytes
@@ -232,7 +260,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
                 spans, found = ([[] for _ in range(n)] for _ in range(2)) if first else (batch.column(batch.num_columns - i).to_pylist() for i in (2, 1))
                 counts, spans, found = _scan(batch, batch.schema.get_field_index("text"), phrases.value, spans, found)
                 own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-                more = [pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
+                more = [pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(own + more, [*kept, *names.values()])
 
         out = out.mapInArrow(run, schema)
@@ -253,7 +281,7 @@ def _hits(spans):
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each document: words, words hit, items found, their digest and the verdict."""
     found, names = scanned(docs.select("doc_id", "text"), benchmark, ["doc_id"], window)
-    items = F.array_sort(F.transform(names["items"], lambda x: x.cast("string")))
+    items = F.array_sort(names["items"])
     n_hit = _hits(F.col(names["spans"]))
     return found.select(
         "doc_id",

@@ -7,13 +7,16 @@ interior symbols in all documents without a dictionary. Only symbols near an edg
 far the edges reach follows from the substring alone (``Parse.inner_left`` and ``inner_right``).
 
 A window can occur twice only if all symbols in its interior do. One exchange finds the symbols that
-occur more than once; the windows that stay possible are verified in a second exchange by hashes of
-their whole word sequences (two independent ones, together 96 bits). In both, each batch sends every
-distinct name once, packed by bucket, so a frequent name weighs no more than a rare one.
-
-Defined cases: null texts have no words; texts shorter than a window are kept whole; repeated rows
-repeat each other and lose every word covered by a window; a null doc_id is kept as such; an empty
-table gives no rows; other columns are ignored.
+occur more than once (a hash that two of them share by chance makes more windows possible, and removes
+nothing); the windows that stay possible are verified in a second exchange by 128 bits of a cryptographic
+digest (BLAKE2b) of their words, written out with one space between them. In both, each batch sends every
+distinct name once, packed by bucket, so a frequent name weighs no more than a rare one. The number of
+buckets follows from the bytes of text, so that the memory of one doesn't grow with the corpus.
+
+Defined cases: null texts have no words; texts shorter than a window are kept whole; a text is parsed
+whole, in a task's memory, however long it is (some fifteen times its bytes); repeated rows repeat each
+other and lose every word covered by a window; a null doc_id is kept as such; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from acacia.llm.words import IS_SPACED, Words, mixed, paired, pieces
 from acacia.llm.work import partitions, written
 
 WINDOW, ROUNDS = 35, 4
+#: Bytes of text whose names make a bucket.
+BUCKET_BYTES = 64 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,7 +44,7 @@ class Parse:
     def __init__(self, words: Words, rounds: int = ROUNDS, edges: bool = False):
         n = len(words)
         self.words = words
-        self.hashes = names = words.hashes()
+        names = words.hashes()
         text = words.text_of()
         start = np.arange(n + 1)  # word at which each symbol starts, and the end
         # From a word border to the border after which (before which) symbols depend on the window alone.
@@ -102,53 +107,57 @@ class Parse:
         return begin[(high <= low) | (rare[np.maximum(high, low)] == rare[low])]
 
 
-def window_names(parse: Parse, begin: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit and a 32-bit hash of each window's words, from two unrelated polynomials."""
-    out = []
-    for base in (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5):
-        values = mixed(parse.hashes ^ np.uint64(base))
-        total = np.zeros(len(begin), np.uint64)
-        # Horner's rule, a word of every window at a time.
-        for k in range(window):
-            total *= np.uint64(base)
-            total += values[begin + k]
-        out.append(mixed(total))
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+def window_names(words: Words, begin: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of a digest of each window's words, as two numbers."""
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, begin + window, -1)
+    inside = np.cumsum(edge)[:-1] > 0
+    text, start = words.joined(np.flatnonzero(inside))
+    place = np.cumsum(inside) - 1
+    last = place[begin + window - 1]
+    ends = np.append(start, len(text))[last + 1] - 1
+    blake2b = hashlib.blake2b
+    digests = [blake2b(text[a:b], digest_size=16).digest() for a, b in zip(start[place[begin]].tolist(), ends.tolist(), strict=True)]
+    both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 _PACKED = "bucket int, batch string, once binary, checks binary, refs binary, often binary, often_checks binary, head binary"
 _FIELDS = [c.split()[0] for c in _PACKED.split(", ")]
 
 
-def _packed(names: np.ndarray, checks: np.ndarray, buckets: int, head: bytes) -> pa.RecordBatch:
-    """One row for each bucket with the batch's distinct names, and one with what the batch must remember.
+def _packed(names: np.ndarray, checks: np.ndarray | None, buckets: int, head: bytes) -> pa.RecordBatch:
+    """One row for each bucket with the batch's distinct names (and further bits of each), and one with what the batch must remember.
 
     ``refs`` are the places of names that occur once in the batch; places of the others are shared already and stay in ``head``.
     """
-    batch = hashlib.sha256(head + names.tobytes()).hexdigest()  # a task that runs again finds the same name
-    order = np.lexsort((checks, names)) if len(names) else np.zeros(0, np.int64)
-    s, c = names[order], checks[order]
+    batch = hashlib.sha256(head + names.tobytes()).hexdigest()[:32]  # a task that runs again finds the same name
+    order = np.argsort(names, kind="stable") if checks is None else np.lexsort((checks, names))
+    s = names[order]
     fresh = np.ones(len(s), bool)
-    fresh[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
+    fresh[1:] = s[1:] != s[:-1]
+    if checks is not None:
+        fresh[1:] |= np.diff(checks[order]) != 0
     first = np.flatnonzero(fresh)
     count = np.diff(np.append(first, len(s)))
     single = count == 1
     known = np.sort(order[np.repeat(~single, count)]).astype(np.uint32)
-    bucket = ((s[first] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    bucket = ((s[first] >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
     cols: dict[str, list] = {f: [] for f in _FIELDS}
 
     def row(**values) -> None:
         for f in _FIELDS:
             cols[f].append(values.get(f))
 
+    def bits(which: np.ndarray) -> bytes | None:
+        return None if checks is None else checks[order[which]].tobytes()
+
     by = np.argsort(bucket, kind="stable")
     found, at = np.unique(bucket[by], return_index=True)
     for b, own in zip(found.tolist(), np.split(by, at[1:]), strict=False):
         one, more = first[own[single[own]]], first[own[~single[own]]]
-        row(
-            bucket=b, batch=batch, once=s[one].tobytes(), checks=c[one].tobytes(), refs=order[one].astype(np.uint32).tobytes(),
-            often=s[more].tobytes(), often_checks=c[more].tobytes(),
-        )
+        row(bucket=b, batch=batch, once=s[one].tobytes(), checks=bits(one), refs=order[one].astype(np.uint32).tobytes(), often=s[more].tobytes(), often_checks=bits(more))
     row(bucket=int(batch[:8], 16) % buckets, batch=batch, refs=known.tobytes(), head=head)
     kinds = {"bucket": pa.int32(), "batch": pa.string()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(f, pa.binary())) for f, v in cols.items()], _FIELDS)
@@ -157,34 +166,36 @@ def _packed(names: np.ndarray, checks: np.ndarray, buckets: int, head: bytes) ->
 def _met(table: pa.Table) -> pa.Table:
     """One bucket: the places whose name occurs in another batch too; heads pass through."""
     rows = table.to_pylist()
-    names, checks, owner, many = [], [], [], []
-    for i, r in enumerate(rows):
-        if r["head"] is None:
-            for key, check, often in (("once", "checks", False), ("often", "often_checks", True)):
-                x = np.frombuffer(r[key], np.uint64)
-                names.append(x)
-                checks.append(np.frombuffer(r[check], np.uint32))
-                owner.append(np.full(len(x), i))
-                many.append(np.full(len(x), often))
     out: dict[str, list] = {"batch": [], "refs": [], "head": []}
+
+    def row(batch: str, refs: bytes, head: bytes | None) -> None:
+        for column, value in zip(out.values(), (batch, refs, head), strict=True):
+            column.append(value)
+
+    names, checks, singles, at = [], [], [], 0
     for r in rows:
         if r["head"] is not None:
-            out["batch"].append(r["batch"])
-            out["refs"].append(r["refs"])
-            out["head"].append(r["head"])
+            row(r["batch"], r["refs"], r["head"])
+            continue
+        singles.append((r["batch"], r["refs"], at, at + len(r["once"]) // 8))
+        for key, more in (("once", "checks"), ("often", "often_checks")):
+            names.append(np.frombuffer(r[key], np.uint64))
+            if r[more] is not None:
+                checks.append(np.frombuffer(r[more], np.uint64))
+            at += len(names[-1])
     if names:
-        n, c, o, m = map(np.concatenate, (names, checks, owner, many))
-        order = np.lexsort((c, n))
-        sn, sc = n[order], c[order]
-        equal = (sn[1:] == sn[:-1]) & (sc[1:] == sc[:-1])
+        n = np.concatenate(names)
+        c = np.concatenate(checks) if checks else None
+        order = np.argsort(n, kind="stable") if c is None else np.lexsort((c, n))
+        equal = n[order[1:]] == n[order[:-1]]
+        if c is not None:
+            equal &= c[order[1:]] == c[order[:-1]]
         shared = np.zeros(len(n), bool)
         shared[order[1:]] |= equal
         shared[order[:-1]] |= equal
-        for i in np.unique(o[shared & ~m]).tolist():
-            out["batch"].append(rows[i]["batch"])
-            # Each row's singles come first in its stretch, in the order of its refs.
-            out["refs"].append(np.frombuffer(rows[i]["refs"], np.uint32)[shared[(o == i) & ~m]].tobytes())
-            out["head"].append(None)
+        for batch, refs, low, high in singles:
+            if shared[low:high].any():
+                row(batch, np.frombuffer(refs, np.uint32)[shared[low:high]].tobytes(), None)
     return pa.table({"batch": pa.array(out["batch"], pa.string()), "refs": pa.array(out["refs"], pa.binary()), "head": pa.array(out["head"], pa.binary())})
 
 
@@ -207,8 +218,10 @@ def _together(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     return _unpacked(head), np.unique(refs)
 
 
-def _exchanged(packed: DataFrame) -> DataFrame:
-    return packed.groupBy("bucket").applyInArrow(_met, "batch string, refs binary, head binary").groupBy("batch")
+def _exchanged(packed: DataFrame, buckets: int) -> DataFrame:
+    """Every batch with its shared places; there are as many tasks as buckets, so that one holds few of them."""
+    met = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_met, "batch string, refs binary, head binary")
+    return met.repartition(buckets, "batch").groupBy("batch")
 
 
 _BITS = "key1 long, key2 long, found binary"
@@ -220,10 +233,9 @@ def _per_text(key1: np.ndarray, key2: np.ndarray, found: list[bytes]) -> pa.Tabl
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows by a key of their own content: equal rows share it, and get equal results."""
-    return docs.select(
-        F.xxhash64("doc_id").alias("key1"), F.xxhash64("text").alias("key2"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    )
+    """Rows by 128 bits of hash of their id and text: equal rows share them, and get equal results; copies with other ids don't meet in one task."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return docs.select(F.xxhash64("doc_id", text).alias("key1"), F.xxhash64(text).alias("key2"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
 def shared_symbols(docs: DataFrame, buckets: int, rounds: int) -> DataFrame:
@@ -233,7 +245,7 @@ def shared_symbols(docs: DataFrame, buckets: int, rounds: int) -> DataFrame:
         for batch in (x for whole in batches for x in pieces(whole, 2)):
             parse = Parse(Words(batch.column(2), IS_SPACED, False), rounds)
             sizes = np.bincount(parse.text, minlength=batch.num_rows)
-            yield _packed(parse.names, np.zeros(len(parse.names), np.uint32), buckets, _head(batch.column(0), batch.column(1), sizes))
+            yield _packed(parse.names, None, buckets, _head(batch.column(0), batch.column(1), sizes))
 
     def gather(table: pa.Table) -> pa.Table:
         (key1, key2, sizes), places = _together(table)
@@ -243,7 +255,7 @@ def shared_symbols(docs: DataFrame, buckets: int, rounds: int) -> DataFrame:
         return _per_text(key1, key2, [np.packbits(p).tobytes() if p.any() else b"" for p in parts])
 
     packed = docs.select("key1", "key2", "text").mapInArrow(send, _PACKED)
-    return _exchanged(packed).applyInArrow(gather, _BITS).groupBy("key1", "key2").agg(F.first("found").alias("found"))
+    return _exchanged(packed, buckets).applyInArrow(gather, _BITS).groupBy("key1", "key2").agg(F.first("found").alias("found"))
 
 
 def covered_words(docs: DataFrame, symbols: DataFrame, buckets: int, rounds: int, window: int) -> DataFrame:
@@ -259,7 +271,7 @@ def covered_words(docs: DataFrame, symbols: DataFrame, buckets: int, rounds: int
                 if bits:
                     shared[at[i] : at[i] + sizes[i]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(sizes[i]))
             begin = parse.possible(shared, window)
-            names, checks = window_names(parse, begin, window)
+            names, checks = window_names(parse.words, begin, window)
             text = np.searchsorted(parse.words.first, begin, "right") - 1
             # Windows mostly follow each other: stretches of them are remembered.
             fresh = np.ones(len(begin), bool)
@@ -284,13 +296,14 @@ def covered_words(docs: DataFrame, symbols: DataFrame, buckets: int, rounds: int
         return _per_text(key1, key2, found)
 
     packed = docs.join(symbols, ["key1", "key2"], "left").select("key1", "key2", "text", "found").mapInArrow(send, _PACKED)
-    return _exchanged(packed).applyInArrow(gather, _BITS).groupBy("key1", "key2").agg(F.first("found").alias("found"))
+    return _exchanged(packed, buckets).applyInArrow(gather, _BITS).groupBy("key1", "key2").agg(F.first("found").alias("found"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, words, words removed, digest of the kept words and the removed spans of every row."""
-    buckets = partitions(docs.sparkSession)
     keyed = _keyed(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-int(size) // BUCKET_BYTES))
     symbols = written(shared_symbols(keyed, buckets, rounds), "symbols")
     covered = written(covered_words(keyed, symbols, buckets, rounds, window), "covered")
 

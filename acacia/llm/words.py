@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _BYTES = np.arange(256, dtype=np.uint8)
 IS_ALNUM = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x41) & (_BYTES <= 0x5A)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)
@@ -21,26 +22,11 @@ LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astyp
 #: For bytes.translate: lower case, and a space for everything outside ALNUM words.
 ALNUM_TABLE = np.where(IS_ALNUM, LOWER, 0x20).astype(np.uint8).tobytes()
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_PIECE = 1 << 20
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
-    have = _powers.get(0)
-    if have is None or len(have[0]) < n:
-        size = max(n, _PIECE + 1)
-        tables = []
-        for factor in (_BASE, _INVERSE):
-            row = np.full(size, factor, np.uint64)
-            row[0] = 1
-            tables.append(np.multiply.accumulate(row))
-        have = tuple(tables)
-        if n <= _PIECE + 1:
-            _powers[0] = have
-    return have
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The low bytes of eight that belong to a word of which so many are left.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -113,21 +99,30 @@ class Words:
         """The index of each word's text."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial over its bytes, then mixed."""
-        out = np.empty(len(self), np.uint64)
-        i = 0
-        while i < len(self):
-            low = int(self.start[i])
-            j = max(i + 1, int(np.searchsorted(self.end, low + _PIECE, "right")))
-            piece = self.data[low : int(self.end[j - 1])]
-            power, inverse = _power_tables(len(piece) + 1)
-            sums = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(piece * power[: len(piece)], out=sums[1:])
-            s = self.start[i:j] - low
-            out[i:j] = (sums[self.end[i:j] - low] - sums[s]) * inverse[s]
-            i = j
-        return mixed(out)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's length and bytes. Every eight bytes are mixed in by a bijection, so that words of up to eight bytes of one length never collide."""
+        size = self.end - self.start
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eights = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+        out = mixed((size.astype(np.uint64) + np.uint64(seed << 40)) * _ODD)
+        on, at = np.flatnonzero(size <= _LONG), 0
+        while len(on):
+            left = size[on] - at
+            out[on] = mixed(out[on] ^ (eights[self.start[on] + at] & _MASKS[np.minimum(left, 8)]))
+            on, at = on[left > 8], at + 8
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] ^= np.uint64(xxhash.xxh64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), seed))
+        return out
+
+    def joined(self, which: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Some words with one space after each, and where each of them starts."""
+        size = self.end[which] - self.start[which]
+        start = np.cumsum(size + 1) - (size + 1)
+        total = int(size.sum())
+        out = np.full(total + len(which), 0x20, np.uint8)
+        inside = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(start, size) + inside] = self.data[np.repeat(self.start[which], size) + inside]
+        return out.tobytes(), start
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
