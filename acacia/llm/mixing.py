@@ -119,12 +119,15 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The documents taken, with all their columns and ``copies``."""
     copies = free_name("copies", docs.columns)
     # A leaf's rows of one id are taken together, and only they: the id alone, or a missing one, names no row.
-    keys = ["__taken", *(f"__{level}" for level in LEVELS)]
-    chosen = selected(docs, **parameters).groupBy(F.col("doc_id").alias("__taken"), *(F.col(level).alias(f"__{level}") for level in LEVELS)).agg(F.max("copies").alias(copies))
+    keys = {c: free_name(f"taken_{c}", docs.columns) for c in ("doc_id", *LEVELS)}
+    chosen = selected(docs, **parameters).groupBy(*(F.col(c).alias(k) for c, k in keys.items())).agg(F.max("copies").alias(copies))
     chosen = written(chosen, "chosen")
-    source = F.coalesce(docs["source"], F.lit(""))
-    same = docs["doc_id"].eqNullSafe(F.col("__taken")) & (domain_of(source) == F.col("__domain")) & (F.coalesce(docs["lang"], F.lit("")) == F.col("__lang")) & (source == F.col("__source"))
-    return docs.where(docs["text"].rlike(r"[^\x20\x09-\x0D]")).join(chosen, same).drop(*keys)
+    source, lang = (F.coalesce(F.col(c), F.lit("")) for c in ("source", "lang"))
+    own = {"doc_id": F.col("doc_id"), "domain": domain_of(source), "lang": lang, "source": source}
+    same = F.lit(True)
+    for c, value in own.items():
+        same = same & (value.eqNullSafe(F.col(keys[c])) if c == "doc_id" else value == F.col(keys[c]))
+    return docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(chosen, same).drop(*keys.values())
 
 
 #: DuckDB twin of ``selected`` with the parameters above.

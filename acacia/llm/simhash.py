@@ -1,17 +1,20 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints are made in Arrow batches. Distinct fingerprints are dealt into tiles of equal
-population count; two tiles meet only if their counts differ by no more than the radius, and inside
-a meeting numpy compares whole blocks with exclusive-or and bit counts, again skipping the blocks
-whose population counts by 16-bit quarter differ beyond the radius. Each meeting hands on a spanning
-forest of the links it found (not all pairs), and star contraction joins the forests.
+population count, and large counts are cut by the counts of their 16-bit quarters; two tiles meet only if
+their counts, and the boxes of their quarters' counts, differ by no more than the radius, and inside a
+meeting numpy compares whole blocks with exclusive-or and bit counts, again skipping the blocks whose
+quarters' counts differ beyond the radius. Each meeting hands on a spanning forest of the links it found
+(not all pairs), and star contraction joins the forests.
 
 The number of comparisons grows with the square of the distinct fingerprints; what is shipped for
 one meeting is bounded by ``TILE``.
 
 Defined cases: null or wordless texts have fingerprint zero and link like any other; a null doc_id
 gets the component of its fingerprint but is never a component's smallest id; repeated rows are
-returned as often as they come; an empty table gives no rows; other columns are ignored.
+returned as often as they come (``one_of_each`` keeps one of them); a text is hashed whole, at some 64
+bytes of a task's memory a word; an empty table gives no rows; other columns are ignored, or kept by
+``one_of_each`` whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from acacia.llm.work import written
+from acacia.llm.work import free_name, written
 from acacia.operators.components import connected
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -75,15 +78,16 @@ def fingerprints_of(texts: list[bytes | None], k: int = SHINGLE, seed: int = SEE
     return np.concatenate(out)
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and its fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED, more: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, its fingerprint as a signed 64-bit integer, and ``more`` columns."""
+    read = docs.select(F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = fingerprints_of(batch.column(1).to_pylist(), k, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "print"])
+            prints = fingerprints_of(batch.column(0).to_pylist(), k, seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints)], [*batch.schema.names[1:], "print"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, print long")
+    return read.mapInArrow(run, T.StructType([*read.schema.fields[1:], T.StructField("print", T.LongType())]))
 
 
 def _quarters(prints: np.ndarray) -> np.ndarray:
@@ -148,43 +152,47 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, block: int
     return np.stack([nodes[label[members]], nodes[members]], axis=1)
 
 
+def _cut(counts: dict[tuple[int, ...], int], tile: int) -> list[tuple[int, ...]]:
+    """Counts of quarters with the number of their first tile and of their tiles; small neighbours of one population count share a tile."""
+    out: list[tuple[int, ...]] = []
+    number, held, last = -1, 0, -1
+    for q in sorted(counts, key=lambda q: (sum(q), q)):
+        parts = -(-counts[q] // tile)
+        if parts > 1 or sum(q) != last or held + counts[q] > tile:
+            number, held = number + 1, 0
+        out.append((*q, number, parts))
+        number, held, last = number + parts - 1, tile if parts > 1 else held + counts[q], sum(q)
+    return out
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Distinct fingerprints (column print) to edges (a, b) whose components are those of all links."""
-    ones = F.bit_count("print").cast("int")
-    counts = nodes.groupBy(ones.alias("ones")).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles"))
-    tiles = {r["ones"]: r["tiles"] for r in counts.collect()}  # 65 rows at most
     spark = nodes.sparkSession
-    if not tiles:
+    names = ["q0", "q1", "q2", "q3"]
+    split = nodes.select("print", *[F.bit_count(F.shiftrightunsigned("print", 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("int").alias(q) for i, q in enumerate(names)])
+    counts = {tuple(r[q] for q in names): r["n"] for r in split.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()}  # 17**4 rows at most
+    if not counts:
         return spark.createDataFrame([], "a long, b long")
-    wide = spark.createDataFrame(list(tiles.items()), "ones int, tiles int")
-    each = wide.select("ones", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("part"))
-    reach = each.select(
-        F.struct("ones", "part").alias("tile"), F.explode(F.sequence(F.col("ones"), F.col("ones") + radius)).alias("to")
-    )
-    meetings = reach.join(each.select(F.col("ones").alias("to"), F.struct("ones", "part").alias("tile2")), "to").where("tile <= tile2")
-    sides = meetings.select("tile.ones", "tile.part", F.xxhash64("tile", "tile2").alias("meeting"), F.lit(0).alias("side")).unionByName(
-        meetings.where("tile <> tile2").select(
-            F.col("tile2.ones").alias("ones"), F.col("tile2.part").alias("part"), F.xxhash64("tile", "tile2").alias("meeting"), F.lit(1).alias("side")
-        )
-    )
-    many = F.lit(1)
-    for count, n in tiles.items():
-        if n > 1:
-            many = F.when(ones == count, F.lit(n)).otherwise(many)
+    cut = spark.createDataFrame(_cut(counts, tile), ", ".join(f"{q} int" for q in names) + ", first int, parts int")
+    tiles = cut.select(*names, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("tile"))
+    tiles = tiles.groupBy("tile").agg(F.min(sum(F.col(q) for q in names)).alias("ones"), *[f(q).alias(f"{s}{q}") for q in names for s, f in (("low_", F.min), ("high_", F.max))])
+    other = tiles.select(*[F.col(c).alias(f"{c}2") for c in tiles.columns])
+    reach = tiles.withColumn("to", F.explode(F.sequence(F.col("ones"), F.col("ones") + radius)))
+    apart = sum(F.greatest(F.col(f"low_{q}") - F.col(f"high_{q}2"), F.col(f"low_{q}2") - F.col(f"high_{q}"), F.lit(0)) for q in names)
+    meetings = reach.join(other, F.col("to") == F.col("ones2")).where((F.col("tile") <= F.col("tile2")) & (apart <= radius)).select("tile", "tile2")
+    meeting = F.xxhash64("tile", "tile2").alias("meeting")
+    sides = meetings.select("tile", meeting, F.lit(0).alias("side")).unionByName(meetings.where("tile <> tile2").select(F.col("tile2").alias("tile"), meeting, F.lit(1).alias("side")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.asarray(batch.column(0)).view(np.uint64)
-            key = np.asarray(batch.column(1)).astype(np.int64) << 32 | np.asarray(batch.column(2)).astype(np.int64)
+            own, key = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
             order = np.argsort(key, kind="stable")
             found, first = np.unique(key[order], return_index=True)
             packed = [x.tobytes() for x in np.split(own[order], first[1:])]
-            columns = [pa.array((found >> 32).astype(np.int32)), pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(packed[: len(found)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["ones", "part", "prints"])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(packed[: len(found)], pa.binary())], ["tile", "prints"])
 
-    packed = nodes.select("print", ones.alias("ones"), F.pmod(F.xxhash64("print"), many).cast("int").alias("part")).mapInArrow(
-        pack, "ones int, part int, prints binary"
-    )
+    dealt = split.join(F.broadcast(cut), names).select("print", (F.col("first") + F.pmod(F.xxhash64("print"), "parts").cast("int")).alias("tile"))
+    packed = dealt.mapInArrow(pack, "tile int, prints binary")
 
     def meet(table: pa.Table) -> pa.Table:
         side = np.asarray(table["side"])
@@ -193,12 +201,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
         pairs = linked(first, second if (side == 1).any() else None, radius).view(np.int64)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return packed.join(sides, ["ones", "part"]).select("meeting", "side", "prints").groupBy("meeting").applyInArrow(meet, "a long, b long")
+    return packed.join(sides, "tile").select("meeting", "side", "prints").groupBy("meeting").applyInArrow(meet, "a long, b long")
 
 
-def _classes(docs: DataFrame, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id and print of every row; and of every print (node) its group's root and component_id."""
-    prints = written(fingerprints(docs), "prints")
+def _classes(docs: DataFrame, radius: int, tile: int, more: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """doc_id, print and ``more`` of every row; and of every print (node) its group's root and component_id."""
+    prints = written(fingerprints(docs, more=more), "prints")
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
     roots = written(connected(links(nodes.select("print"), radius, tile)).withColumnRenamed("node", "print"), "roots")
     whole = roots.unionByName(roots.select(F.col("root").alias("print"), "root")).distinct()
@@ -220,35 +228,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     )
 
 
-def _printed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with their fingerprint as ``__print``."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__print", T.LongType())])
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = fingerprints_of(batch.column(at).cast(pa.binary()).to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, "__print"])
-
-    return docs.mapInArrow(run, schema)
-
-
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each group of near duplicates, whose doc_id is the group's smallest; rows without a doc_id stay.
+def one_of_each(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates: that of the smallest doc_id, rows without one last, then of the smallest digest.
 
-    Where one doc_id has several texts, the row is told by its fingerprint too.
+    Rows are told apart by all their columns; of rows that are equal in all of them, any is kept.
     """
-    prints, final = _classes(docs, radius, TILE)
-    own = prints.join(final, (F.col("print") == F.col("node")) & (F.col("doc_id") == F.col("component_id")))
-    kept = own.groupBy("root").agg(F.min(F.struct("doc_id", "print")).alias("k")).select(F.col("k.doc_id").alias("__kept"), F.col("k.print").alias("__own"))
-    several = prints.where("doc_id is not null").groupBy("doc_id").agg((F.min("print") != F.max("print")).alias("several")).where("several")
-    kept = written(kept.join(several, F.col("__kept") == F.col("doc_id"), "left").select("__kept", "__own", F.col("several").isNotNull().alias("several")), "kept")
-    named = docs.where("doc_id is not null")
-    plain = named.join(kept.where("not several"), F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    out = plain.unionByName(docs.where("doc_id is null"))
-    told = kept.where("several")
-    if told.isEmpty():
-        return out
-    rows = _printed(named.join(told, F.col("doc_id") == F.col("__kept"), "left_semi"))
-    rows = rows.join(told, (F.col("doc_id") == F.col("__kept")) & (F.col("__print") == F.col("__own")), "left_semi")
-    return out.unionByName(rows.dropDuplicates(["doc_id", "__print"]).drop("__print"))
+    names = {k: free_name(k, docs.columns) for k in ("text_digest", "row_hash")}
+    # A null text is not an empty one, but both have fingerprint zero.
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias(names["text_digest"])
+    rest = F.to_json(F.struct(F.col("text").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]))
+    key = (digest, F.xxhash64(rest).alias(names["row_hash"]))
+    prints, final = _classes(docs, radius, tile, key)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", *names.values())
+    kept = prints.join(final, F.col("print") == F.col("node")).groupBy("root").agg(F.min(order).alias("k"))
+    kept = written(kept.select(*[F.col(f"k.{n}").alias(n) for n in names.values()]), "kept")
+    copies = prints.groupBy(*names.values()).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*names.values())
+    repeated = written(kept.join(copies, list(names.values()), "left_semi"), "repeated")
+    rows = docs.select("*", *key)
+    once = rows.join(kept.join(repeated, list(names.values()), "left_anti"), list(names.values()), "left_semi")
+    if not repeated.isEmpty():
+        once = once.unionByName(rows.join(repeated, list(names.values()), "left_semi").dropDuplicates(list(names.values())))
+    return once.drop(*names.values())

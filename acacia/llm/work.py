@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from acacia.operators.work import shared_folder, written
+from acacia.operators.work import discard, shared_folder, written
 
-__all__ = ["free_name", "partitions", "shared_folder", "written"]
+__all__ = ["discard", "free_name", "partitions", "shared_folder", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
