@@ -14,14 +14,19 @@ scripts, notices, adverts and comments (by tag name, role, and words of class an
 article or main element is evidence afterwards: it widens a container that it holds, narrows one that
 holds it alone, and stands in on pages without the container and on hosts of a single page.
 
-A class name that is no more than partly such a word never skips html, body, main, article, the container or what
-holds it. Template text stays where a page's container would keep less than half of its text, so that
-copies of a page don't erase each other.
+A name of class or id counts if it is such a word, or if most of its words are and the others say no more than
+where it stands (``ad-slot-3``, but not ``ad-hoc-query``). Names of the second sort never skip html, body, main,
+article, the container or what holds it, and neither sort skips a paragraph, heading, list item or run of text
+unless all its names are such words. Paragraphs and headings that a main element holds beside its article belong to
+the text; so do articles side by side, where no template says which is meant. Template text stays where a page's
+container would keep less than half of its text, so that copies of a page don't erase each other.
 
 Defined cases: null or empty html gives empty text; a page without a marked container and without a
 template slot gives the text of its body; a tag that is never closed ends with its parent or the
-page; references that are no references stay as written; a null URL has the host ``""``; repeated
-rows are extracted one by one; an empty table gives no rows; other columns are ignored.
+page; references that are no references stay as written; a null URL has the host ``""``; a page is read
+whole, in a task's memory, however long it is; paths beyond ``LONGEST_PATH`` letters go on from a hash, so that
+deep nesting takes memory in proportion; repeated rows are extracted one by one; an empty table gives no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ from acacia.llm.work import written
 SUPPORT = 0.5
 #: Tokens of a class that counts as template, and pages that a template text is on at least.
 CLASS, REPEATS = 3, 3
+#: Letters of a path from which on its hash stands for it.
+LONGEST_PATH = 600
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -63,7 +70,7 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _SKIP = frozenset(
-    "nav aside footer form script style noscript template iframe svg canvas object button select option textarea menu dialog head title input label fieldset audio video map".split()
+    "nav aside footer form script style noscript template iframe svg canvas button select option textarea menu dialog head title input fieldset audio video".split()
 )
 #: Words of a class or id that mark what is no main text.
 _SKIP_WORDS = frozenset(
@@ -71,18 +78,25 @@ _SKIP_WORDS = frozenset(
     "aside footer masthead cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related "
     "recommended comment comments reply replies respondent disqus pagination pager widget toolbar login".split()
 )
+#: Words that may stand beside them in a name and mean no more than a place or a part.
+_PLACE_WORDS = frozenset(
+    "area bar block blocks body bottom box button buttons center column container content count form header icon icons inner item items left link links list main media "
+    "module outer panel post posts reader readers right row section side site slot slots text title top unit units user users wrap wrapper".split()
+)
+#: Tags of running text, which a part of a name doesn't skip.
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption figcaption pre blockquote a b i em strong span font small u code q cite mark sub sup label".split())
 _SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: A page header is skipped, an article's own header is not, unless it holds a menu.
 _CLOSES = {"p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset("tr td th".split()), "td": frozenset("td th".split()), "th": frozenset("td th".split())}
 
 
 class Node:
-    """An open tag: its name, path key, whether it and all in it are skipped (1 by a part of a class name only, 2 for sure), and whether it is in the container."""
+    """An open tag: its name, path key, whether it and all in it are skipped (1 by a part of a class name only, 2 for sure), and whether it is in the container, or in an article."""
 
-    __slots__ = ("name", "key", "skipped", "inside")
+    __slots__ = ("name", "key", "skipped", "inside", "article")
 
-    def __init__(self, name: str, key: str, skipped: int, inside: bool):
-        self.name, self.key, self.skipped, self.inside = name, key, skipped, inside
+    def __init__(self, name: str, key: str, skipped: int, inside: bool, article: bool):
+        self.name, self.key, self.skipped, self.inside, self.article = name, key, skipped, inside, article
 
 
 def _marks(attributes: str) -> tuple[set[str], set[str], str, bool]:
@@ -104,18 +118,32 @@ def _marks(attributes: str) -> tuple[set[str], set[str], str, bool]:
     return words, whole, role, hidden
 
 
+def _named(names: set[str]) -> int:
+    """How names of class and id skip a tag: 2 if one is a word of what is no main text, 1 if one consists of such words, else 0."""
+    if names & _SKIP_WORDS:
+        return 2
+    for name in names:
+        words = [w for w in _SPLIT.split(name) if w]
+        skip = sum(w in _SKIP_WORDS for w in words)
+        if skip and skip + sum(w in _PLACE_WORDS or w.isdigit() for w in words if w not in _SKIP_WORDS) == len(words) or 2 * skip > len(words):
+            return 1
+    return 0
+
+
 def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, Node | None]]:
     """("open", name, node), ("break", name, None) at block borders, and ("text", decoded text, node in which it stands)."""
     stack: list[Node] = []
     raw_until = 0
     at = 0
-    root = Node("", "", 0, False)
+    root = Node("", "", 0, False, False)
+    open_now: dict[str, int] = {}
 
     def top() -> Node:
         return stack[-1] if stack else root
 
     def pop_to(depth: int) -> None:
-        del stack[depth:]
+        while len(stack) > depth:
+            open_now[stack.pop().name] -= 1
 
     for m in _TAG.finditer(page):
         if m.start() < raw_until:
@@ -127,7 +155,7 @@ def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, No
         if not name:
             continue
         if m[1] or m[4]:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if open_now.get(name) else ():
                 if stack[depth].name == name:
                     pop_to(depth)
                     break
@@ -148,17 +176,18 @@ def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, No
             yield "text", " ", top()
         words, whole, role, hidden = _marks(m[3] or m[6] or "")
         above = top()
-        key = f"{above.key}/{name}" + "".join("." + w.replace("/", "|") for w in sorted(words))
-        in_article = any(n.name in ("article", "main") for n in stack)
-        if name in _SKIP or (name == "header" and not in_article) or role in _SKIP_ROLES or hidden:
+        path = above.key if len(above.key) <= LONGEST_PATH else "~" + xxhash.xxh64_hexdigest(above.key)
+        key = f"{path}/{name}" + "".join("." + w.replace("/", "|") for w in sorted(words))
+        if name in _SKIP or (name == "header" and not above.article) or role in _SKIP_ROLES or hidden:
             skipped = 2
         elif name in ("html", "body") or (container is not None and (container + "/").startswith(key + "/")):
             skipped = 0
-        elif name in ("article", "main"):
+        elif name in ("article", "main") or name in _TEXT_TAGS:
             skipped = 2 if whole and whole <= _SKIP_WORDS else 0
         else:
-            skipped = 2 if whole & _SKIP_WORDS else 1 if words & _SKIP_WORDS else 0
-        node = Node(name, key, max(above.skipped, skipped), above.inside or (container is not None and key == container))
+            skipped = _named(whole)
+        inside = above.inside or (container is not None and key == container)
+        node = Node(name, key, max(above.skipped, skipped), inside, above.article or name in ("article", "main"))
         yield "open", name, node
         closed = (m[3] or m[6] or "").endswith("/")
         if name in _RAW and not closed:
@@ -167,40 +196,61 @@ def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, No
             continue
         if name not in _VOID and not closed:
             stack.append(node)
+            open_now[name] = open_now.get(name, 0) + 1
     if at < len(page):
         yield "text", html.unescape(page[at:]), top()
 
 
-def _marked(page: str, slot: str | None = None) -> tuple[str | None, bool, bool]:
+def _marked(page: str, slot: str | None = None) -> tuple[str | None, list[str], bool]:
     """The path of the page's own main container (its first article that is not skipped, else its main, else one skipped by
-    a part of a class name), whether other articles stand beside it, and whether ``slot`` is on the page."""
+    a part of a class name), the paths of articles that stand beside each other, and whether ``slot`` is on the page."""
     found: dict[tuple[int, str], str] = {}
     low = page.lower()
     if "<article" not in low and "<main" not in low and slot is None:
-        return None, False, False
-    several = has_slot = False
+        return None, [], False
+    beside: list[str] = []
+    has_slot = False
     for what, name, node in walk(page):
         if what == "open" and node is not None:
             has_slot = has_slot or node.key == slot
             if node.skipped < 2 and name in ("article", "main"):
                 first = found.setdefault((node.skipped, name), node.key)
-                several = several or (name == "article" and node.skipped == 0 and not (node.key + "/").startswith(first + "/"))
-                if slot is None and (0, "article") in found:
-                    break
+                if name == "article" and node.skipped == 0 and not any((node.key + "/").startswith(other + "/") for other in beside):
+                    beside.append(node.key)
                 if node.key == slot and first == slot:
                     break
-    return next((found[k] for k in ((0, "article"), (0, "main"), (1, "article"), (1, "main")) if k in found), None), several, has_slot
+    return next((found[k] for k in ((0, "article"), (0, "main"), (1, "article"), (1, "main")) if k in found), None), beside, has_slot
+
+
+def _common(paths: list[str]) -> str:
+    """The innermost path that holds all of some paths."""
+    steps = [p.split("/") for p in paths]
+    n = next((i for i, level in enumerate(zip(*steps)) if len(set(level)) > 1), min(map(len, steps)))
+    return "/".join(steps[0][:n])
+
+
+def _widened(page: str, container: str) -> str:
+    """The main element that holds a container, if all else in it are paragraphs and headings of its own."""
+    at = container.find("/main")
+    if at < 0 or container.rfind("/") <= at:
+        return container
+    end = container.find("/", at + 1)
+    main = container[:end]
+    beside = [path for path, *_ in _blocks(page, main) if not (path + "/").startswith(container + "/")]
+    return main if beside and all(path.startswith(main + "/") and path[len(main) + 1 :].split(".")[0] in _TEXT_TAGS for path in beside) else container
 
 
 def _container(page: str, slot: str | None) -> str | None:
-    own, several, has_slot = _marked(page, slot)
+    own, beside, has_slot = _marked(page, slot)
     if slot is None or not has_slot:
-        return own
-    if own is None or own == slot:
-        return slot
-    if slot.startswith(own + "/"):
-        return own
-    return own if own.startswith(slot + "/") and not several else slot
+        chosen = _common(beside) or own if len(beside) > 1 else own
+    elif own is None or own == slot:
+        chosen = slot
+    elif slot.startswith(own + "/"):
+        chosen = own
+    else:
+        chosen = own if own.startswith(slot + "/") and len(beside) < 2 else slot
+    return chosen if chosen is None else _widened(page, chosen)
 
 
 def _blocks(page: str, container: str | None = None, upto: int = 0) -> Iterator[tuple[str, int, str, int]]:

@@ -257,6 +257,46 @@ def test_parts_of_class_names_never_take_the_page(spark, copies):
         assert (n, texts_of(spark, [make(i) for i in range(copies)])) == (n, [STORY.format(i).strip() for i in range(copies)])
 
 
+KEEPS = [
+    ('<article><p>a</p><p class="related-work">b</p><p class="social history">c</p><p id="comment-on-law">d</p><div id="ad-hoc-query">e</div></article>', "a\nb\nc\nd\ne"),
+    ("<article><p>a</p><label>b</label> <object>c</object> <map>d</map></article>", "a\nb c d"),
+    ("<main><h1>intro</h1><article><p>a</p></article></main>", "intro\na"),
+    ("<main><nav>menu</nav><article><p>a</p></article><div class='x'>other</div></main>", "a"),
+    ("<article class=x><p>a</p></article><aside>s</aside><article class=y><p>b</p></article>", "a\nb"),
+    ("<article><div class=ad>x</div><p>a</p><div class='ad-slot-3'>y</div><section class='reader-comments'>z</section><p class='ad'>w</p></article>", "a"),
+]
+
+
+def test_names_that_only_begin_like_adverts_stay(spark):
+    for copies in (1, 4):
+        for body, want in KEEPS:
+            bodies = [body.replace(">a<", f">a {i} {'long ' * 30}<").replace(">b<", f">b {i}<") for i in range(copies)]
+            wants = [want.replace("a", f"a {i} {'long ' * 30}".strip(), 1) for i in range(copies)] if not want.startswith("intro") else [f"intro\na {i} {'long ' * 30}".strip() for i in range(copies)]
+            wants = [w.replace("\nb", f"\nb {i}") for i, w in enumerate(wants)]
+            if copies > 1:
+                # What all pages of a host have is template text.
+                got = texts_of(spark, bodies)
+                assert all(set(g.split("\n")) <= set(w.split("\n")) and g.split("\n")[0].startswith(("a", "intro")) for g, w in zip(got, wants)), (body, got)
+            else:
+                assert texts_of(spark, bodies) == wants
+
+
+def test_an_article_by_another_name_gives_the_same_text(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(60).collect()
+    rows = [(r.page_id, "http://one.example/" + str(r.page_id), r.html) for r in given]
+    renamed = [(i, u, h.replace("<article", "<div class='story'").replace("</article", "</div")) for i, u, h in rows]
+    schema = "page_id long, url string, html string"
+    texts = [{r.page_id: r.text for r in pages.main_text(spark.createDataFrame(x, schema)).collect()} for x in (rows, renamed)]
+    assert texts[0] == texts[1]
+
+
+def test_very_long_and_deep_pages():
+    assert pages.extract(page("<article>" + "<p>word</p>" * 50_000 + "</article>")) == "\n".join(["word"] * 50_000)
+    deep = pages._tokens(page("<div>" * 20_000 + "<p>x</p>" + "</b>" * 20_000))
+    assert sum(len(path) for path, _ in deep) < 20_000 * 2 * pages.LONGEST_PATH
+    assert pages.extract(page("<article>" + "<div class='q'>" * 5000 + "deep" + "</div>" * 5000 + "<p>end</p></article>")) == "deep\nend"
+
+
 def test_pages_given(spark):
     import html
     import re
