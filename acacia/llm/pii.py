@@ -2,17 +2,22 @@
 
 Candidate spans come from the base patterns (which always count) and from the method's own
 patterns. Three kinds of labelers vote on each candidate: a regex labeler on its form, a gazetteer
-labeler on words in or beside it, and a context labeler on the words before it. Over all documents
-the candidates are counted by kind and votes; expectation-maximisation on those counts estimates
-every labeler's reliability, and a logistic span classifier is trained on the posteriors. A
+labeler on words in or beside it, and a context labeler on the ``CONTEXT`` characters before it. Over all
+documents the candidates are counted by kind and votes; for every kind, expectation-maximisation on those
+counts estimates each labeler's reliability, and a logistic span classifier is trained on the posteriors. A
 candidate of the method's own is kept from a probability of one half on.
 
+The labelers are small on purpose: forms are checks of digits, prefixes and separators, the gazetteer is a
+list of some 120 given names and of words that mark a value as a made-up one, and the context is a list of
+words for each kind in four languages.
+
 What is gathered is one row for each combination of kind, votes and features, however large the
 corpus is.
 
-Defined cases: null and empty texts have no spans; repeated rows are reported one by one; an empty
-table gives no rows; positions are code points, ends exclusive; other columns are kept in
-``redacted`` and ignored in ``report``.
+Defined cases: null and empty texts have no spans; texts are searched whole, in time that grows with
+their length; of candidates that overlap, all that pass are reported; repeated rows are reported one by
+one; an empty table gives no rows, and a classifier that keeps every candidate; positions are code points,
+ends exclusive; other columns are kept in ``redacted`` and ignored in ``report``.
 """
 
 from __future__ import annotations
@@ -42,22 +47,33 @@ _DIGIT = re.compile(r"[0-9]")
 
 _SECRET = re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,}+)", re.I)
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b")
-_NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.?\x20([A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?)\b")
+_NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.?\x20([A-ZÀ-Þ][a-zß-ÿ]++(?:[\x20-][A-ZÀ-Þ][a-zß-ÿ]++)?)(?![A-Za-zÀ-ÿ])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 #: Cheap signs that one of the method's patterns may match.
 _SECRET_SIGNS = ("passw", "pwd", "secret", "token", "api", "access")
 _NAME_SIGNS = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Monsieur", "Madame")
 _IBAN_SIGN = re.compile(r"[0-9](?<=[A-Z]{2}[0-9])[0-9]")
-_FIRST_NAMES = frozenset("anna maria john james mary robert michael david peter paul thomas anne marie jean pierre juan carlos jose hans klaus sabine petra julia laura sofia emma".split())
+#: Given names of the gazetteer, in four languages.
+_FIRST_NAMES = frozenset(
+    "adam alan albert alex alice amy andrea andrew angela anna anne anthony antoine antonio barbara benjamin bernd brian camille carl carla carlos carmen carol caroline catherine charles charlotte "
+    "christian christine claire claudia daniel david deborah dennis diana diego dieter donald dorothy edward elena elisabeth elizabeth emily emma eric ernst eva fernando florian francisco frank "
+    "françois franz friedrich gabriel george gisela hans harold heinz helen helga henri henry ines isabel jacques james jan jane javier jean jennifer jessica joan johann john jorge jose joseph "
+    "juan julia julie karen karl katharina kevin klaus laura lisa louis lucas luis manuel marco margaret maria marie mark martin martina mary michael michel miguel monika nicolas nicole olivia "
+    "pablo patricia patrick paul pedro peter petra philippe pierre rafael ralf richard robert rosa ruth sabine sandra sara sarah sofia sophie stefan stephen susan susanne sylvie teresa thomas "
+    "uwe victor walter werner william wolfgang".split()
+)
+#: Words that mark a value as an example.
+_MADE_UP = ("example", "changeme", "placeholder", "your_", "xxxx", "<")
+CONTEXT = 40
 _CONTEXT = {
-    "email": ("mail", "contact", "write", "e-mail"),
-    "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "karte"),
-    "phone": ("phone", "tel", "call", "fax", "mobile"),
-    "secret": ("login", "user", "key", "auth"),
-    "iban": ("iban", "account", "bank", "konto"),
-    "name": ("name", "dear", "signed", "by"),
-    "ssn": ("ssn", "social", "security", "insurance"),
+    "email": ("mail", "contact", "write", "kontakt", "contacto", "courriel"),
+    "ip": ("ip", "host", "server", "address", "adresse", "login"),
+    "card": ("card", "visa", "credit", "karte", "carte", "tarjeta"),
+    "phone": ("phone", "tel", "call", "fax", "mobile", "fon", "móvil"),
+    "secret": ("login", "user", "key", "auth", "config", "export"),
+    "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
+    "name": ("name", "dear", "signed", "by", "von", "de"),
+    "ssn": ("ssn", "social", "security", "insurance", "number"),
 }
 
 
@@ -124,7 +140,11 @@ def own_candidates(text: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     low = text.lower()
     if any(sign in low for sign in _SECRET_SIGNS):
-        out += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
+        for m in _SECRET.finditer(text):
+            # Punctuation after a value that is not in quotes ends the sentence.
+            size = len(m[1]) if text[m.end(1) : m.end(1) + 1] in ('"', "'") else len(m[1].rstrip(",.;:!?)]}"))
+            if size >= 6:
+                out.append(("secret", m.start(1), m.start(1) + size))
     if _IBAN_SIGN.search(text):
         out += [("iban", *m.span()) for m in _IBAN.finditer(text)]
     if any(sign in text for sign in _NAME_SIGNS):
@@ -141,26 +161,34 @@ def _iban_sum(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def _form(text: str, kind: str, start: int, end: int) -> int:
+    """The regex labeler's vote."""
+    span = text[start:end]
+    if kind == "email":
+        return 1 if span.rsplit(".", 1)[1].isalpha() and ".." not in span else -1
+    if kind == "ip":
+        return -1 if any(len(p) > 1 and p[0] == "0" for p in span.split(".")) or text[end : end + 1] == "." or text[start - 1 : start] in (".", "v") else 1
+    if kind == "card":
+        return (1 if span[0] in "3456" else -1) if len({c for c in span if not c.isdigit()}) < 2 else 0
+    if kind == "phone":
+        return 1 if not re.search(r"[^0-9+]{3}", span) else 0
+    if kind == "secret":
+        return 1 if len(span) >= 8 and _DIGIT.search(span) and not any(word in span.lower() for word in _MADE_UP) else -1
+    if kind == "iban":
+        return 1 if _iban_sum(span) else -1
+    if kind == "ssn":
+        return -1 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" else 1
+    return 1 if " " in span or "-" in span else 0
+
+
 def votes(text: str, kind: str, start: int, end: int) -> tuple[int, int, int]:
     """Regex, gazetteer and context votes: 1 for, -1 against, 0 abstains."""
-    span = text[start:end]
-    if kind in BASE_KINDS:
-        form = 1
-    elif kind == "secret":
-        form = 1 if len(span) >= 8 and _DIGIT.search(span) else -1
-    elif kind == "iban":
-        form = 1 if _iban_sum(span) else -1
-    elif kind == "ssn":
-        form = -1 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" else 1
-    else:
-        form = 1 if " " in span else 0
-    near = text[max(0, start - 40) : start].lower()
-    around = {w.strip(".,;:") for w in (near[-40:] + " " + span.lower()).split()}
-    gazetteer = 1 if around & _FIRST_NAMES else 0
-    if kind == "secret" and ("example" in span.lower() or "changeme" in span.lower()):
-        gazetteer = -1
+    span = text[start:end].lower()
+    near = text[max(0, start - CONTEXT) : start].lower()
+    words = re.split(r"[\s.,;:@_+-]+", near[-12:] + " " + span[:64])
+    gazetteer = 1 if not _FIRST_NAMES.isdisjoint(words) else 0
     context = 1 if any(word in near for word in _CONTEXT[kind]) else 0
-    return form, gazetteer, context
+    return _form(text, kind, start, end), gazetteer, context
 
 
 def features(kind: str, pattern: tuple[int, int, int], text: str, start: int, end: int) -> tuple[int, ...]:
@@ -210,6 +238,12 @@ def estimate(patterns: np.ndarray, n: np.ndarray, prior: float = 0.7, rounds: in
                 # Two made-up votes keep a labeler from becoming certain on few candidates.
                 seen = np.bincount(states[:, j], weight[c], minlength=3) + 2 * np.array([(0.5, 0.4, 0.1), (0.1, 0.3, 0.6)][c])
                 table[c, j] = seen / seen.sum()
+        # A labeler is no worse than chance: a vote for never speaks against, nor one against for.
+        for j in range(patterns.shape[1]):
+            for vote, better in ((0, 0), (2, 1)):
+                if table[better, j, vote] < table[1 - better, j, vote]:
+                    table[:, j, vote] = table[:, j, vote].mean()
+            table[:, j] /= table[:, j].sum(axis=1, keepdims=True)
         prior = float(np.clip((weight[1].sum() + 1) / (n.sum() + 2), 0.05, 0.95))
     return posterior, table
 
@@ -231,7 +265,10 @@ def fit(docs: DataFrame, ridge: float = 1e-3, rounds: int = 300) -> np.ndarray:
         return weights
     order = np.lexsort(rows.T)
     rows, x, n = rows[order], x[order], np.asarray(table["n"], float)[order]
-    target, _ = estimate(rows[:, 1:4], n)
+    target = np.empty(len(rows))
+    for kind in np.unique(rows[:, 0]).tolist():
+        own = rows[:, 0] == kind
+        target[own], _ = estimate(rows[own, 1:4], n[own])  # a labeler may be good at one kind and poor at another
     share = np.log1p(n) / np.log1p(n).sum()  # frequent combinations don't drown rare ones
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-x @ weights))
