@@ -9,13 +9,19 @@ A document's expected severity is the sum of ``P(grade >= k)``. It is rejected f
 ``P(grade >= 1)`` on which tells the classes of the sample apart best (the rates of toxic and clean
 documents that reach it differ most).
 
+The labels say only toxic or not, so a grade above 0 means how much of a document marks the class, and not
+how severe a reader would find it; expected severity orders documents by that. P(grade >= 1), on which
+rejection rests, doesn't depend on how toxic documents are graded among themselves but through shared weights.
+
 The model is fitted on a sample of labelled documents of at most ``SAMPLE`` distinct texts, chosen by
-the hash of their ids; every document is scored.
+the hash of their ids and then of their texts, and on at most ``FEATURES`` words and beginnings, those of the
+steepest slopes (documented bounds of the fit); every document is scored.
 
 Defined cases: null texts are empty; texts without known words get the severity of the thresholds
-alone; labels that are null, or have no document, are left out; without labels of both classes
-nothing is rejected and severity is 0; repeated rows are scored one by one; other columns are kept
-in ``clean`` and ignored in ``scored``.
+alone; texts are read whole, in a task's memory, however long they are; labels that are null, or have no
+document, are left out, and of several labels of an id the toxic one counts; without labels of both classes
+nothing is rejected and severity is 0; repeated rows are scored one by one; an empty table gives no rows;
+other columns are kept in ``clean`` and ignored in ``scored``.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 from acacia.llm.words import ALNUM_TABLE
 from acacia.llm.work import written
 
-SAMPLE, GRADES = 10_000, 3
+SAMPLE, FEATURES, GRADES = 10_000, 50_000, 3
 #: L1 penalty on the weights of scaled features while words are chosen.
 PENALTY = 0.06
 #: Words and beginnings in fewer sampled documents than this are no features.
@@ -88,6 +94,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg((F.max("toxic") > 0).cast("int").alias("toxic"))  # chosen is bounded
+    rows = rows.orderBy(F.xxhash64("text"), "text").limit(most)  # an id may have several texts
     return written(rows.select(F.monotonically_increasing_id().alias("row"), "text", "toxic"), "sample")
 
 
@@ -132,8 +139,9 @@ def screened(rows: DataFrame, sizes: dict[int, int], penalty: float) -> tuple[li
 
     sums = rows.select("toxic", "text").mapInArrow(run, _SUMS).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("slope", "square", "with_toxic", "with_clean")])
     marks = F.col("with_toxic") / sizes[1] > 4 * (F.col("with_clean") + 1) / sizes[0]
-    found = sums.where(F.col("with_toxic") + F.col("with_clean") >= LEAST_DOCUMENTS).where(F.abs(F.col("slope")) / F.sqrt("square") >= penalty / 2)
-    kept = found.select("word", marks.alias("marks")).orderBy("word").collect()
+    steep = F.abs(F.col("slope")) / F.sqrt("square")
+    found = sums.where(F.col("with_toxic") + F.col("with_clean") >= LEAST_DOCUMENTS).where(steep >= penalty / 2).orderBy(F.desc(F.round(steep, 9)), "word").limit(FEATURES)
+    kept = sorted(found.select("word", marks.alias("marks")).collect())
     return [bytes(r["word"]) for r in kept], [r["marks"] for r in kept]
 
 
