@@ -1,6 +1,6 @@
 """Exact top-k inner products by distributed histogram selection.
 
-Query vectors go out in blocks of a fixed size. For a block, every candidate is scored in Arrow
+Query vectors go out in blocks of bounded rows and bytes. For a block, every candidate is scored in Arrow
 batches with a matrix product; the scores are never stored. Their k-th value is located by
 narrowing: each round counts scores by the next higher bits inside the interval found so far, the
 counts are added up over all tasks, and the bin that holds the k-th value becomes the next interval.
@@ -10,8 +10,9 @@ A task reports only counts at or above its own k-th value: the global one cannot
 
 Defined cases: vectors that are null or hold a null, infinite or NaN component, and rows without a
 vec_id, take no part; vectors of different lengths are not compared; a query's candidates are the
-rows with another vec_id; a query row that is repeated is answered once for each row; no candidates
-give no rows; other columns are ignored.
+rows with another vec_id, so that a repeated row is no candidate of its own copies; a query row that is
+repeated is answered once for each row; scores beyond 64 bits, which a score of type long can't hold, count
+as the nearest one that it can; no candidates give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from acacia.llm.work import written
 
-#: Query vectors of one pass over the candidates, and the bits by which a round narrows.
-QUERY_BLOCK, BITS = 2048, 9
+#: Query vectors of one pass over the candidates, their bytes, and the bits by which a round narrows.
+QUERY_BLOCK, QUERY_BYTES, BITS = 16_384, 32 << 20, 13
 _EXACT = 1 << 52
 
 
@@ -66,18 +67,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
     spark = vectors.sparkSession
     candidates = usable(vectors)
     wanted = usable(queries)
-    n = wanted.count()
-    parts = max(1, -(-n // block))
+    n, values = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    parts = max(1, -(-n // block), -(-8 * values // QUERY_BYTES))
+    largest = candidates.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))), F.max(F.size("v"))).first()
+    bound = (float(largest[0] or 0.0) * scale + 1) * max(1, int(largest[1] or 1))
     out = None
     numbered = written(wanted.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))), "queries")
     for part in range(parts):
         rows = numbered.where(F.col("part") == part).select("vec_id", "v").toArrow()  # about `block` rows
-        found = _one_block(candidates, rows, k, scale, bits)
+        found = _one_block(candidates, rows, k, scale, bits, bound)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
-def _one_block(candidates: DataFrame, rows: pa.Table, k: int, scale: float, bits: int) -> DataFrame:
+def _one_block(candidates: DataFrame, rows: pa.Table, k: int, scale: float, bits: int, bound: float) -> DataFrame:
+    """The best candidates of some queries. ``bound``: the largest component of any candidate times their length."""
     spark = candidates.sparkSession
     groups = list(_matrices(rows["vec_id"].combine_chunks(), rows["v"].combine_chunks(), scale)) if rows.num_rows else []
     by_size, base = {}, 0
@@ -124,9 +128,8 @@ def _one_block(candidates: DataFrame, rows: pa.Table, k: int, scale: float, bits
     high = np.full(total, (1 << 63) - 1, np.int64)
     need = np.full(total, k, np.int64)
     # A first bound on all scores decides how many bits there are to narrow.
-    largest = candidates.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))), F.max(F.size("v"))).first()
     own = max((float(np.abs(m).max(initial=0.0)) for _, m in groups), default=0.0)
-    reach = (float(largest[0] or 0.0) * scale + 1) * (own + 1) * max(1, int(largest[1] or 1))
+    reach = bound * (own + 1)
     shift = max(0, min(63, int(np.ceil(np.log2(reach + 1))) + 1) - bits)
     while total:
         rounds = candidates.mapInArrow(counted(shift, low, high), "query long, bin long, n long")
