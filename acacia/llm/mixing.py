@@ -8,12 +8,15 @@ siblings were given it before. Each leaf then takes its tokens as a prefix of se
 epoch orders the leaf's documents by a seeded digest; whole epochs are taken as far as they fit, and
 of the next one the documents that begin before the budget is used up.
 
-Prefix sums are taken in two steps, first over digest ranges and then inside the one range where
-the prefix ends, so that no leaf has to be ordered in one task.
+Prefix sums are taken over digest ranges, 256 of a leaf at a time: the range where the prefix ends is cut into
+256 again, and again; only the last range's documents are ordered one by one, so that no leaf has to be ordered
+in one task.
 
 Defined cases: null texts have no tokens and null languages or sources count as ``""``; rows without
-tokens are never taken; a null doc_id takes part like an empty id, and repeated rows are ordered
-and taken together; an empty table gives no rows; other columns are kept in ``mixed``.
+tokens are never taken; a null doc_id takes part like an empty id, and rows of a leaf with one id are ordered
+and taken together; texts are counted whole, however long; an empty table gives no rows; other columns,
+whatever their names, are kept in ``mixed``. The children of one node are ordered in one task: sources of a
+domain and language may be many thousands, but not a part of the corpus.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ FRACTION, EPOCHS, SEED = 0.5, 2, 17
 #: Target weights by level; values that are not named have weight 1. Documented parameters.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 1}}
 DOMAINS = 4
-#: Hexadecimal digits of the digest that make a range.
-RANGE_DIGITS = 3
+#: Hexadecimal digits of the digest by which ranges are cut, round by round.
+RANGE_DIGITS = (2, 4, 6)
 
 
 def domain_of(source: Column) -> Column:
@@ -99,17 +102,22 @@ def selected(docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS,
     plan = budgets(leaves, fraction, epochs, WEIGHTS if weights is None else weights).join(leaves, list(LEVELS))
     plan = written(plan.select(*LEVELS, F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest")), "budgets")
     digest = ordered(F.col("whole"), seed)
-    placed = written(rows.join(plan, list(LEVELS)).withColumn("digest", digest).withColumn("span", F.substring("digest", 1, RANGE_DIGITS)), "placed")
-    spans = placed.groupBy(*LEVELS, "span").agg(F.sum("tokens").alias("span_tokens"), F.max("rest").alias("rest"))
-    upto = Window.partitionBy(*LEVELS).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("before", F.coalesce(F.sum("span_tokens").over(upto), F.lit(0)))
-    spans = written(spans.select(*LEVELS, "span", "before", (F.col("before") + F.col("span_tokens") <= F.col("rest")).alias("inside"), (F.col("before") < F.col("rest")).alias("reached")), "spans")
-    met = placed.join(spans, [*LEVELS, "span"])
-    whole = met.where("inside or not reached").withColumn("copies", F.col("whole") + F.col("inside").cast("int"))
+    placed = written(rows.join(plan, list(LEVELS)).withColumn("digest", digest), "placed")
+    edges = plan.select(*LEVELS, "rest", F.lit(0).cast("long").alias("before"), F.lit("").alias("edge"))
+    for digits in RANGE_DIGITS:
+        # The first range in which the tokens exceed what is left: all before it are taken, and none after it.
+        range_ = F.substring("digest", 1, digits)
+        within = placed.drop("rest", "whole").join(edges, list(LEVELS)).where(F.col("digest").startswith(F.col("edge")))
+        spans = within.groupBy(*LEVELS, range_.alias("span")).agg(F.sum("tokens").alias("span_tokens"), F.max("rest").alias("rest"), F.max("before").alias("offset"))
+        upto = Window.partitionBy(*LEVELS).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        spans = spans.withColumn("before", F.col("offset") + F.coalesce(F.sum("span_tokens").over(upto), F.lit(0)))
+        ends = spans.where(F.col("before") + F.col("span_tokens") > F.col("rest")).groupBy(*LEVELS).agg(F.max("rest").alias("rest"), F.min(F.struct("span", "before")).alias("end"))
+        edges = written(ends.select(*LEVELS, "rest", F.col("end.before").alias("before"), F.col("end.span").alias("edge")), "edges")
+    met = placed.drop("rest").join(edges, list(LEVELS)).withColumn("span", range_)
+    whole = met.where("span <> edge").withColumn("copies", F.col("whole") + (F.col("span") < F.col("edge")).cast("int"))
     within = Window.partitionBy(*LEVELS).orderBy("digest").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = met.where("reached and not inside")
     same = F.sum("tokens").over(Window.partitionBy(*LEVELS, "digest"))
-    edge = edge.withColumn("start", F.col("before") + F.sum("tokens").over(within) - same)
+    edge = met.where("span = edge").withColumn("start", F.col("before") + F.sum("tokens").over(within) - same)
     edge = edge.withColumn("copies", F.col("whole") + (F.col("start") < F.col("rest")).cast("int"))
     out = ["doc_id", *LEVELS, "tokens", "copies"]
     return whole.select(*out).unionByName(edge.select(*out)).where("copies > 0")
