@@ -2,19 +2,24 @@
 
 Every document's rolling word 2-gram hashes meet the positions of those grams in the license
 templates in a Spark join. A meeting votes for the diagonal ``document position - template
-position``; votes are added up by document, template and diagonal, neighbouring diagonals (words
-inserted or left out) are merged, and the merged span is verified against the words themselves.
+position``; votes are added up by document, template and diagonal. Documents whose votes for a template are
+too few for it (all grams on one diagonal for a base phrase, ``COVERAGE`` of them on all for a notice) drop
+out; for the rest, neighbouring diagonals (words inserted or left out) are merged, and the merged span is
+verified against the words themselves, which texts and votes are dealt by row for: votes grow with the corpus,
+and are never sent to all tasks.
 
 Short templates are the contract's base phrases and count only where all their words stand
 consecutively. Longer notices are the method's own and count from ``COVERAGE`` of their grams on.
 
 Defined cases: null texts are empty and have no words; texts without a phrase give zero places, null
-positions, empty labels and score 0; overlapping places all count; repeated rows are reported one by
-one; an empty table gives no rows; other columns are ignored.
+positions, empty labels and score 0; overlapping places all count; a text's votes and words fit a task's
+memory, however long it is; repeated rows are reported one by one; an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,9 +130,14 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
 
     rolling = keyed.select("key1", "key2", "text").mapInArrow(hashed, "key1 long, key2 long, grams array<long>")
     met = rolling.select("key1", "key2", F.posexplode("grams").alias("at", "gram")).join(table, "gram")
-    votes = met.groupBy("key1", "key2", "template", (F.col("at") - F.col("position")).alias("diagonal")).agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    hits = written(votes.groupBy("key1", "key2").agg(F.collect_list(F.struct("template", "diagonal", "low", "high")).alias("votes")), "votes")
-    joined = keyed.join(hits, ["key1", "key2"], "left").select("doc_id", "text", "votes")
+    votes = met.groupBy("key1", "key2", "template", (F.col("at") - F.col("position")).alias("diagonal")).agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"))
+    sizes = [len(t) - 1 for t in templates]
+    need = F.element_at(F.array(*[F.lit(n if t < len(base) else math.ceil(COVERAGE * n)) for t, n in enumerate(sizes)]), F.col("template") + 1)
+    # A base phrase has all its grams on one diagonal; a notice has its share of them on all of the document's.
+    votes = votes.where((F.col("template") >= len(base)) | (F.col("n") >= need))
+    enough = votes.groupBy("key1", "key2", "template").agg(F.sum("n").alias("n"), F.collect_list(F.struct("template", "diagonal", "low", "high")).alias("votes")).where(F.col("n") >= need)
+    hits = written(enough.groupBy("key1", "key2").agg(F.flatten(F.collect_list("votes")).alias("votes")), "votes")
+    joined = keyed.join(hits.hint("merge"), ["key1", "key2"], "left").select("doc_id", "text", "votes")
     n_base = len(base)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

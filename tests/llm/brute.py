@@ -53,6 +53,38 @@ def licenses(docs, base):
     return out
 
 
+def notices(text, templates, coverage=0.8, drift=3):
+    """Labels and score of the method: matches of word pairs by diagonal, near diagonals as one, and the share of the template's pairs in the span."""
+    w = ALNUM.findall(lower(text))
+    labels, best = set(), 0.0
+    for phrase, label, exact in templates:
+        p = phrase.split()
+        if exact:
+            if any(w[i : i + len(p)] == p for i in range(len(w))):
+                labels.add(label)
+                best = 1.0
+            continue
+        diagonals = {}
+        for i in range(len(w) - 1):
+            for j in range(len(p) - 1):
+                if w[i : i + 2] == p[j : j + 2]:
+                    diagonals.setdefault(i - j, []).append(i)
+        spans = []
+        for d, at in sorted(diagonals.items(), key=lambda x: (min(x[1]), x[0])):
+            if spans and abs(d - spans[-1][-1][0]) <= drift and min(at) - max(spans[-1][-1][1]) <= len(p):
+                spans[-1].append((d, at))
+            else:
+                spans.append([(d, at)])
+        for span in spans:
+            at = [i for _, own in span for i in own]
+            there = {tuple(w[i : i + 2]) for i in range(min(at), max(at) + 1)}
+            share = sum(tuple(p[j : j + 2]) in there for j in range(len(p) - 1)) / (len(p) - 1)
+            if share >= coverage:
+                labels.add(label)
+                best = max(best, share)
+    return ",".join(sorted(labels)), best
+
+
 def luhn(digits):
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 

@@ -123,6 +123,27 @@ def test_licenses(spark, given, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_labels_and_scores(spark, given):
+    rnd = random.Random(12)
+    templates = [(p, x, True) for p, x in licenses.BASE] + [(p, x, False) for p, x in licenses.NOTICES]
+    rows = list(given[1][:40]) + [(1000 + i, t) for i, (_, t) in enumerate(ODD)]
+    for i in range(150):
+        words = []
+        for _ in range(rnd.randint(1, 3)):
+            p = rnd.choice(templates)[0].split()
+            p = [x for x in p if rnd.random() > 0.08 * rnd.randrange(3)]
+            for _ in range(rnd.randrange(4)):
+                p.insert(rnd.randrange(len(p) + 1), rnd.choice(["of", "the", "software", "really"]))
+            words += p + [rnd.choice(["and", "the", "license"])] * rnd.randint(0, 30)
+        rows.append((2000 + i, " ".join(words)))
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = {i: brute.notices(t, templates) for i, t in rows if i is not None}
+    assert len(out) == len(rows) and sum(v[1] == 1.0 for v in want.values()) > 20 and sum(0.8 <= v[1] < 1 for v in want.values()) > 5
+    for r in out:
+        if r.doc_id is not None and sum(i == r.doc_id for i, _ in rows) == 1:
+            assert (r.doc_id, r.labels, r.score) == (r.doc_id, want[r.doc_id][0], pytest.approx(want[r.doc_id][1]))
+
+
 def test_changed_notice_is_found(spark):
     words = licenses.NOTICES[0][0].split()
     text = "before " + " ".join(words[:8] + ["really"] + words[8:12] + words[13:]) + " after"
