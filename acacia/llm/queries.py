@@ -12,7 +12,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("removal_spans")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(_table(spark, sf_dir, "documents"))
+    return repeats.without_repeats(_table(spark, sf_dir, "documents")).drop("removed_spans")
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,41 @@ QUERIES = {
 
 _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in urls.RULES)
 
+_ALNUM, _SPACED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
+
 ORACLES = {
+    "op1_decontamination": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '{_ALNUM}') AS w FROM documents
+),
+i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '{_ALNUM}') AS w FROM benchmark WHERE item_id IS NOT NULL
+),
+phrases AS (
+  SELECT DISTINCT item, w[k : k + 12] AS phrase FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT len(phrase) AS size FROM phrases),
+places AS (
+  SELECT n, k, size, w[k : k + size - 1] AS phrase FROM (SELECT n, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size)
+),
+found AS (SELECT n, k, size, item FROM places JOIN phrases USING (phrase)),
+hits AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(k, k + size)) AS p FROM (SELECT DISTINCT n, k, size FROM found)) GROUP BY n),
+items AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT n, item FROM found) GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (n) LEFT JOIN items USING (n)
+""",
+    "op9_substring_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+windows AS (
+  SELECT n, k, sha256(array_to_string(w[k : k + 34], ' ')) AS name FROM (SELECT n, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)
+),
+twice AS (SELECT name FROM windows GROUP BY name HAVING count(*) > 1),
+gone AS (SELECT DISTINCT n, unnest(range(k, k + 35)) AS p FROM windows SEMI JOIN twice USING (name)),
+words AS (SELECT n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT n, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n_kept FROM words ANTI JOIN gone USING (n, p) GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (n)
+""",
     "op7_mixing": mixing.oracle(),
     "op8_url_filter": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULES}),
