@@ -255,17 +255,28 @@ def _nodes(spark, sf_dir, clustering=clusters.STREAMED, linking=clusters.NEAREST
     return clusters.trajectories(clusters.daily_clusters(view(spark, sf_dir, "detections"), clustering), linking)
 
 
-@query()
+_CLUSTER_ROWS = """ SELECT park_id, acq_date, cid, CAST(count(*) AS INT) AS fires, round(avg(latitude), 6) AS lat, round(avg(longitude), 6) AS lon, {} FROM clustered GROUP BY 1, 2, 3"""
+_SPREAD = "round(greatest(max(latitude) - min(latitude), max(longitude) - min(longitude)) * 111e0, 6) AS spread_km"
+
+
+@query(
+    f"WITH RECURSIVE {DET}, {views.density_clusters(15.0, 4, 8)}"
+    + _CLUSTER_ROWS.format(f"round(min(latitude), 6) AS lat_min, round(max(latitude), 6) AS lat_max, round(sum(coalesce(frp, 0)), 6) AS frp, {_SPREAD}")
+)
 def daily_fire_groups(spark, sf_dir):
     return clusters.daily_clusters(view(spark, sf_dir, "detections"), clusters.GROUPS).select("park_id", "acq_date", "cid", "fires", *_d("lat", "lon", "lat_min", "lat_max", "frp", "spread_km"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {DET}, {views.density_clusters(5.0, 3, 1)}" + _CLUSTER_ROWS.format(f"round(avg(coalesce(frp, 0)), 6) AS avg_frp, {_SPREAD}")
+)
 def daily_fire_clusters_streamed(spark, sf_dir):
     return clusters.daily_clusters(view(spark, sf_dir, "detections"), clusters.STREAMED).select("park_id", "acq_date", "cid", "fires", *_d("lat", "lon", "avg_frp", "spread_km"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {DET}, {views.density_clusters(5.0, 1, 1)} SELECT park_id, acq_date, cid, CAST(count(*) AS INT) AS fires, round(avg(latitude), 6) AS lat, round(avg(longitude), 6) AS lon FROM clustered GROUP BY 1, 2, 3"
+)
 def daily_fire_clusters_linked(spark, sf_dir):
     return clusters.daily_clusters(view(spark, sf_dir, "detections"), clusters.LINKED).select("park_id", "acq_date", "cid", "fires", *_d("lat", "lon"))
 
@@ -310,7 +321,24 @@ def trajectory_kinds(spark, sf_dir):
     return fires.kind_summary(fires.trajectory_metrics(_nodes(spark, sf_dir, clusters.GROUPS, clusters.SCORED))).withColumn("transhumance_speed", F.round("transhumance_speed", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {DET}, pts AS (
+  SELECT *, CAST(year(acq_date) AS INT) AS year, dayofyear(acq_date) * 0.3e0 AS t, latitude * 10 AS y, longitude * 10 AS x, row_number() OVER (ORDER BY park_id, acq_date, latitude, longitude, frp, event_id) AS i
+  FROM detections QUALIFY count(*) OVER (PARTITION BY park_id, year(acq_date)) >= 100
+),
+near AS (SELECT a.i, b.i AS j FROM pts a JOIN pts b ON a.park_id = b.park_id AND a.year = b.year AND abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3 WHERE (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) + (a.t - b.t) * (a.t - b.t) <= 9),
+core AS (SELECT i FROM near GROUP BY i HAVING count(*) >= 20),
+linked AS (SELECT i, j FROM near JOIN core USING (i) JOIN (SELECT i AS j FROM core) USING (j)),
+reach(i, j) AS (SELECT i, i FROM core UNION SELECT r.i, l.j FROM reach r JOIN linked l ON l.i = r.j),
+label AS (SELECT i, min(j) AS first FROM reach GROUP BY i),
+members AS (SELECT i, first FROM label UNION ALL SELECT n.i, min(first) FROM near n JOIN label l ON l.i = n.j WHERE n.i NOT IN (SELECT i FROM core) GROUP BY n.i),
+herds AS (SELECT p.*, CAST(dense_rank() OVER (PARTITION BY park_id, year ORDER BY first) - 1 AS INT) AS herd FROM pts p JOIN members USING (i)),
+daily AS (SELECT park_id, year, herd, acq_date, avg(latitude) AS lat, avg(longitude) AS lon, count(*) AS fires, count(*) FILTER (inside) AS infractions FROM herds GROUP BY ALL),
+whole AS (SELECT park_id, year, herd, count(*) AS days, CAST(sum(fires) AS BIGINT) AS fires, CAST(sum(infractions) AS BIGINT) AS infractions, arg_min(lat, acq_date) AS a, arg_max(lat, acq_date) AS z,
+  string_agg('[' || CAST(CAST(round(CAST(lon AS DECIMAL(18, 9)), 6) AS DOUBLE) AS VARCHAR) || ',' || CAST(CAST(round(CAST(lat AS DECIMAL(18, 9)), 6) AS DOUBLE) AS VARCHAR) || ']', ',' ORDER BY acq_date) AS line FROM daily GROUP BY ALL)
+SELECT park_id, year, herd, days, fires, infractions, CASE WHEN z - a < -0.1e0 THEN 'southward' WHEN z - a > 0.1e0 THEN 'northward' ELSE 'stationary' END AS direction,
+  '{{"type":"LineString","coordinates":[' || line || ']}}' AS trajectory FROM whole WHERE days >= 3"""
+)
 def herd_movements(spark, sf_dir):
     """Space-time clusters with their days, direction and line."""
     rows = view(spark, sf_dir, "detections").withColumn("inside", F.col("inside").cast("int"))
@@ -318,7 +346,12 @@ def herd_movements(spark, sf_dir):
     daily = members.groupBy("park_id", "year", "herd", "acq_date").agg(F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), F.count(F.lit(1)).alias("fires"), F.sum("frp").alias("frp"), F.sum("inside").alias("infractions"))
     point = F.struct("acq_date", "lat", "lon")
     out = daily.groupBy("park_id", "year", "herd").agg(F.count(F.lit(1)).alias("days"), F.sum("fires").alias("fires"), F.sum("infractions").alias("infractions"), F.min(point).alias("a"), F.max(point).alias("z"), F.array_sort(F.collect_list(point)).alias("line"))
-    line = F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform("line", lambda p: F.array(F.round(p["lon"], 6), F.round(p["lat"], 6))).alias("coordinates")))
+
+    def six(x):
+        # Means of a few coordinates often lie halfway; decimals keep the sum's last bits from deciding.
+        return F.round(x.cast("decimal(18, 9)"), 6).cast("double")
+
+    line = F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform("line", lambda p: F.array(six(p["lon"]), six(p["lat"]))).alias("coordinates")))
     return out.where("days >= 3").select("park_id", "year", "herd", "days", "fires", "infractions", geo.drift("a.lat", "z.lat").alias("direction"), line.alias("trajectory"))
 
 
@@ -412,7 +445,29 @@ def track_split(spark, sf_dir):
     return tracks.split_by_duration(views.track_points(spark, sf_dir)).select("file", "pt_no", "part")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {views.TRACKS}, walk(file, pt_no, part, since) AS (
+  SELECT file, pt_no, 0, s FROM track_points WHERE pt_no = 1
+  UNION ALL
+  SELECT p.file, p.pt_no, CASE WHEN p.s - w.since > 1800 THEN w.part + 1 ELSE w.part END, CASE WHEN w.since IS NULL OR p.s - w.since > 1800 THEN p.s ELSE w.since END
+  FROM walk w JOIN track_points p ON p.file = w.file AND p.pt_no = w.pt_no + 1
+),
+before AS (SELECT *, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(s) OVER w AS s0 FROM walk JOIN track_points USING (file, pt_no) WINDOW w AS (PARTITION BY file, part ORDER BY pt_no)),
+steps AS (SELECT *, {views.haversine("lat0", "lon0", "lat", "lon")} AS km, (s - s0) / 3600e0 AS h, {views.bearing("lat0", "lon0", "lat", "lon")} AS b, row_number() OVER (PARTITION BY file, part ORDER BY pt_no) - 2 AS k FROM before),
+turns AS (SELECT file, part, k, CASE WHEN abs(lead(b) OVER w - b) > 180 THEN 360 - abs(lead(b) OVER w - b) ELSE abs(lead(b) OVER w - b) END AS turn, count(*) OVER (PARTITION BY file, part) AS n FROM steps WHERE lat0 IS NOT NULL WINDOW w AS (PARTITION BY file, part ORDER BY k)),
+hits AS (SELECT file, part, k FROM (SELECT *, sum(turn) OVER (PARTITION BY file, part ORDER BY k ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS total FROM turns) WHERE n >= 10 AND k <= n - 5 AND total > 270),
+c1 AS (SELECT file, part, min(k) AS k FROM hits GROUP BY 1, 2), c2 AS (SELECT file, part, min(h.k) AS k FROM c1 JOIN hits h USING (file, part) WHERE h.k >= c1.k + 5 GROUP BY 1, 2),
+c3 AS (SELECT file, part, min(h.k) AS k FROM c2 JOIN hits h USING (file, part) WHERE h.k >= c2.k + 5 GROUP BY 1, 2), c4 AS (SELECT file, part, min(h.k) AS k FROM c3 JOIN hits h USING (file, part) WHERE h.k >= c3.k + 5 GROUP BY 1, 2),
+circled AS (SELECT file, part, CAST(count(*) AS INT) AS circles FROM (FROM c1 UNION ALL FROM c2 UNION ALL FROM c3 UNION ALL FROM c4) GROUP BY 1, 2),
+a AS (SELECT file, part, count(*) AS points, coalesce(sum(km), 0) AS d, coalesce(avg(CASE WHEN h > 0 AND h < 24 THEN km / h END), 0) AS v, coalesce(max(CASE WHEN h > 0 AND h < 24 THEN km / h END), 0) AS top,
+  arg_min(lat, pt_no) AS y1, arg_min(lon, pt_no) AS x1, arg_max(lat, pt_no) AS y2, arg_max(lon, pt_no) AS x2, CAST(count(*) FILTER (description NOT IN ('', 'Tracking', 'Waypoint')) AS INT) AS message_count FROM steps GROUP BY 1, 2 HAVING count(*) >= 2),
+m AS (SELECT *, CASE WHEN d > 0 AND direct > 0.1e0 THEN d / direct ELSE 0e0 END AS bend FROM (SELECT *, {views.haversine("y1", "x1", "y2", "x2")} AS direct FROM a)),
+c AS (SELECT m.*, d > 0 AND bend < 1.2e0 AS is_straight, coalesce(circles, 0) AS circles, CASE WHEN v < 1 THEN 'stationary' WHEN v < 3 THEN 'slow_patrol' WHEN v < 6 THEN 'fast_patrol' WHEN v < 30 THEN 'slow_vehicle' WHEN v < 80 THEN 'fast_vehicle' WHEN v < 150 THEN 'low_altitude' ELSE 'high_altitude' END AS speed_category FROM m LEFT JOIN circled USING (file, part)),
+q AS (SELECT *, CAST(greatest(0, least(100, 50 + CASE speed_category WHEN 'slow_patrol' THEN 30 WHEN 'fast_patrol' THEN 20 WHEN 'slow_vehicle' THEN 15 WHEN 'fast_vehicle' THEN 5 WHEN 'low_altitude' THEN 20 WHEN 'high_altitude' THEN -10 ELSE 0 END
+  + CASE WHEN bend > 2 THEN 15 WHEN bend > 1.5e0 THEN 10 WHEN is_straight THEN -15 ELSE 0 END + 3 * circles)) AS DOUBLE) AS quality_score FROM c)
+SELECT file, CAST(part AS INT) AS part, points, round(d, 6) AS distance_km, round(v, 6) AS avg_speed_kmh, round(top, 6) AS max_speed_kmh, round(bend, 6) AS sinuosity, is_straight, circles, speed_category, CASE WHEN v < 6 THEN 'foot' WHEN v < 80 THEN 'vehicle' ELSE 'aircraft' END AS movement_type,
+  quality_score, CASE WHEN quality_score >= 80 THEN 'excellent' WHEN quality_score >= 60 THEN 'good' WHEN quality_score >= 40 THEN 'moderate' ELSE 'poor' END AS quality, message_count FROM q"""
+)
 def track_analysis(spark, sf_dir):
     parts = tracks.split_by_duration(views.track_points(spark, sf_dir))
     return tracks.analysis(parts, ["file", "part"]).select("file", "part", "points", *_d("distance_km", "avg_speed_kmh", "max_speed_kmh", "sinuosity"), "is_straight", "circles", "speed_category", "movement_type", "quality_score", "quality", "message_count")
@@ -441,7 +496,16 @@ def track_sample(spark, sf_dir):
     return tracks.sampled(views.track_points(spark, sf_dir), ["file"], 100).select("file", "pt_no")
 
 
-@query()
+@query(
+    f"""WITH {views.TRACKS}, seen AS (
+  SELECT DISTINCT file, printf('%.1f_%.1f', floor(lat / 0.1e0) * 0.1e0, floor(lon / 0.1e0) * 0.1e0) AS grid_cell_id,
+    concat(CAST(greatest(0, least(9, CAST(floor((lat - floor(lat / 0.1e0) * 0.1e0) / 0.01e0) AS INT))) AS VARCHAR), '_', CAST(greatest(0, least(9, CAST(floor((lon - floor(lon / 0.1e0) * 0.1e0) / 0.01e0) AS INT))) AS VARCHAR)) AS subcell_id,
+    coalesce(CAST(to_timestamp(s) AS DATE), DATE '1970-01-01') AS visit_date FROM track_points
+),
+v AS (SELECT grid_cell_id, subcell_id, visit_date, count(*) AS visit_count FROM seen GROUP BY ALL),
+c AS (SELECT grid_cell_id, count(DISTINCT subcell_id) AS covered FROM v WHERE visit_date BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' GROUP BY 1)
+SELECT grid_cell_id, subcell_id, visit_date, visit_count, covered, CAST(covered AS DOUBLE) AS coverage_percent FROM v LEFT JOIN c USING (grid_cell_id)"""
+)
 def track_subcell_visits(spark, sf_dir):
     visits = tracks.subcell_visits(views.track_points(spark, sf_dir))
     return visits.join(tracks.coverage(visits, "2024-01-01", "2024-12-31"), "grid_cell_id", "left")
@@ -486,7 +550,16 @@ def pixel_components(spark, sf_dir):
     return loss.component_metrics(labelled, ["park_id"], 3).join(first, "component").select("first_pixel", "pixels", "height", "width", "total")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PIX}, p AS (SELECT park_id, tile, CAST(code % 3 + 2020 AS INT) AS year, r, c, row_number() OVER () AS n FROM pixels WHERE code > 0),
+touch AS (SELECT a.n, b.n AS m FROM p a JOIN p b ON a.park_id = b.park_id AND a.tile = b.tile AND a.year = b.year AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+reach(n, m) AS (SELECT n, n FROM p UNION SELECT x.n, t.m FROM reach x JOIN touch t ON t.n = x.m),
+k AS (SELECT park_id, tile, year, count(*) AS pixels, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w FROM (SELECT n, min(m) AS root FROM reach GROUP BY 1) JOIN p USING (n) GROUP BY park_id, tile, year, root HAVING count(*) >= 3),
+v AS (SELECT park_id, tile, year, CASE WHEN greatest(h, w) / least(h, w) > 5 THEN 'strip' WHEN pixels / (h * w) > 0.5e0 AND pixels > 100 THEN 'cluster' ELSE 'scattered' END AS pattern, sum(pixels) AS n FROM k GROUP BY ALL),
+b AS (SELECT park_id, tile, year, pattern FROM v QUALIFY row_number() OVER (PARTITION BY park_id, tile, year ORDER BY n DESC, pattern) = 1),
+t AS (SELECT park_id, tile, year, count(*) AS lost FROM p GROUP BY ALL)
+SELECT park_id, tile, year, lost, CASE WHEN lost < 50 THEN 'minor' ELSE coalesce(pattern, 'minor') END AS pattern_type FROM t LEFT JOIN b USING (park_id, tile, year)"""
+)
 def loss_patterns(spark, sf_dir):
     lost = view(spark, sf_dir, "pixels").where("code > 0").withColumn("year", F.col("code") % 3 + 2020)
     by = ["park_id", "tile", "year"]
@@ -710,29 +783,77 @@ def parks_export(spark, sf_dir):
 
 # --- Texts ---------------------------------------------------------------------------------------
 
+_ROLLED = f"""{views.INFRACTIONS}, rolled AS (
+  SELECT park_id, count(DISTINCT year) AS years, CAST(sum(total_groups) AS BIGINT) AS n, CAST(sum(groups_stopped_inside) AS BIGINT) AS stopped, CAST(sum(groups_transited) AS BIGINT) AS passed, avg(avg_days_burning) AS days,
+    sum(groups_stopped_inside) / sum(total_groups) * 100 AS rate FROM infractions WHERE year BETWEEN 1995 AND 2001 AND total_groups > 0 GROUP BY 1
+)"""
+
+
+def _insights(name: str) -> str:
+    """Sentences on fire groups, by thresholds; nulls drop out where they are joined."""
+    return f"""CASE WHEN passed > 1 THEN 'Total: ' || passed || ' fire groups transited through ' || {name} || ' without being stopped.' END,
+  CASE WHEN stopped > 1 THEN '👍 ' || stopped || ' groups total stopped inside - ' || printf('%.0f', stopped / n * 100) || '% response rate.' END,
+  CASE WHEN days > 7 THEN '🔥 Fire groups burned inside the park for an average of ' || printf('%.1f', days) || ' days - indicating sustained presence.' END,
+  CASE WHEN stopped / n * 100 >= 70 THEN '👍 High response rate suggests effective ranger patrol coverage.' WHEN stopped / n * 100 < 40 AND n >= 5 THEN '⚠️ Low response rate may indicate gaps in patrol coverage or resources.' END"""
+
+
+_PEAKS = "peaks AS (SELECT park_id, arg_max(m, n * 100 - m) AS peak_month FROM (SELECT park_id, month(acq_date) AS m, count(*) AS n FROM detections GROUP BY 1, 2) GROUP BY 1)"
+_TREND = ORACLES["loss_trend"].split("FROM c")[0].rsplit("SELECT park_id, years", 1)[0]
+
+
+def _phrases(pattern: str, area: str, year: str) -> str:
+    cases = []
+    for name, phrases in narrative.PHRASES.items():
+        texts = ", ".join("'" + p.replace("'", "''") + "'" for p in phrases)
+        cases.append(f"WHEN {pattern} = '{name}' THEN [{texts}][{year} % 4 % {len(phrases)} + 1]")
+    return f"CASE {' '.join(cases)} WHEN {area} > 5 THEN '{narrative.LARGE_LOSS}' ELSE '{narrative.UNCLEAR_LOSS}' END"
+
+
+def _area_text(m2: str) -> str:
+    return f"CASE WHEN {m2} >= 1000000 THEN printf('%.1f', {m2} / 1000000) || ' km²' WHEN {m2} >= 10000 THEN printf('%.1f', {m2} / 10000) || ' ha' ELSE printf('%.0f', {m2}) || ' m²' END"
+
 
 def _stories(spark, sf_dir):
     events = views.losses(spark, sf_dir).withColumn("pattern", F.element_at(F.array(*map(F.lit, ("strip", "cluster", "scattered", "edge"))), (F.col("year") % 4 + 1).cast("int")))
     return narrative.loss_stories(events, view(spark, sf_dir, "places"))
 
 
-@query()
+@query(
+    f"""WITH {views.LOSSES}, {views.cte("places")}, spots AS (SELECT *, park_id || ':' || year AS point_id, ['strip', 'cluster', 'scattered', 'edge'][year % 4 + 1] AS pattern FROM losses), {views.located("spots", "told")}
+SELECT park_id, year, 'In ' || year || ', ' || printf('%.2f', area_km2) || ' km² of forest was lost ' || location || '. ' || {_phrases("pattern", "area_km2", "year")} AS narrative FROM told"""
+)
 def loss_narrative(spark, sf_dir):
     return _stories(spark, sf_dir).select("park_id", "year", "narrative")
 
 
-@query()
+@query(
+    _TREND + """, s2 AS (SELECT park_id, sum(area_km2) AS total, arg_max(year, area_km2 * 1e6 - year) AS worst, max(area_km2) AS worst_loss FROM losses GROUP BY 1)
+SELECT park_id, CASE WHEN total = 0 THEN 'No significant deforestation events recorded for ' || park_id || '.' ELSE park_id || ' has experienced ' || printf('%.2f', total) || ' km² of forest loss across ' || years || ' recorded years. The worst year was ' || worst || ' with '
+  || printf('%.2f', worst_loss) || ' km² lost. ' || CASE WHEN years < 5 THEN 'Insufficient data to determine long-term trend.' WHEN p > 10 THEN '⚠️ TREND ALERT: Deforestation has increased by ' || printf('%.0f', p) || '% comparing recent years to earlier periods.'
+  WHEN p < -10 THEN '✅ POSITIVE TREND: Deforestation has decreased by ' || printf('%.0f', -p) || '% comparing recent years to earlier periods.' ELSE 'Deforestation rates have remained relatively stable over the monitoring period.' END END AS summary FROM c JOIN s2 USING (park_id)"""
+)
 def loss_narrative_summary(spark, sf_dir):
     events = views.losses(spark, sf_dir)
     return narrative.loss_summary(loss.loss_summary(events), loss.loss_trend(events))
 
 
-@query()
+@query(
+    ORACLES["settlement_risk"].split("SELECT park_id, settlements, people, round")[0]
+    + f""", b AS (SELECT park_id, sum(area_m2) AS m2 FROM settlements GROUP BY 1), r AS ({"SELECT park_id, settlements, people, round" + ORACLES["settlement_risk"].split("SELECT park_id, settlements, people, round")[1]})
+SELECT park_id, risk, CASE WHEN settlements = 0 THEN park_id || ' shows no detectable human settlements within park boundaries. ' || CASE WHEN area_km2 > 0 THEN 'This ' || printf('%.0f', area_km2) || ' km² protected area represents a pristine wilderness corridor with minimal direct human-wildlife interface. ' ELSE '' END
+  || 'Conservation priority: Maintain buffer zones and monitor boundary areas for encroachment. This intact habitat status is rare in the region and critical for wildlife movement corridors.'
+  ELSE park_id || ' contains ' || settlements || ' settlements with ' || {_area_text("m2")} || ' total built-up area.' END AS summary FROM r LEFT JOIN b USING (park_id) JOIN parks USING (park_id)"""
+)
 def settlement_narrative(spark, sf_dir):
     return narrative.settlement_summary(loss.settlement_stats(view(spark, sf_dir, "settlements"), view(spark, sf_dir, "parks"))).select("park_id", "risk", "summary")
 
 
-@query()
+@query(
+    f"""WITH {_ROLLED}, {DET}, {_PEAKS}, t AS (SELECT park_id, count(*) AS fires FROM detections GROUP BY 1)
+SELECT park_id, concat_ws(' ', CASE WHEN years > 1 THEN 'From 1995-2001, ' || park_id || ' experienced ' || coalesce(fires, 0) || ' fire detections across ' || n || ' fire groups over ' || years || ' years.' ELSE 'In 1995-2001, ' || park_id || ' experienced ' || coalesce(fires, 0) || ' fire detections across ' || n || ' distinct fire groups.' END,
+  CASE WHEN stopped > 0 THEN stopped || ' group(s) (' || printf('%.0f', rate) || '%) were stopped inside the park, suggesting effective ranger intervention.' END, CASE WHEN passed > 0 THEN passed || ' group(s) transited through without being stopped.' END,
+  CASE WHEN peak_month IS NOT NULL THEN 'Peak fire activity occurred in ' || monthname(make_date(2000, peak_month, 1)) || '.' END, CASE WHEN days > 0 THEN 'Fire groups burned inside the park for an average of ' || printf('%.1f', days) || ' days.' END) AS summary FROM rolled LEFT JOIN t USING (park_id) LEFT JOIN peaks USING (park_id)"""
+)
 def fire_narrative(spark, sf_dir):
     rows = view(spark, sf_dir, "detections")
     total = rows.groupBy("park_id").agg(F.count(F.lit(1)).alias("total_fires"))
@@ -744,13 +865,20 @@ def fire_group_stories(spark, sf_dir):
     return narrative.group_stories(_response(spark, sf_dir), view(spark, sf_dir, "places")).select("park_id", "year", "traj_id", "narrative")
 
 
-@query()
+@query(
+    f"""WITH {DET}, d AS (SELECT park_id, acq_date, count(*) AS n, avg(frp) AS a, max(frp) AS m FROM detections GROUP BY 1, 2)
+SELECT park_id, strftime(acq_date, '%b %d, %Y') AS date, CASE WHEN n >= 100 THEN 'critical' WHEN n >= 50 THEN 'warning' WHEN n >= 20 THEN 'info' WHEN m > 50 THEN 'warning' ELSE 'info' END AS level,
+  CASE WHEN n >= 100 THEN '🔥 Major fire event: ' || n || ' active fires detected (avg intensity: ' || printf('%.1f', a) || ' MW)' WHEN n >= 50 THEN '⚠️ Elevated fire activity: ' || n || ' fires detected' WHEN n >= 20 THEN 'Fire activity: ' || n || ' detections'
+    WHEN m > 50 THEN 'High-intensity fire detected (' || printf('%.0f', m) || ' MW peak)' ELSE n || ' fire detections' END AS message FROM d QUALIFY row_number() OVER (PARTITION BY park_id ORDER BY acq_date DESC) <= 365"""
+)
 def fire_log_messages(spark, sf_dir):
     log = fires.daily_log(view(spark, sf_dir, "detections"))
     return log.select("park_id", text.day_text("acq_date").alias("date"), "level", narrative.fire_log_message("level", "fires", "avg_frp", "max_frp").alias("message"))
 
 
-@query()
+@query(
+    f"WITH {_ROLLED} SELECT park_id, concat_ws(' | ', {_insights('park_id')}) AS insights FROM rolled"
+)
 def park_insights(spark, sf_dir):
     rolled = fires.infraction_rollup(views.infractions(spark, sf_dir), (1995, 2001))
     return rolled.select("park_id", F.array_join(narrative.fire_insights("stopped_inside", "transited", "total_groups", "avg_days_burning", "park_id"), " | ").alias("insights"))
@@ -847,14 +975,27 @@ def nearest_by_degrees(spark, sf_dir):
     return near.select("park_id", "year", F.col("place_name").alias("name"), F.round("distance_km", 5).alias("km"))
 
 
-@query()
+@query(
+    f"""WITH {_ROLLED}, {DET}, {views.LOSSES}, {views.cte("parks")}, {_PEAKS}, t AS (SELECT park_id, count(*) AS fires FROM detections GROUP BY 1), w AS (SELECT park_id, arg_max(year, area_km2 * 1e6 - year) AS worst_year FROM losses GROUP BY 1),
+s AS (SELECT park_id, avg(area_km2) FILTER (year >= 2020) AS a, avg(area_km2) FILTER (year BETWEEN 2015 AND 2019) AS b FROM losses GROUP BY 1),
+l AS (SELECT park_id, CASE WHEN a IS NULL OR b IS NULL THEN 'insufficient_data' WHEN a > b * 1.2e0 THEN 'worsening' WHEN a < b * 0.8e0 THEN 'improving' ELSE 'stable' END AS loss_trend FROM s)
+SELECT park_id, n AS total_groups, coalesce(fires, 0) AS total_fires, CAST(peak_month AS INT) AS peak_month, worst_year, loss_trend, concat_ws(' | ', {_insights('name')},
+  CASE WHEN area_km2 / 28 >= 90 THEN '🌲 ' || printf('%.0f', area_km2 / 28) || '% roadless wilderness - exceptional intact habitat with minimal human access.' WHEN area_km2 / 28 >= 70 THEN '🌲 ' || printf('%.0f', area_km2 / 28) || '% roadless wilderness - good habitat connectivity.'
+    WHEN area_km2 / 28 < 50 THEN '⚠️ Only ' || printf('%.0f', area_km2 / 28) || '% roadless - significant road network may fragment habitat.' END,
+  CASE loss_trend WHEN 'worsening' THEN '⚠️ Deforestation trend is worsening - recent years show higher loss than 2015-2019.' WHEN 'improving' THEN '✓ Deforestation trend is improving - recent years show lower loss than 2015-2019.' END) AS insights
+FROM parks LEFT JOIN rolled USING (park_id) LEFT JOIN t USING (park_id) LEFT JOIN peaks USING (park_id) LEFT JOIN w USING (park_id) LEFT JOIN l USING (park_id)"""
+)
 def park_stats(spark, sf_dir):
     roadless = view(spark, sf_dir, "parks").select("park_id", (F.col("area_km2") / 28).alias("roadless_percentage"))
     out = marts.park_stats(view(spark, sf_dir, "parks"), views.infractions(spark, sf_dir), view(spark, sf_dir, "detections"), views.losses(spark, sf_dir), roadless, (1995, 2001))
     return out.select("park_id", "total_groups", "total_fires", "peak_month", "worst_year", "loss_trend", F.array_join("insights", " | ").alias("insights"))
 
 
-@query()
+@query(
+    f"""WITH {views.TRACKS}, uploads AS (SELECT 'f' || (o_orderkey % 100) AS upload_id, max(o_orderdate) AS uploaded_at FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 10),
+centers AS (SELECT upload_id, uploaded_at, avg(lat) AS latitude, avg(lon) AS longitude FROM uploads LEFT JOIN track_points ON file = upload_id GROUP BY 1, 2), detections AS (SELECT *, upload_id AS event_id FROM centers), {views.IN_AREAS}
+SELECT upload_id, uploaded_at, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, area_id FROM located"""
+)
 def recent_activity(spark, sf_dir):
     uploads = views.read(spark, sf_dir, "orders").select(F.concat(F.lit("f"), (F.col("o_orderkey") % 100).cast("string")).alias("upload_id"), F.col("o_orderdate").alias("uploaded_at"))
     uploads = uploads.groupBy("upload_id").agg(F.max("uploaded_at").alias("uploaded_at"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acacia.functions import geo
+
 #: view name -> (table, select list)
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "detections": (
@@ -195,6 +197,51 @@ def haversine(a: str, b: str, c: str, d: str) -> str:
     return f"(12742e0 * atan2(sqrt({h}), sqrt(1 - {h})))"
 
 
+def bearing(a: str, b: str, c: str, d: str) -> str:
+    x = f"(degrees(atan2(sin(radians({d} - {b})) * cos(radians({c})), cos(radians({a})) * sin(radians({c})) - sin(radians({a})) * cos(radians({c})) * cos(radians({d} - {b})))) + 360)"
+    return f"({x} - 360 * floor({x} / 360))"
+
+
+def words(degrees: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in geo.WORDS) + f"][CAST(floor(({degrees} + 11.25) / 22.5) AS INT) % 16 + 1]"
+
+
+def located(points: str, name: str) -> str:
+    """Common table expressions up to ``name``: points (point_id, park_id, lat, lon) with a description of where they lie."""
+    parts = []
+    for kind, types in (("town", "'village', 'hamlet', 'town', 'city'"), ("river", "'river', 'stream'")):
+        km = haversine("q.lat", "q.lon", "p.lat", "p.lon")
+        parts.append(
+            f"""{name}_{kind} AS (SELECT q.point_id, p.name, {km} AS km, p.lat AS y, p.lon AS x FROM {points} q JOIN places p ON p.park_id = q.park_id AND abs(p.lat - q.lat) <= 1 AND abs(p.lon - q.lon) <= 1
+  WHERE p.place_type IN ({types}) QUALIFY row_number() OVER (PARTITION BY q.point_id ORDER BY {km}, p.id) = 1)"""
+        )
+    far = "printf('%.0f', {k}.km) || ' km ' || " + words(bearing("{k}.y", "{k}.x", "q.lat", "q.lon")) + " || ' of {article}' || {k}.name"
+    town = "CASE WHEN t.km < 5 THEN 'near ' || t.name WHEN t.km < 30 THEN " + far.replace("{k}", "t").replace("{article}", "") + " END"
+    river = "CASE WHEN r.km < 3 THEN 'along the ' || r.name WHEN r.km < 20 THEN " + far.replace("{k}", "r").replace("{article}", "the ") + " END"
+    known = f"nullif(concat_ws(', ', {town}, {river}), '')"
+    spot = "'at coordinates (' || printf('%.3f', q.lat) || '°, ' || printf('%.3f', q.lon) || '°)'"
+    parts.append(f"{name} AS (SELECT q.*, coalesce({known}, {spot}) AS location FROM {points} q LEFT JOIN {name}_town t USING (point_id) LEFT JOIN {name}_river r USING (point_id))")
+    return ",\n".join(parts)
+
+
+def density_clusters(eps_km: float, least: int, day_least: int) -> str:
+    """Common table expressions up to ``clustered``: detections with ``cid``, the number of their density cluster, for each park's day."""
+    eps = f"({eps_km}e0 / 111e0)"
+    return f"""pts AS (
+  SELECT *, row_number() OVER (ORDER BY park_id, acq_date, latitude, longitude, frp, event_id) AS i FROM detections QUALIFY count(*) OVER (PARTITION BY park_id, acq_date) >= {day_least}
+),
+near AS (
+  SELECT a.i, b.i AS j FROM pts a JOIN pts b ON a.park_id = b.park_id AND a.acq_date = b.acq_date
+  WHERE (a.latitude - b.latitude) * (a.latitude - b.latitude) + (a.longitude - b.longitude) * (a.longitude - b.longitude) <= {eps} * {eps}
+),
+core AS (SELECT i FROM near GROUP BY i HAVING count(*) >= {least}),
+linked AS (SELECT i, j FROM near JOIN core USING (i) JOIN (SELECT i AS j FROM core) USING (j)),
+reach(i, j) AS (SELECT i, i FROM core UNION SELECT r.i, l.j FROM reach r JOIN linked l ON l.i = r.j),
+label AS (SELECT i, min(j) AS first FROM reach GROUP BY i),
+members AS (SELECT i, first FROM label UNION ALL SELECT n.i, min(first) FROM near n JOIN label l ON l.i = n.j WHERE n.i NOT IN (SELECT i FROM core) GROUP BY n.i),
+clustered AS (SELECT p.*, CAST(dense_rank() OVER (PARTITION BY park_id, acq_date ORDER BY first) - 1 AS INT) AS cid FROM pts p JOIN members USING (i))"""
+
+
 INFRACTIONS = """infractions AS (
   SELECT concat('p', CAST(o_custkey % 6 AS VARCHAR)) AS park_id, CAST(year(o_orderdate) AS INT) AS year, CAST(sum(o_orderkey % 7) % 40 AS BIGINT) AS total_groups,
     CAST(sum(o_orderkey % 5) % 13 AS BIGINT) AS groups_stopped_inside, CAST(sum(o_orderkey % 3) % 11 AS BIGINT) AS groups_transited, CAST(sum(o_orderkey % 11) % 12 AS DOUBLE) AS avg_days_burning
@@ -210,6 +257,7 @@ TRACKS = """numbered AS (
 ),
 track_points AS (
   SELECT file, CAST(n AS INT) AS pt_no, 1e0 + CAST(n AS DOUBLE) / 512e0 + CAST(l_partkey % 16 AS DOUBLE) / 1024e0 AS lat, 20e0 + CAST(n AS DOUBLE) / 1024e0 + CAST(l_orderkey % 16 AS DOUBLE) / 1024e0 AS lon,
-    CASE WHEN l_partkey % 11 <> 0 THEN 1704067200 + n * 97 END AS s
+    CASE WHEN l_partkey % 11 <> 0 THEN 1704067200 + n * 97 END AS s,
+    CASE WHEN l_partkey % 9 = 0 THEN 'Tracking' WHEN l_partkey % 10 = 0 THEN concat('seen ', CAST(l_partkey AS VARCHAR)) ELSE '' END AS description
   FROM numbered
 )"""
