@@ -174,6 +174,19 @@ def bbox_around(lat, lon, km: float) -> Column:
     return F.struct((_c(lat) - d).alias("lat_min"), (_c(lat) + d).alias("lat_max"), (_c(lon) - d).alias("lon_min"), (_c(lon) + d).alias("lon_max"))
 
 
+def bbox_around_ring(ring, km: float) -> Column:
+    """The box of a ring, wider by some km on all sides."""
+    box, d = ring_bbox(ring), km / KM_PER_DEGREE
+    return F.struct((box["lat_min"] - d).alias("lat_min"), (box["lat_max"] + d).alias("lat_max"), (box["lon_min"] - d).alias("lon_min"), (box["lon_max"] + d).alias("lon_max"))
+
+
+def forest_tiles(box: Column) -> Column:
+    """Names of all ten-degree forest tiles that a box touches."""
+    rows = F.sequence((F.floor(box["lat_min"] / 10) * 10).cast("int"), (F.floor(box["lat_max"] / 10) * 10).cast("int"), F.lit(10))
+    columns = F.sequence((F.floor(box["lon_min"] / 10) * 10).cast("int"), (F.floor(box["lon_max"] / 10) * 10).cast("int"), F.lit(10))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: forest_tile(r + 5, c + 5))))))
+
+
 def ring_bbox(ring) -> Column:
     """Box of a ring of [lon, lat] pairs."""
     ring = _c(ring)

@@ -25,6 +25,15 @@ def fixed(x, digits: int) -> Column:
     return printed(_c(x).cast("double"), F.lit(digits))
 
 
+#: For translate: the letters that ASCII folds.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def contains_ascii(value, wanted: str) -> Column:
+    """Whether a text contains another one, A-Z counting as a-z and no other letters folded."""
+    return F.translate(_c(value), _UPPER, _LOWER).contains(wanted.translate(str.maketrans(_UPPER, _LOWER)))
+
+
 def contains_folded(value, wanted: str) -> Column:
     return F.lower(_c(value)).contains(wanted.lower())
 

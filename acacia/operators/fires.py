@@ -32,8 +32,10 @@ def daily_log(fires: DataFrame, days: int = 365) -> DataFrame:
     return daily.withColumn("n", F.row_number().over(latest)).where(F.col("n") <= days).drop("n").withColumn("level", classify.fire_level("fires", "max_frp"))
 
 
-def peak_month(fires: DataFrame) -> DataFrame:
-    """The month with most fires of each park; the earliest of equals."""
+def peak_month(fires: DataFrame, dry_season: bool = False) -> DataFrame:
+    """The month with most fires of each park, or of its dry season alone; the earliest of equals."""
+    if dry_season:
+        fires = fires.where(classify.dry_season_of("latitude", F.month("acq_date")))
     n = fires.groupBy("park_id", F.month("acq_date").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("park_id").agg(F.max_by("month", F.struct(F.col("n"), -F.col("month"))).alias("peak_month"), F.max("n").alias("peak_fires"))
 

@@ -24,9 +24,10 @@ def loss_by_year(pixels: DataFrame, base_year: int = 2000, years: int = 24) -> D
 
 
 def merged_tiles(stats: DataFrame) -> DataFrame:
-    """Tiles of a park and year as one: sums, place and pattern of the first tile, and the size class of the sum."""
+    """Tiles of a park and year as one: sums, place and pattern of the first tile, the tiles' lists of clusters one after the other (if they have any), and the size class of the sum."""
     out = stats.groupBy("park_id", "year").agg(
-        F.sum("pixel_count").alias("pixel_count"), F.sum("area_km2").alias("area_km2"), F.min_by("lat", "tile").alias("lat"), F.min_by("lon", "tile").alias("lon"), F.min_by("pattern_type", "tile").alias("pattern_type")
+        F.sum("pixel_count").alias("pixel_count"), F.sum("area_km2").alias("area_km2"), F.min_by("lat", "tile").alias("lat"), F.min_by("lon", "tile").alias("lon"), F.min_by("pattern_type", "tile").alias("pattern_type"),
+        *([F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("tile", "clusters"))), lambda t: t["clusters"])).alias("clusters")] if "clusters" in stats.columns else []),
     )
     return out.withColumn("event_type", classify.loss_event("area_km2"))
 
@@ -50,11 +51,14 @@ def dominant_pattern(metrics: DataFrame, totals: DataFrame, by: list[str], least
 
 
 def downsampled(pixels: DataFrame, step: int = 4) -> DataFrame:
-    return pixels.where((F.col("r") % step == 0) & (F.col("c") % step == 0))
+    """Every ``step``-th row and column; ``weight`` says for how many pixels one stands."""
+    return pixels.where((F.col("r") % step == 0) & (F.col("c") % step == 0)).withColumn("weight", F.lit(step * step))
 
 
-def window_of(pixels: DataFrame, rows: tuple[int, int], columns: tuple[int, int]) -> DataFrame:
-    """A window of a raster; what lies outside the raster is not there."""
+def window_of(pixels: DataFrame, rows: tuple[int, int], columns: tuple[int, int], shape: tuple[int, int] | None = None) -> DataFrame:
+    """A window of a raster, clamped to its shape (rows, columns) if that is given; positions are those of the raster."""
+    if shape is not None:
+        rows, columns = ((max(0, low), min(n - 1, high)) for (low, high), n in zip((rows, columns), shape, strict=True))
     return pixels.where(F.col("r").between(*rows) & F.col("c").between(*columns))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acacia import schemas
 from acacia.functions import geo
 from acacia.operators import fires, loss, narrative, spatial
 
@@ -62,6 +63,17 @@ def first_with_outcome(trajectories, outcome: str):
     return F.get(F.filter(trajectories, lambda t: t["outcome"] == outcome), F.lit(0))
 
 
+def trajectories_of(document) -> Column:
+    """The trajectories in a JSON document; null, and so no trajectories, where it can't be read."""
+    return F.from_json(document, f"array<{schemas.TRAJECTORY_DOCUMENT}>", {"mode": "PERMISSIVE"})
+
+
+def inside_or_buffer(rows: DataFrame, year: int, box: tuple[float, float, float, float]) -> DataFrame:
+    """Detections of a year in any area, and those in a box that lie in none; ``inside`` tells which."""
+    inside = rows.where((F.year("acq_date") == year) & (F.coalesce("area_id", F.lit("")) != ""))
+    return inside.withColumn("inside", F.lit(True)).unionByName(buffer_only(rows, year, box).withColumn("inside", F.lit(False)))
+
+
 def buffer_only(rows: DataFrame, year: int, box: tuple[float, float, float, float]) -> DataFrame:
     """Detections of a year in a box that lie in no area."""
     outside = F.coalesce("area_id", F.lit("")) == ""

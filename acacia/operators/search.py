@@ -65,6 +65,15 @@ def publications(works: DataFrame, most: int = 50) -> DataFrame:
     return works.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+def page(rows: DataFrame, order: list, size: int, number: int = 0) -> DataFrame:
+    """A page of rows in an order; pages count from 0."""
+    return rows.orderBy(*order).offset(size * number).limit(size)
+
+
+def publication_counts(works: DataFrame) -> DataFrame:
+    return works.groupBy("pa_id").agg(F.count(F.lit(1)).alias("publications"))
+
+
 def documents(rows: DataFrame) -> DataFrame:
     """Place of each document in its park: by category, newest year and upload first."""
     order = Window.partitionBy("pa_id").orderBy("category", F.desc_nulls_last("year"), F.desc_nulls_last("uploaded_at"), "id")
@@ -77,10 +86,9 @@ def first_of_title(rows: DataFrame) -> DataFrame:
 
 
 def checklist(schema: DataFrame, status: DataFrame) -> DataFrame:
-    """Every item of the schema (category, item_id) for every park with a status, pending where there is none. The schema is one document and becomes an array."""
-    items = schema.agg(F.array_agg(F.struct("category", "item_id"))).first()[0]
-    wanted = F.array(*[F.struct(F.lit(i["category"]).alias("category"), F.lit(i["item_id"]).alias("item_id")) for i in items])
-    rows = status.select("pa_id").distinct().select("pa_id", F.inline(wanted))
+    """Every item of the schema (category, item_id) for every park with a status, pending where there is none. The schema is one document and becomes one row."""
+    items = schema.agg(F.array_agg(F.struct("category", "item_id")).alias("items")).withColumn("one", F.lit(1))
+    rows = status.select("pa_id").distinct().withColumn("one", F.lit(1)).join(F.broadcast(items), "one").select("pa_id", F.inline("items"))
     return rows.join(status.select("pa_id", "item_id", "status"), ["pa_id", "item_id"], "left").fillna("pending", ["status"])
 
 

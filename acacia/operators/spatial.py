@@ -8,8 +8,6 @@ they are; beyond that both sides are dealt by cell.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +95,15 @@ def all_areas(points: DataFrame, areas: DataFrame, buffered: bool = False, name:
     return met.withColumn(name, F.explode(hit)).drop("areas", "cell_lat", "cell_lon")
 
 
+def ring_members(points: DataFrame, areas: DataFrame, name: str = "area_id") -> DataFrame:
+    """A row for each point and area in whose buffer it lies but not in the area itself: buffer less polygon, by the points' own membership."""
+    cells = cells_of_areas(areas, True)
+    lat, lon = F.col("latitude"), F.col("longitude")
+    met = points.withColumn("cell_lat", F.floor(lat)).withColumn("cell_lon", F.floor(lon)).join(cells, ["cell_lat", "cell_lon"])
+    hit = F.filter("areas", lambda a: contains(lat, lon, a) & ~contains(lat, lon, a, buffered=False))
+    return met.withColumn(name, F.explode(F.transform(hit, lambda a: a["id"]))).drop("areas", "cell_lat", "cell_lon")
+
+
 def areas_near(points: DataFrame, boxes: DataFrame, name: str = "park_id") -> DataFrame:
     """A row for each point and park whose box (park_id, lat_min ... lon_max) it lies in; boxes of several parks may overlap."""
     spread = boxes.withColumn("cell_lat", F.explode(F.sequence(F.floor("lat_min"), F.floor("lat_max")))).withColumn(
@@ -121,16 +128,18 @@ def nearest_places(
     wanted = wanted.select(
         F.col("id").alias("place_id"), F.col("park_id").alias("place_park"), "place_type", F.col("name").alias("place_name"),
         F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"),
-    ).withColumn("cell_lat", F.floor("place_lat")).withColumn("cell_lon", F.floor("place_lon"))
-    steps = math.ceil(reach)
-    around = F.sequence(F.lit(-steps), F.lit(steps))
-    spread = queries.withColumn("step_lat", F.explode(around)).withColumn("step_lon", F.explode(around))
-    spread = spread.withColumn("cell_lat", F.floor("lat") + F.col("step_lat")).withColumn("cell_lon", F.floor("lon") + F.col("step_lon"))
-    on = [spread["cell_lat"] == wanted["cell_lat"], spread["cell_lon"] == wanted["cell_lon"]]
+    )
+    # Places, which are fewer than queries as a rule, go into all cells they reach; a query looks into its own cell only.
+    side = reach / 2
+    by_row = F.explode(F.sequence(F.floor((F.col("place_lat") - reach) / side), F.floor((F.col("place_lat") + reach) / side)))
+    by_column = F.explode(F.sequence(F.floor((F.col("place_lon") - reach) / side), F.floor((F.col("place_lon") + reach) / side)))
+    spread = wanted.withColumn("cell_lat", by_row).withColumn("cell_lon", by_column)
+    keyed = queries.withColumn("cell_lat", F.floor(F.col("lat") / side)).withColumn("cell_lon", F.floor(F.col("lon") / side))
+    on = [keyed["cell_lat"] == spread["cell_lat"], keyed["cell_lon"] == spread["cell_lon"]]
     if same_park:
-        on.append(spread["park_id"] == wanted["place_park"])
+        on.append(keyed["park_id"] == spread["place_park"])
     on += [F.abs(F.col("place_lat") - F.col("lat")) <= reach, F.abs(F.col("place_lon") - F.col("lon")) <= reach]
-    met = spread.join(wanted, on, "left" if outer else "inner").drop("cell_lat", "cell_lon", "step_lat", "step_lon")
+    met = keyed.join(spread, on, "left" if outer else "inner").drop("cell_lat", "cell_lon")
     formula = geo.equirect_km if by == "equirect" else geo.haversine_km
     met = met.withColumn("distance_km", formula("lat", "lon", "place_lat", "place_lon"))
     order = F.col("distance_km")
@@ -139,5 +148,4 @@ def nearest_places(
     if max_km is not None:
         met = met.where(F.col("distance_km") <= max_km)
     ranked = Window.partitionBy(*key, *(["place_type"] if per_type else [])).orderBy(order.asc_nulls_last(), "place_id")
-    out = met.withColumn("place_rank", F.row_number().over(ranked)).where(F.col("place_rank") <= k)
-    return out.where("place_id is not null or place_rank = 1") if outer else out
+    return met.withColumn("place_rank", F.row_number().over(ranked)).where(F.col("place_rank") <= k)

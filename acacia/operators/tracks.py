@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from acacia.functions import classify, geo, text
 
 SEGMENT = ["file", "track_no", "seg_no"]
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _parts(times: pd.Series, limit: pd.Series) -> pd.Series:
+    """The part of each time (microseconds, null where unknown) of a row."""
+    out = []
+    for row, most in zip(times, limit, strict=True):
+        part, since, own = 0, None, []
+        for now in row:
+            if now is not None and now == now:
+                if since is None:
+                    since = now
+                elif now - since > most:
+                    part, since = part + 1, now
+            own.append(part)
+        out.append(own)
+    return pd.Series(out)
+
+
 def split_by_duration(points: DataFrame, minutes: float = 30.0, key: list[str] = SEGMENT) -> DataFrame:
     """Adds ``part``: a new one begins at a point more than ``minutes`` after the first timed point of its part.
 
-    This is no gap rule: where a part begins depends on where the last one did, so the points of one
-    segment are folded in order. A segment is one receiver's log and fits in a row.
+    This is no gap rule: where a part begins depends on where the last one did, so the times of one segment are
+    walked in order, in one pass over a row of Arrow data. A segment is one receiver's log and fits in a row.
     """
     rest = [c for c in points.columns if c not in key]
     rows = F.array_sort(F.collect_list(F.struct("pt_no", *[c for c in rest if c != "pt_no"])))
-    limit = int(minutes * 60_000_000)
-    start = F.struct(F.lit(0).alias("part"), F.lit(None).cast("long").alias("since"), F.array().cast("array<int>").alias("parts"))
-
-    def step(state: Column, p: Column) -> Column:
-        now = F.unix_micros(p["ts"].cast("timestamp"))
-        fresh = now.isNotNull() & state["since"].isNotNull() & (now - state["since"] > limit)
-        part = state["part"] + F.when(fresh, 1).otherwise(0)
-        since = F.when(fresh | state["since"].isNull(), now).otherwise(state["since"])
-        return F.struct(part.alias("part"), since.alias("since"), F.concat(state["parts"], F.array(part)).alias("parts"))
-
     folded = points.groupBy(*key).agg(rows.alias("rows"))
-    zipped = folded.select(*key, F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step)["parts"].alias("part"))).alias("x"))
+    times = F.transform("rows", lambda p: F.unix_micros(p["ts"].cast("timestamp")))
+    numbered = folded.withColumn("parts", _parts(times, F.lit(int(minutes * 60_000_000))))
+    zipped = numbered.select(*key, F.explode(F.arrays_zip("rows", F.col("parts").alias("part"))).alias("x"))
     return zipped.select(*key, F.col("x.part").alias("part"), "x.rows.*")
 
 

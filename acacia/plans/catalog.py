@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acacia.functions import classify, geo, projection, text
+from acacia.operators.work import written
 from acacia.operators import clusters, components, effort, fires, loss, marts, merge, narrative, search, spatial, tracks
 from acacia.plans import views
 from acacia.plans.views import view
@@ -297,8 +298,8 @@ def trajectories_day_by_day(spark, sf_dir):
     return _nodes(spark, sf_dir, clusters.LINKED, clusters.DAY_BY_DAY).select("park_id", "year", "traj_id", "seq", "acq_date", "fires", *_d("lat", "lon"))
 
 
-def _response(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir).withColumnRenamed("lat", "latitude").withColumnRenamed("lon", "longitude")
+def _response(spark, sf_dir, nodes=None):
+    nodes = (_nodes(spark, sf_dir) if nodes is None else nodes).withColumnRenamed("lat", "latitude").withColumnRenamed("lon", "longitude")
     placed = spatial.first_area(nodes, views.areas(spark), buffered=False).withColumn("inside", F.col("area_id").isNotNull())
     return fires.trajectory_response(placed.withColumnRenamed("latitude", "lat").withColumnRenamed("longitude", "lon"))
 
@@ -310,8 +311,9 @@ def trajectory_outcomes(spark, sf_dir):
 
 @query()
 def group_infractions(spark, sf_dir):
-    response = _response(spark, sf_dir)
-    out = fires.group_summary(response, fires.trajectory_metrics(_nodes(spark, sf_dir)))
+    nodes = written(_nodes(spark, sf_dir), "nodes")  # outcomes and metrics read them
+    response = _response(spark, sf_dir, nodes)
+    out = fires.group_summary(response, fires.trajectory_metrics(nodes))
     documents = fires.documents(response).select("park_id", "year", F.to_json("trajectories").alias("trajectories"))
     return out.join(documents, ["park_id", "year"], "left").withColumn("avg_days_burning", F.round("avg_days_burning", 6))
 
@@ -706,7 +708,7 @@ def abstract_round_trip(spark, sf_dir):
 @query("WITH a AS (SELECT 'area' AS kind, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM supplier WHERE contains(lower(s_name), '#00000001') ORDER BY s_suppkey LIMIT 15) SELECT * FROM a UNION ALL (SELECT 'index', CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE contains(lower(c_name), '#00000001') AND c_custkey NOT IN (SELECT s_suppkey FROM supplier) ORDER BY c_custkey LIMIT 25)")
 def area_search(spark, sf_dir):
     loaded = views.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_suppkey").cast("string").alias("id"), F.col("s_suppkey").cast("string").alias("wdpa_id"), F.col("s_name").alias("name"), F.lit("").alias("country"))
-    index = views.read(spark, sf_dir, "customer").select(F.format_string("%d", "c_custkey").alias("wdpa_id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("n")).orderBy("n").drop("n")
+    index = views.read(spark, sf_dir, "customer").select(F.format_string("%d", "c_custkey").alias("wdpa_id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("n")).drop("n")
     nation, region = views.read(spark, sf_dir, "nation"), views.read(spark, sf_dir, "region")
     countries = nation.select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))
     regions = region.select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("name"), F.lit("").alias("country"))
