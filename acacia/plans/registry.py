@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from acacia.plans import catalog
+from acacia.plans import catalog, records
 
+assert records  # registers its queries with the others
 QUERIES = catalog.QUERIES
 ORACLES = catalog.ORACLES
