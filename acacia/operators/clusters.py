@@ -1,7 +1,8 @@
 """Density clusters, their links over days, and connected pixels.
 
-One task works on one park's day (or year, or raster tile); the numpy kernels below see only that.
-Point sets and clusters come in a fixed order, on which ties and border points depend.
+One task works on one park's day (or year, or raster tile) while that is small enough, and on a block of it where
+it is not; the numpy kernels below see only that. Point sets and clusters come in a fixed order, on which ties
+and border points depend.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acacia.operators.work import written
+
 
 def _close(a: np.ndarray, b: np.ndarray, eps: float, rows: int = 1 << 20) -> bool:
     """Whether a point of ``a`` lies within ``eps`` of one of ``b``; looked at in blocks, and no further than the first hit."""
@@ -21,68 +24,149 @@ def _close(a: np.ndarray, b: np.ndarray, eps: float, rows: int = 1 << 20) -> boo
     return any((((a[i : i + step, None] - b[None]) ** 2).sum(axis=2) <= eps * eps).any() for i in range(0, len(a), step))
 
 
-def dbscan(points: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Labels from 0 in the order of each cluster's first core point; noise is -1. A point counts among its own neighbours.
+class Density:
+    """Core points of a set, the component of each (-1 for others, components numbered by their first core point), and the components near any point.
 
-    Points are put into cells within which all are neighbours. Cells of ``least`` points or more hold core
-    points only, so that dense places need no pairs; a cluster is a component of cells with core points near
-    each other, and a border point belongs to the first cluster it is near.
+    Points are put into cells within which all are neighbours. Cells that weigh ``least`` or more hold core points
+    only, so that dense places need no pairs; a component is one of cells with core points near each other.
+    ``usable`` leaves out points whose neighbours are not all there: they count as neighbours, but are no core points.
     """
-    n, dims = points.shape
-    labels = np.full(n, -1)
-    if not n:
-        return labels
-    side = eps / np.sqrt(dims) * (1 - 1e-9)
-    cell = np.floor((points - points.min(axis=0)) / side).astype(np.int64)
-    members: dict[tuple, list[int]] = {}
-    for i, c in enumerate(map(tuple, cell.tolist())):
-        members.setdefault(c, []).append(i)
-    inside = {c: np.array(own) for c, own in members.items()}
-    reach = int(np.ceil(np.sqrt(dims) + 1e-6))
-    steps = [s for s in np.stack(np.meshgrid(*[range(-reach, reach + 1)] * dims, indexing="ij"), -1).reshape(-1, dims).tolist() if any(s)]
-
-    beside: dict[tuple, list[tuple]] = {}
-
-    def around(c: tuple) -> list[tuple]:
-        if c not in beside:
-            beside[c] = [d for s in steps if (d := tuple(map(add, c, s))) in inside]
-        return beside[c]
-
-    core = np.zeros(n, bool)
-    for c, own in inside.items():
-        if len(own) >= least:
-            core[own] = True
-            continue
-        near = np.concatenate([own, *(inside[d] for d in around(c))])
-        for i in own:
-            core[i] = (((points[near] - points[i]) ** 2).sum(axis=1) <= eps * eps).sum() >= least
-    cores = {c: own[core[own]] for c, own in inside.items() if core[own].any()}
-    parent = {c: c for c in cores}
-
-    def root(c: tuple) -> tuple:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    for c, own in cores.items():
-        for d in around(c):
-            if d > c and d in cores and root(c) != root(d) and _close(points[own], points[cores[d]], eps):
-                parent[root(d)] = root(c)
-    number: dict[tuple, int] = {}
-    for i in np.flatnonzero(core):
-        labels[i] = number.setdefault(root(tuple(cell[i].tolist())), len(number))
-    for i in np.flatnonzero(~core):
-        c = tuple(cell[i].tolist())
-        near = [cores[d] for d in (c, *around(c)) if d in cores]
-        if near:
-            near = np.concatenate(near)
-            near = near[((points[near] - points[i]) ** 2).sum(axis=1) <= eps * eps]
-            if len(near):
-                labels[i] = labels[near].min()
+
+    def __init__(self, points: np.ndarray, eps: float, least: int, weight: np.ndarray | None = None, usable: np.ndarray | None = None):
+        n, dims = points.shape
+        self.points, self.eps = points, eps
+        weight = np.ones(n, int) if weight is None else weight
+        side = eps / np.sqrt(dims) * (1 - 1e-9)
+        self.cell = np.floor((points - points.min(axis=0)) / side).astype(np.int64)
+        members: dict[tuple, list[int]] = {}
+        for i, c in enumerate(map(tuple, self.cell.tolist())):
+            members.setdefault(c, []).append(i)
+        self.inside = {c: np.array(own) for c, own in members.items()}
+        reach = int(np.ceil(np.sqrt(dims) + 1e-6))
+        self.steps = [s for s in np.stack(np.meshgrid(*[range(-reach, reach + 1)] * dims, indexing="ij"), -1).reshape(-1, dims).tolist() if any(s)]
+        self.beside: dict[tuple, list[tuple]] = {}
+        self.core = core = np.zeros(n, bool)
+        for c, own in self.inside.items():
+            if weight[own].sum() >= least:
+                core[own] = True
+                continue
+            near = np.concatenate([own, *(self.inside[d] for d in self.around(c))])
+            for i in own:
+                core[i] = weight[near][((points[near] - points[i]) ** 2).sum(axis=1) <= eps * eps].sum() >= least
+        if usable is not None:
+            core &= usable
+        self.cores = {c: own[core[own]] for c, own in self.inside.items() if core[own].any()}
+        parent = {c: c for c in self.cores}
+
+        def root(c: tuple) -> tuple:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        for c, own in self.cores.items():
+            for d in self.around(c):
+                if d > c and d in self.cores and root(c) != root(d) and _close(points[own], points[self.cores[d]], eps):
+                    parent[root(d)] = root(c)
+        number: dict[tuple, int] = {}
+        self.component = np.full(n, -1)
+        for i in np.flatnonzero(core):
+            self.component[i] = number.setdefault(root(tuple(self.cell[i].tolist())), len(number))
+
+    def around(self, c: tuple) -> list[tuple]:
+        """Occupied cells near a cell."""
+        if c not in self.beside:
+            self.beside[c] = [d for s in self.steps if (d := tuple(map(add, c, s))) in self.inside]
+        return self.beside[c]
+
+    def near(self, i: int) -> np.ndarray:
+        """Components with a core point within reach of a point."""
+        c = tuple(self.cell[i].tolist())
+        there = [self.cores[d] for d in (c, *self.around(c)) if d in self.cores]
+        if not there:
+            return np.zeros(0, int)
+        there = np.concatenate(there)
+        return np.unique(self.component[there[((self.points[there] - self.points[i]) ** 2).sum(axis=1) <= self.eps * self.eps]])
+
+
+def dbscan(points: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """Labels from 0 in the order of each cluster's first core point; noise is -1. A point counts among its own neighbours, and a border point belongs to the first cluster it is near."""
+    if not len(points):
+        return np.full(0, -1)
+    found = Density(points, eps, least)
+    labels = found.component.copy()
+    for i in np.flatnonzero(~found.core):
+        near = found.near(i)
+        if len(near):
+            labels[i] = near[0]
     return labels
 
 
+#: Rows of a group up to which one task clusters it; larger groups are cut into blocks of so many radii a side.
+MOST_ROWS, BLOCK = 200_000, 8
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame, by: list[str], how: str) -> DataFrame:
+    """Rows whose group is (or is not) among some; a null is a group like any other."""
+    named = groups.select(*[F.col(c).alias(f"group_{c}") for c in by])
+    same = F.lit(True)
+    for c in by:
+        same = same & rows[c].eqNullSafe(named[f"group_{c}"])
+    return rows.join(named, same, how)
+
+
+def large_groups(rows: DataFrame, by: list[str], most: int) -> DataFrame | None:
+    """Groups of more rows than ``most``, or None."""
+    large = written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*by), "large")
+    return None if large.isEmpty() else large
+
+
+def labelled_in_blocks(rows: DataFrame, by: list[str], axes: list[Column], first: list[int], eps: float, least: int, name: str) -> DataFrame:
+    """Rows in density clusters of their group with the cluster's number, by blocks of space: no task holds a whole group.
+
+    Equal positions become one with a weight. A block gets the positions within two radii of it, so that core points within
+    one radius of it are known for sure; a core point that two blocks label joins their labels. Clusters are
+    numbered by their first core point in the order of the axes ``first``, as ``dbscan`` does on sorted points.
+    """
+    from acacia.operators.components import connected
+
+    at = [f"{name}_{i}" for i in range(len(axes))]
+    placed = rows.withColumns(dict(zip(at, axes, strict=True)))
+    spots = placed.groupBy(*by, *at).agg(F.count(F.lit(1)).alias("weight"))
+    side = BLOCK * eps
+    dealt = spots
+    for c in at:
+        dealt = dealt.withColumn(f"block_{c}", F.explode(F.sequence(F.floor((F.col(c) - 2 * eps) / side), F.floor((F.col(c) + 2 * eps) / side))))
+    blocks = [f"block_{c}" for c in at]
+    kinds = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields), *(f"{c} double" for c in at)])
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        points = table[at].to_numpy(float)
+        table, points = table.iloc[order := np.lexsort(points.T[::-1])], points[order]
+        block = table[blocks].to_numpy(float)[0]
+        low = block * side
+        own = (np.floor(points / side) == block).all(axis=1)
+        sure = ((points >= low - eps) & (points <= low + side + eps)).all(axis=1)
+        found = Density(points, eps, least, table["weight"].to_numpy(), sure)
+        tag = ":".join(str(int(x)) for x in table[blocks].iloc[0]) + ":" + ":".join(map(str, table[by].iloc[0])) + ":"
+        told = [[tag + str(found.component[i])] if found.core[i] else [tag + str(x) for x in found.near(i)] if own[i] else [] for i in range(len(points))]
+        out = table[[*by, *at]].assign(own=own, core=found.core, labels=told)
+        return out[[bool(t) for t in told]]
+
+    marked = written(dealt.groupBy(*by, *blocks).applyInPandas(run, kinds + ", own boolean, core boolean, labels array<string>"), "marked")
+    several = marked.where("core").groupBy(*by, *at).agg(F.array_sort(F.collect_set(F.col("labels")[0])).alias("l")).where(F.size("l") > 1)
+    roots = connected(several.select(F.col("l")[0].alias("a"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("b")))
+    told = marked.where("own").withColumn("label", F.explode("labels")).join(roots, F.col("label") == F.col("node"), "left")
+    told = written(told.select(*by, *at, "core", F.coalesce("root", "label").alias("root")), "told")
+    starts = told.where("core").groupBy(*by, "root").agg(F.min(F.struct(*[at[i] for i in first])).alias("start"))
+    numbers = starts.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy("start")) - 1).cast("int")).select("root", name)
+    chosen = told.join(numbers, "root").groupBy(*by, *at).agg(F.min(name).alias(name)).select(*[F.col(c).alias(f"of_{c}") for c in (*by, *at)], name)
+    same = F.lit(True)
+    for c in (*by, *at):
+        same = same & (placed[c].eqNullSafe(chosen[f"of_{c}"]) if c in by else placed[c] == chosen[f"of_{c}"])
+    return placed.join(chosen, same).select(*rows.columns, name)
+
+
 @dataclass(frozen=True)
 class Clustering:
     eps_km: float
@@ -98,8 +182,11 @@ LINKED = Clustering(5.0, 1)
 _CLUSTERS = "park_id string, acq_date date, cid int, lat double, lon double, lat_min double, lat_max double, fires int, frp double, avg_frp double, spread_km double"
 
 
-def daily_clusters(detections: DataFrame, preset: Clustering = GROUPS) -> DataFrame:
+def daily_clusters(detections: DataFrame, preset: Clustering = GROUPS, most: int = MOST_ROWS) -> DataFrame:
     """Clusters of each park's day from park_id, acq_date, latitude, longitude and frp."""
+    by = ["park_id", "acq_date"]
+    rows = detections.select(*by, "latitude", "longitude", "frp")
+    large = large_groups(rows, by, most)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -114,7 +201,17 @@ def daily_clusters(detections: DataFrame, preset: Clustering = GROUPS) -> DataFr
                 out.append((rows["park_id"].iloc[0], rows["acq_date"].iloc[0], c, y.mean(), x.mean(), y.min(), y.max(), int(on.sum()), f.sum(), f.mean(), max(np.ptp(y), np.ptp(x)) * 111.0))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _CLUSTERS.split(", ")])
 
-    return detections.select("park_id", "acq_date", "latitude", "longitude", "frp").groupBy("park_id", "acq_date").applyInPandas(run, _CLUSTERS)
+    if large is None:
+        return rows.groupBy(*by).applyInPandas(run, _CLUSTERS)
+    small = _of_groups(rows, large, by, "left_anti").groupBy(*by).applyInPandas(run, _CLUSTERS)
+    members = labelled_in_blocks(_of_groups(rows, large, by, "left_semi"), by, [F.col("latitude"), F.col("longitude")], [0, 1], preset.eps_km / 111.0, preset.least, "cid")
+    power = F.coalesce(F.nanvl("frp", F.lit(0.0)), F.lit(0.0))
+    ends = [f(c).alias(f"{c[:3]}_{n}") for c in ("latitude", "longitude") for n, f in (("min", F.min), ("max", F.max))]
+    whole = members.groupBy(*by, "cid").agg(
+        F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), *ends, F.count(F.lit(1)).cast("int").alias("fires"), F.sum(power).alias("frp"), F.avg(power).alias("avg_frp")
+    )
+    spread = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min")) * 111.0
+    return small.unionByName(whole.withColumn("spread_km", spread).select(*[c.split()[0] for c in _CLUSTERS.split(", ")]))
 
 
 @dataclass(frozen=True)
@@ -210,8 +307,9 @@ def trajectories(clusters: DataFrame, rule: Linking = SCORED) -> DataFrame:
     return clusters.withColumn("year", F.year("acq_date")).groupBy("park_id", "year").applyInPandas(run, _NODES)
 
 
-def herds(detections: DataFrame, least_fires: int = 100, eps: float = 3.0, least: int = 20) -> DataFrame:
+def herds(detections: DataFrame, least_fires: int = 100, eps: float = 3.0, least: int = 20, most: int = MOST_ROWS) -> DataFrame:
     """Members of space-time clusters of each park's year: ten units a degree, three tenths a day."""
+    by = ["park_id", "year"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["acq_date", "latitude", "longitude", "frp"], kind="stable")
@@ -224,7 +322,13 @@ def herds(detections: DataFrame, least_fires: int = 100, eps: float = 3.0, least
 
     columns = ["park_id", "year", "acq_date", "latitude", "longitude", "frp", "inside"]
     schema = "park_id string, year int, acq_date date, latitude double, longitude double, frp double, inside int, herd int"
-    return detections.withColumn("year", F.year("acq_date")).select(*columns).groupBy("park_id", "year").applyInPandas(run, schema)
+    rows = detections.withColumn("year", F.year("acq_date")).select(*columns)
+    large = large_groups(rows, by, most)
+    if large is None:
+        return rows.groupBy(*by).applyInPandas(run, schema)
+    small = _of_groups(rows, large, by, "left_anti").groupBy(*by).applyInPandas(run, schema)
+    axes = [F.col("latitude") * 10, F.col("longitude") * 10, F.dayofyear("acq_date") * 0.3]
+    return small.unionByName(labelled_in_blocks(_of_groups(rows, large, by, "left_semi"), by, axes, [2, 0, 1], eps, least, "herd"))
 
 
 def label_pixels(r: np.ndarray, c: np.ndarray, corners: bool) -> np.ndarray:
