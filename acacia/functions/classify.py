@@ -1,4 +1,7 @@
-"""Classification ladders; the comparison at each step is part of the meaning."""
+"""Classification ladders; the comparison at each step is part of the meaning.
+
+The limits, scores and labels in this module are fixed values: results have to follow them.
+"""
 
 from __future__ import annotations
 

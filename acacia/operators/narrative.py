@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from acacia.functions import geo, text
 from acacia.operators import spatial
 
+# The sentences in this module are fixed values: results have to have them word for word.
+
 SETTLEMENTS, RIVERS = ["village", "hamlet", "town", "city"], ["river", "stream"]
 
 

@@ -38,17 +38,45 @@ def patrol_sessions(rows: DataFrame, gap: str = "30 minutes", late: str | None =
     return out.select("user_id", F.col("session.start").alias("start_time"), F.col("session.end").alias("end_time"), "points")
 
 
-def upsert_effort(batches: DataFrame, target: str, checkpoint: str, key: list[str], sums: list[str]):
-    """Adds each micro-batch to a table of versions; a batch that comes again finds its version written and changes nothing."""
+def upsert_effort(batches: DataFrame, target: str, checkpoint: str, key: list[str], sums: list[str], deals: int = 64):
+    """Adds each micro-batch to a table; only the deals (parts of the table by hash of the key) that a batch touches are written again.
+
+    Every version of a deal lies in its own folder, and the newest below a batch's number is its base: a batch that
+    comes again finds what it found before, and writes the same. Versions before the base are deleted.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        base = spark.read.parquet(f"{target}/version={number - 1}") if number else batch.limit(0)
-        merge.add_up(base, batch, key, sums).write.mode("overwrite").parquet(f"{target}/version={number}")
+        fresh = batch.withColumn("deal", F.pmod(F.xxhash64(*key), F.lit(deals)).cast("int"))
+        files = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+
+        def path(*parts: str):
+            return spark._jvm.org.apache.hadoop.fs.Path("/".join([target, *parts]))
+
+        touched = [r["deal"] for r in fresh.select("deal").distinct().collect()]  # as many as there are deals at most
+        bases, old = [], []
+        for deal in touched:
+            there = path(f"deal={deal}")
+            versions = sorted(int(s.getPath().getName().split("=")[1]) for s in files.listStatus(there)) if files.exists(there) else []
+            before = [v for v in versions if v < number]
+            bases += [f"{target}/deal={deal}/version={v}" for v in before[-1:]]
+            old += [path(f"deal={deal}", f"version={v}") for v in before[:-1]]
+        base = spark.read.schema(batch.schema).parquet(*bases) if bases else batch.limit(0)
+        both = merge.add_up(base, batch, key, sums).withColumn("deal", F.pmod(F.xxhash64(*key), F.lit(deals)).cast("int")).withColumn("version", F.lit(number))
+        both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("deal", "version").parquet(target)
+        for path_ in old:
+            files.delete(path_, True)
 
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
 
+def effort_table(spark: SparkSession, target: str) -> DataFrame:
+    """The table that ``upsert_effort`` keeps: the newest version of every deal."""
+    rows = spark.read.parquet(target)
+    newest = rows.groupBy("deal").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["deal", "version"]).drop("deal", "version")  # a row for each deal
+
+
 _LINKED = "park_id string, traj_id long, node int, acq_date date, lat double, lon double, fires int"
 
 

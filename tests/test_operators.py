@@ -19,16 +19,19 @@ def at(spark, *points):
 
 
 def test_area_with_buffer(spark):
-    box = areas(spark, ("a", 5.0, [[[34.0, -3.0], [35.5, -3.0], [35.5, -1.5], [34.0, -1.5], [34.0, -3.0]]]))
-    got = {(r.latitude, r.longitude): r.area_id for r in spatial.first_area(at(spark, (-2.25, 34.75), (-3.0, 34.0), (-3.04, 34.0), (-3.1, 34.0), (-10, 40)), box).collect()}
-    assert got == {(-2.25, 34.75): "a", (-3.0, 34.0): "a", (-3.04, 34.0): "a", (-3.1, 34.0): None, (-10, 40): None}
-
-
-def test_triangle_hole_and_order(spark):
-    a = areas(spark, ("t", 0.0, [[[0.0, 0.0], [2.0, 0.0], [1.0, 2.0]]]), ("h", 0.0, [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]], [[2.5, 2.5], [3.5, 2.5], [3.5, 3.5], [2.5, 3.5]]]))
-    pts = at(spark, (0.5, 1.0), (0.1, 1.0), (1, -0.5), (2.5, 1), (3, 3))
-    assert [r.area_id for r in spatial.first_area(pts, a).orderBy("latitude").collect()] == ["t", "t", None, "h", "h"]
-    assert {(r.latitude, r.area_id) for r in spatial.all_areas(pts, a).collect()} == {(0.5, "t"), (0.5, "h"), (0.1, "t"), (0.1, "h"), (2.5, "h")}
+    # A pentagon and eight kilometres about it, which are 0.072 degrees.
+    area = areas(spark, ("five", 8.0, [[[10.0, 50.0], [13.0, 50.0], [14.0, 52.0], [11.5, 54.0], [9.5, 52.0], [10.0, 50.0]]]))
+    want = {(51.5, 12.0): "five", (50.0, 10.0): "five", (49.95, 11.5): "five", (49.9, 11.5): None, (53.9, 9.6): None}
+    found = spatial.first_area(at(spark, *want), area)
+    assert {(r.latitude, r.longitude): r.area_id for r in found.collect()} == want
+
+
+def test_trapezoid_hole_and_order(spark):
+    shapes = areas(spark, ("t", 0.0, [[[1.0, 1.0], [5.0, 1.0], [4.0, 3.0], [2.0, 3.0]]]), ("h", 0.0, [[[0.0, 0.0], [9.0, 0.0], [9.0, 6.0], [0.0, 6.0]], [[6.0, 2.0], [8.0, 2.0], [8.0, 4.0], [6.0, 4.0]]]))
+    points = at(spark, (0.5, -1.0), (1.2, 1.2), (2.0, 3.0), (3.0, 7.0), (5.0, 7.0))
+    # Holes count only where areas are taken strictly.
+    assert [r.area_id for r in spatial.first_area(points, shapes).orderBy("latitude").collect()] == [None, "t", "t", "h", "h"]
+    assert {(r.latitude, r.area_id) for r in spatial.all_areas(points, shapes).collect()} == {(1.2, "t"), (1.2, "h"), (2.0, "t"), (2.0, "h"), (5.0, "h")}
 
 
 def brute_dbscan(p, eps, least):
