@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acacia.llm.words import ALNUM_TABLE
-from acacia.llm.work import written
+from acacia.llm.work import partitions, written
 
 SAMPLE, FEATURES, GRADES = 10_000, 50_000, 3
 #: L1 penalty on the weights of scaled features while words are chosen.
@@ -94,7 +94,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg((F.max("toxic") > 0).cast("int").alias("toxic"))  # chosen is bounded
-    rows = rows.orderBy(F.xxhash64("text"), "text").limit(most)  # an id may have several texts
+    # An id may have several texts; what a limit leaves lies in one part, and goes back to many.
+    rows = rows.orderBy(F.xxhash64("text"), "text").limit(most).repartition(partitions(docs.sparkSession), "text")
     return written(rows.select(F.monotonically_increasing_id().alias("row"), "text", "toxic"), "sample")
 
 
