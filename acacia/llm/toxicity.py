@@ -94,9 +94,11 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg((F.max("toxic") > 0).cast("int").alias("toxic"))  # chosen is bounded
-    # An id may have several texts; what a limit leaves lies in one part, and goes back to many.
-    rows = rows.orderBy(F.xxhash64("text"), "text").limit(most).repartition(partitions(docs.sparkSession), "text")
-    return written(rows.select(F.monotonically_increasing_id().alias("row"), "text", "toxic"), "sample")
+    rows = rows.withColumn("key", F.sha2("text", 256)).repartition(partitions(docs.sparkSession), "key")
+    stored = written(rows.select(F.monotonically_increasing_id().alias("row"), "key", "text", "toxic"), "sample")
+    # An id may have several texts. Digests alone, and no texts, pass through the one task that a limit ends in.
+    within = stored.select("key").orderBy("key").limit(most)
+    return stored.join(F.broadcast(within), "key").select("row", "text", "toxic")  # at most ``most`` digests
 
 
 def counted(rows: DataFrame, words: list[bytes]) -> DataFrame:

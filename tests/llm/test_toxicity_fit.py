@@ -1,11 +1,13 @@
 """The ordinal fit against a plain one, and grades and rejections against restatements."""
 
+import hashlib
 import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from acacia.llm import toxicity
 
@@ -97,3 +99,28 @@ def test_sample_is_bounded_by_texts(spark):
     docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
     assert toxicity.sample(docs, labels, 20).count() == 20 and toxicity.sample(docs, labels, 2).count() == 2
+
+
+def test_sample_is_the_smallest_digests(spark):
+    texts = [f"text {i % 30}" for i in range(60)] + ["", None]
+    docs = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 0), (3, 1), (3, None)], "doc_id long, toxic int")
+    flags = {}
+    for i, t in enumerate(texts):
+        flags[(t or "").encode()] = max(flags.get((t or "").encode(), 0), int(i % 4 in (1, 3)))
+    expected = {t: flags[t] for t in sorted(flags, key=lambda t: hashlib.sha256(t).hexdigest())[:12]}
+    rows = toxicity.sample(docs, labels, 12).collect()
+    assert {bytes(r["text"]): r["toxic"] for r in rows} == expected and len({r["row"] for r in rows}) == len(rows) == 12
+
+
+def test_held_out_labels(spark):
+    """Fitted on half of the labels of the given table, the model tells the other half apart."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    model = toxicity.fit(docs, labels.where(half == 0))
+    seen = labels.where("toxic is not null").where(half == 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = toxicity.scored(docs, model).join(seen, "doc_id").groupBy("toxic").agg(F.avg(F.col("rejected").cast("int")).alias("rate"), F.avg("severity").alias("severity"), F.count("*").alias("n"))
+    rate = {r["toxic"]: r for r in found.collect()}
+    assert rate[1]["n"] > 20 and rate[0]["n"] > 20
+    assert rate[1]["rate"] >= 0.8 and rate[0]["rate"] <= 0.1 and rate[1]["severity"] > 2 * rate[0]["severity"], rate
