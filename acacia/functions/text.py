@@ -89,14 +89,23 @@ def about_park(title, abstract, name) -> Column:
     return title.contains(whole) | title.contains(short) | abstract.contains(whole) | abstract.contains(short)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def abstract_text(index, limit: int = 1000) -> Column:
-    """Text of an inverted index (word to positions): gaps give empty words, and over ``limit`` bytes it is cut and marked."""
+    """Text of an inverted index (word to positions): gaps give empty words, and over ``limit`` bytes it is cut and marked.
+
+    Words are sorted by position and each is set off by as many spaces as lie before it, so the work follows the number of words.
+    Positions below 0 or null are left out; of several words at one position the last in order counts; no index gives an empty text.
+    """
     entries = F.flatten(F.transform(F.map_entries(_c(index)), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    last = F.array_max(F.transform(entries, lambda e: e["p"]))
-    placed = F.map_from_entries(entries)
-    text = F.array_join(F.transform(F.sequence(F.lit(0), last), lambda p: F.coalesce(placed[p], F.lit(""))), " ")
-    cut = F.concat(F.substring(text.cast("binary"), 1, limit).cast("string"), F.lit("..."))
-    return F.when(F.size(entries) > 0, F.when(F.octet_length(text) > limit, cut).otherwise(text)).otherwise("")
+    in_order = F.array_sort(F.filter(entries, lambda e: e["p"] >= 0))
+    last_of_each = _once(in_order, lambda s: F.filter(s, lambda e, i: ~e["p"].eqNullSafe(F.get(s, i + 1)["p"])))
+    spaced = _once(last_of_each, lambda s: F.transform(s, lambda e, i: F.concat(F.repeat(F.lit(" "), (e["p"] - F.coalesce(F.get(s, i - 1)["p"], F.lit(0))).cast("int")), e["w"])))
+    cut = _once(F.array_join(spaced, ""), lambda t: F.when(F.octet_length(t) > limit, F.concat(F.substring(t.cast("binary"), 1, limit).cast("string"), F.lit("..."))).otherwise(t))
+    return F.coalesce(cut, F.lit(""))
 
 
 def last_part(value, sep: str = "/") -> Column:

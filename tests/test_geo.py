@@ -82,6 +82,9 @@ def test_abstracts(spark):
     long = F.create_map(F.lit("é" * 600), F.array(F.lit(0)))
     r = one(spark, text.abstract_text(index), F.octet_length(text.abstract_text(long)))
     assert r[0] == "a b  a" and r[1] == 1003
+    late = F.create_map(F.lit("c"), F.array(F.lit(2), F.lit(4)), F.lit("b"), F.array(F.lit(4), F.lit(-1), F.lit(None).cast("int")))
+    r = one(spark, text.abstract_text(late), text.abstract_text(F.lit(None).cast("map<string,array<int>>")), text.abstract_text(F.create_map().cast("map<string,array<int>>")))
+    assert tuple(r) == ("  c  c", "", "")
     assert one(spark, text.about_park(F.lit("On KRUGER"), F.lit(None).cast("string"), F.lit("Kruger National Park")))[0]
 
 
