@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from acacia.llm import decontaminate, licenses, mixing, pages, pii, repeats, simhash, topk, toxicity, urls
+from acacia.llm import decontaminate, licenses, mixing, pages, pii, repeats, repair, resample, simhash, tokens, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,30 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """``model``: the vocabulary file, read on the driver; the public 32,000 pieces where none is given."""
+    if model is None:
+        from public_tokenizers import path
+
+        model = path("piece_bpe_32k.model")
+    out = tokens.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.Vocabulary.read(model))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.drawn(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +92,9 @@ QUERIES = {
         op8_url_filter,
         op9_substring_dedup,
         op10_top_k,
+        op11_sentencepiece,
+        op12_importance,
+        op13_conversations,
     )
 }
 
