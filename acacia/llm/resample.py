@@ -18,7 +18,7 @@ parts' sizes give them, so no task sees all rows.
 Defined cases: a null text has no words; a null doc_id counts as an empty text in its digest and comes first
 among ties; repeated rows are documents of their own; documents without words weigh 0 and are never drawn
 where ``least_words`` is positive; words of any length; an empty corpus or target counts as buckets of 0; columns
-that aren't kept are ignored.
+that aren't kept are ignored, and kept ones give way to the operator's own of the same name.
 """
 
 from __future__ import annotations
@@ -266,9 +266,14 @@ def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((t + 1.0) * whole / ((s + 1.0) * wanted))) for s, t in zip(corpus.tolist(), target.tolist(), strict=True)], np.int64)
 
 
+#: Columns that replace kept ones of their names, whatever the case.
+_MADE = ("n_words", "n_features", "weight", "score", "rank")
+
+
 def weighed(docs: DataFrame, head: Head, gain: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns with n_words, n_features and weight of each document."""
     shared = docs.sparkSession.sparkContext.broadcast((head, gain))
+    keep = tuple(c for c in keep if c.lower() not in _MADE)
     own = free_name("text", list(keep))
     narrow = docs.select(*keep, F.col(text).alias(own))
     schema = T.StructType([*narrow.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_features", "weight"))])

@@ -1,7 +1,9 @@
 """Plain restatements of the query contracts, for small fixtures."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -147,3 +149,87 @@ def top_k(vectors, k=10):
             scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q and len(a) == len(b))
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return out
+
+
+def repaired(rows):
+    """Conversations after damage and repair, by trying every way: the least audit of each state after each turn, insertions included. Rows: conv_id, turn, role, text."""
+    convs = {}
+    for conv, turn, role, text in rows:
+        kept = convs.setdefault(conv, [])
+        space = lambda v: " " if v is None else v
+        role, text, tie = space(role), space(text), (space(role), sha(space(text)))
+        fault = zlib.crc32(f"{space(conv)}:{space(turn)}".encode()) % 20
+        if fault == 0:
+            continue
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub("[.!?]", "", text)
+        if fault == 4:
+            role = "user"
+        kept += [(turn is not None, turn or 0, tie, turn, role, text)] * (2 if fault == 3 else 1)
+    out = []
+    for conv, kept in convs.items():
+        kept.sort()
+        turns = [k[3] for k in kept if k[3] is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        seen, faults = set(), []
+        for *_, role, text in kept:
+            last = SPACED.findall(text)
+            faults.append("blank" if not last else "duplicate" if (role, text) in seen else "truncated" if last[-1][-1] not in ".!?" else "")
+            seen.add((role, text))
+        initials = [k[4][:1] for k in kept]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+        best = {"": (0, "", ())}
+
+        def with_insertions(best):
+            for _ in range(2):
+                for state, (cost, audit, text) in list(best.items()):
+                    role = "assistant" if state == "u" else "user"
+                    way = (cost + 5, audit + "I", (*text, f"{role}:"))
+                    best[role[0]] = min(best.get(role[0], way), way)
+            return best
+
+        best = with_insertions(best)
+        for (*_, role, text), fault in zip(kept, faults, strict=True):
+            after = {}
+
+            def reach(state, cost, audit, text, after=after):
+                after[state] = min(after.get(state, (cost, audit, text)), (cost, audit, text))
+
+            for state, (cost, audit, done) in best.items():
+                reach(state, cost + 2, audit + "D", done)
+                if fault in ("blank", "duplicate"):
+                    continue
+                more = 5 if fault else 0
+                if role[:1] and state + role[:1] in ("s", "u", "su", "ua", "au"):
+                    reach(role[0], cost + more, audit + "K", (*done, f"{role}:{text}"))
+                to = "assistant" if state == "u" else "user"
+                reach(to[0], cost + 1 + more, audit + "R", (*done, f"{to}:{text}"))
+            best = with_insertions(after)
+        cost, audit, done = min(best[s] for s in ("", "a") if s in best)
+        count = faults.count
+        out.append((conv, gaps, count("blank"), count("duplicate"), count("truncated"), illegal, cost, audit, sha("\n".join(done))))
+    return out
+
+
+def importance(docs, items, buckets=10_000, percent=5, least=20):
+    """doc_id, n_features, weight, score and rank of each document; docs: id and text, items: texts."""
+
+    def features(text):
+        w = [x.encode() for x in ALNUM.findall(lower(text))]
+        return len(w), [zlib.crc32(b" ".join(w[i : i + k])) % buckets for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+
+    found = [(doc, *features(text)) for doc, text in docs]
+    corpus, target = (Counter(b for f in lists for b in f) for lists in ([f[2] for f in found], [features(t)[1] for t in items]))
+    s, t = sum(corpus.values()) + buckets, sum(target.values()) + buckets
+    gain = [math.floor(1000 * math.log((target[b] + 1) * s / ((corpus[b] + 1) * t))) for b in range(buckets)]
+    rows = []
+    for doc, n, f in found:
+        h = int(sha(f"42:{'' if doc is None else doc}")[:8], 16)
+        weight = sum(gain[b] for b in f)
+        rows.append([doc, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    taking_part = sorted((r for r in rows if r[5] >= least), key=lambda r: (-r[3], r[0] is not None, r[0] or 0, r[1]))
+    for k, r in enumerate(taking_part[: percent * len(taking_part) // 100], 1):
+        r[4] = k
+    return [tuple(r[:5]) for r in rows]
