@@ -11,7 +11,7 @@ work is linear in the text.
 
 A text is cut where no piece can cross: before a space that follows another letter (if the vocabulary
 has no piece with a space after another letter) and at ASCII letters that no piece has. The segments in between repeat, and
-what they encode to is kept in a table of bounded size in each task; long segments aren't kept. The
+what they encode to is kept in a table of bounded size in each process; long segments aren't kept. The
 vocabulary is read on the driver and goes out as a broadcast of its pieces and scores (some 32,000).
 
 Defined cases: a null text counts as empty, and an empty one has no ids; letters without a piece become their UTF-8
@@ -23,11 +23,13 @@ model that isn't of the merging kind with byte pieces, a leading space and uncha
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import itertools
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -85,6 +87,13 @@ class Vocabulary:
         self.byte_ids = byte_ids
         #: Pieces that merging their own letters gives; the others never stand in an encoding.
         self.reached = [p for p in pieces if merged(p, self.scores) == [p]]
+        self.name = hashlib.sha256(repr((pieces, ids, scores, byte_ids)).encode()).hexdigest()
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Vocabulary) and self.name == other.name
+
+    def __hash__(self) -> int:
+        return hash(self.name)
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -222,6 +231,12 @@ class Encoder:
         return text[1:] if len(ids) and ids[0] not in self.byte_of and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    """The encoder of this process, which keeps what it remembers from one task to the next."""
+    return Encoder(vocabulary)
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """The rows of a table with ``ids`` (array of int) and ``decoded`` (text) of a text column.
 
@@ -234,10 +249,9 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Data
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file's pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = encoder_of(shared.value)
         for batch in batches:
             for part in pieces(batch, at):
-                encoder = encoder or Encoder(shared.value)
                 ids = list(map(encoder.encode, part.column(at).to_pylist()))
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 texts = pa.array(map(encoder.decode, ids), pa.string())
