@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,3 +125,36 @@ def simplified(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
         return [{"lat": y, "lon": x} for y, x in p[simplify(p, limit)].tolist()]
 
     return pd.Series([run(line, t) for line, t in zip(lines, tolerance, strict=True)])
+
+
+# --- Transverse Mercator as Column functions -----------------------------------------------------
+
+_N = FLATTENING / (2 - FLATTENING)
+_E = (FLATTENING * (2 - FLATTENING)) ** 0.5
+#: Krüger's series on the WGS84 ellipsoid, to the fourth power of the third flattening.
+_RECTIFYING = A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_ALPHA = (
+    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180,
+    13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440,
+    61 * _N**3 / 240 - 103 * _N**4 / 140,
+    49561 * _N**4 / 161280,
+)
+_SCALE, _EAST, _NORTH = 0.9996, 500_000.0, 10_000_000.0
+
+
+def utm(lat: Column, lon: Column, epsg: Column) -> Column:
+    """Metres east and north (x, y) in a zone given by its number (32601 to 32660 and 32701 to 32760); millimetres off at most within the zone's neighbours."""
+    phi, lam = F.radians(lat), F.radians(lon - (F.pmod(epsg, F.lit(100)) * 6 - 183))
+    sine = F.sin(phi)
+    t = F.sinh(F.atanh(sine) - F.lit(_E) * F.atanh(F.lit(_E) * sine))
+    angles = F.array(F.struct(F.atan2(t, F.cos(lam)).alias("xi"), F.atanh(F.sin(lam) / F.sqrt(1 + t * t)).alias("eta")))
+    south = F.when(epsg >= 32700, F.lit(_NORTH)).otherwise(F.lit(0.0))
+
+    def metres(v: Column) -> Column:
+        east, north = v["eta"], v["xi"]
+        for j, a in enumerate(_ALPHA, 1):
+            east = east + a * F.cos(2 * j * v["xi"]) * F.sinh(2 * j * v["eta"])
+            north = north + a * F.sin(2 * j * v["xi"]) * F.cosh(2 * j * v["eta"])
+        return F.struct((F.lit(_EAST) + _SCALE * _RECTIFYING * east).alias("x"), (south + _SCALE * _RECTIFYING * north).alias("y"))
+
+    return F.transform(angles, metres)[0]  # the two angles are computed once

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from acacia.plans import catalog, records
+from acacia.plans import catalog, records, shapes
 
-assert records  # registers its queries with the others
+assert records and shapes  # they register their queries with the others
 QUERIES = catalog.QUERIES
 ORACLES = catalog.ORACLES
