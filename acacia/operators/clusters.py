@@ -7,14 +7,17 @@ and border points depend.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acacia.functions import geo
 from acacia.operators.work import written
 
 
@@ -291,20 +294,99 @@ def link(lat: np.ndarray, lon: np.ndarray, day: np.ndarray, size: np.ndarray, ru
 _NODES = "park_id string, year int, traj_id int, seq int, acq_date date, cid int, lat double, lon double, fires int, frp double, spread_km double"
 
 
+def candidates(clusters: DataFrame, rule: Linking) -> DataFrame:
+    """Pairs (a, b) of clusters (node, park_id, year, day, lat, lon) of one park's year of which the second can follow the first: within the rule's gap and reach.
+
+    Clusters meet by day and cell: rows of cells are as high as the reach, and cells of a row as wide as the reach is anywhere near it.
+    """
+    reach = rule.max_km / geo.KM_PER_DEGREE * 1.01
+    km = {"planar": geo.planar_km, "equirect": geo.equirect_km, "haversine": geo.haversine_km}[rule.metric]
+    row = F.floor(F.col("lat") / reach)
+
+    def width(r: Column) -> Column:
+        if rule.metric == "planar":
+            return F.lit(reach)
+        far = F.greatest(F.abs(r), F.abs(r + 1)) * reach + reach
+        return F.when(far >= 88, F.lit(360.0)).otherwise(reach / F.cos(F.radians(F.least(far, F.lit(88.0)))))
+
+    turns = (-360.0, 0.0, 360.0) if rule.metric == "haversine" else (0.0,)
+    before = clusters.select(
+        F.col("node").alias("a"), F.col("park_id").alias("park_a"), F.col("year").alias("year_a"), F.col("day").alias("day_a"), row.alias("row_a"),
+        F.floor(F.col("lon") / width(row)).alias("cell_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"),
+    )
+    after = clusters.select(F.col("node").alias("b"), "park_id", "year", F.col("day"), "lat", "lon", F.explode(F.sequence(row - 1, row + 1)).alias("row"))
+    at = [F.floor((F.col("lon") + turn) / width(F.col("row"))) for turn in turns]
+    cells = F.array_distinct(F.array(*[cell + i for cell in at for i in (-1, 0, 1)]))
+    after = after.withColumn("cell", F.explode(cells)).withColumn("on", F.explode(F.sequence(F.col("day") - rule.max_gap, F.col("day") - 1)))
+    same = [F.col(f"{c}_a") == F.col(of) for c, of in (("year", "year"), ("day", "on"), ("row", "row"), ("cell", "cell"))]
+    met = before.join(after, [F.col("park_a").eqNullSafe(F.col("park_id")), *same])
+    met = met.where(km("lat_a", "lon_a", "lat", "lon") <= rule.max_km * (1 + 1e-9))
+    return met.select("a", "b", F.xxhash64("park_a", "year_a", F.floor(F.col("row_a") / 8), F.floor(F.col("cell_a") / 8), F.floor(F.col("day_a") / 32)).alias("block"))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges (a, b, block) to those from each node to the smallest one that it is connected with inside a partition, blocks being dealt whole; they connect what the edges did."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(n: int) -> int:
+            while (above := root.setdefault(n, n)) != n:
+                root[n] = root[above]
+                n = root[n]
+            return n
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array([find(n) for n in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
+
+    return edges.repartition("block").select("a", "b").mapInArrow(run, "a long, b long").where("a <> b")
+
+
 def trajectories(clusters: DataFrame, rule: Linking = SCORED) -> DataFrame:
-    """Nodes of each park's and year's trajectories."""
+    """Nodes of each park's and year's trajectories.
+
+    Clusters compete only where they can follow each other, so each connected component of such pairs is linked
+    by itself, which gives the links that the whole year would. Trajectories are numbered by their first clusters:
+    within a day, and on from the numbers of the days before.
+    """
+    from acacia.operators.components import connected
+
+    names = [c.split()[0] for c in _NODES.split(", ")]
+    columns = ["park_id", F.year("acq_date").alias("year"), *[c for c in names if c not in ("park_id", "year", "traj_id", "seq")]]
+    day = F.datediff("acq_date", F.lit("1970-01-01"))
+    rows = written(clusters.select(*columns).withColumn("day", day).withColumn("node", F.monotonically_increasing_id()), "clusters")
+    roots = connected(stars(candidates(rows, rule))).select(F.col("node").alias("of"), "root")
+    # A component's smallest node is its root and has no row of its own; nodes without pairs have no component.
+    roots = roots.unionByName(roots.select(F.col("root").alias("of"), "root").distinct())
+    placed = written(rows.join(roots, F.col("node") == F.col("of"), "left").withColumnRenamed("root", "component").drop("of"), "components")
+    schema = _NODES.replace("traj_id int", "start long")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(day=pd.to_datetime(rows["acq_date"]).map(lambda d: d.toordinal()), name=rows["cid"].astype(str))
+        rows = rows.assign(name=rows["cid"].astype(str))
         rows = rows.sort_values(["day", "name" if rule.day_by_day else "cid"], kind="stable").reset_index(drop=True)
         found = link(*(rows[c].to_numpy(float) for c in ("lat", "lon")), rows["day"].to_numpy(int), rows["fires"].to_numpy(float), rule)
-        index = [i for path in found for i in path]
-        out = rows.iloc[index].copy()
-        out["traj_id"] = np.repeat(np.arange(len(found)), [len(p) for p in found]).astype("int32")
+        out = rows.iloc[[i for path in found for i in path]].copy()
+        out["start"] = np.repeat([rows["node"][p[0]] for p in found], [len(p) for p in found]).astype("int64")
         out["seq"] = np.concatenate([np.arange(len(p)) for p in found]).astype("int32") if found else np.zeros(0, "int32")
-        return out[[c.split()[0] for c in _NODES.split(", ")]]
-
-    return clusters.withColumn("year", F.year("acq_date")).groupBy("park_id", "year").applyInPandas(run, _NODES)
+        return out[[c.split()[0] for c in schema.split(", ")]]
+
+    nodes = placed.where("component is not null").groupBy("component").applyInPandas(run, schema)
+    if rule.least <= 1:
+        alone = placed.where("component is null").withColumn("start", F.col("node")).withColumn("seq", F.lit(0))
+        nodes = nodes.unionByName(alone.select(*[F.expr(f"cast({c} as {kind}) as {c}") for c, kind in map(str.split, schema.split(", "))]))
+    nodes = written(nodes, "nodes")
+    starts = nodes.where("seq = 0").select("park_id", "year", "acq_date", "start", (F.col("cid").cast("string") if rule.day_by_day else F.col("cid")).alias("name"))
+    days = starts.groupBy("park_id", "year", "acq_date").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("park_id", "year").orderBy("acq_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col("park_id").alias("of"), F.col("acq_date").alias("on"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))  # a park's year has no more rows here than days
+    place = F.row_number().over(Window.partitionBy("park_id", "acq_date").orderBy("name")) - 1
+    numbers = starts.withColumn("place", place).join(days, [F.col("park_id").eqNullSafe(F.col("of")), F.col("acq_date") == F.col("on")])
+    numbers = numbers.select(F.col("start").alias("first"), (F.col("place") + F.col("before")).cast("int").alias("traj_id"))
+    return nodes.join(numbers, F.col("start") == F.col("first")).select(*names)
 
 
 def herds(detections: DataFrame, least_fires: int = 100, eps: float = 3.0, least: int = 20, most: int = MOST_ROWS) -> DataFrame:
