@@ -115,6 +115,10 @@ def areas_near(points: DataFrame, boxes: DataFrame, name: str = "park_id") -> Da
     return boxed.select(*points.columns, F.col("park_id").alias(name))
 
 
+#: How often the cells of nearest places halve: from the reach to a 256th of it.
+LEVELS = 8
+
+
 def nearest_places(
     queries: DataFrame, places: DataFrame, key: list[str], k: int = 1, reach: float = 1.0, types: list[str] | None = None,
     max_km: float | None = None, per_type: bool = False, by: str = "haversine", same_park: bool = True, outer: bool = False,
@@ -123,12 +127,79 @@ def nearest_places(
 
     ``by`` orders by "haversine", "equirect" or "degrees"; ties go to the smaller place id. With ``outer`` a
     query without a place stays, with nulls.
+
+    Cells halve where places are many: a query looks at the finest level at which the nine cells about it hold k places,
+    and there only as far as the k nearest can lie. All queries of a cell share one list of places, from which each takes
+    its k within its own row, so neither pairs nor sorts grow with the places within reach.
     """
     wanted = places if types is None else places.where(F.col("place_type").isin(*types))
     wanted = wanted.select(
         F.col("id").alias("place_id"), F.col("park_id").alias("place_park"), "place_type", F.col("name").alias("place_name"),
         F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"),
     )
+    if per_type or (max_km is not None and by == "degrees"):
+        return _ranked_pairs(queries, wanted, key, k, reach, max_km, per_type, by, same_park, outer)
+
+    keyed, choices = _choices(queries, wanted, k, reach, same_park)
+    y, x = F.col("lat").cast("double"), F.col("lon").cast("double")
+    met = keyed.join(choices, ["in_park", "fine_r", "fine_c"], "left" if outer else "inner")
+    formula = geo.equirect_km if by == "equirect" else geo.haversine_km
+
+    def ranked(p: Column) -> Column:
+        dy, dx = p["place_lat"] - y, p["place_lon"] - x
+        km = formula(y, x, p["place_lat"], p["place_lon"])
+        return F.struct((dy * dy + dx * dx if by == "degrees" else km).alias("order"), *(p[c].alias(c) for c in wanted.columns), km.alias("distance_km"))
+
+    boxed = F.filter("held", lambda p: (F.abs(p["place_lat"] - y) <= reach) & (F.abs(p["place_lon"] - x) <= reach))
+    found = F.transform(boxed, ranked)
+    if max_km is not None:
+        found = F.filter(found, lambda p: p["distance_km"] <= max_km)
+    best = F.slice(F.array_sort(found), 1, k)
+    met = met.select(*queries.columns, (F.posexplode_outer if outer else F.posexplode)(best).alias("place_rank", "p"))
+    return met.select(*queries.columns, *(F.col(f"p.{c}").alias(c) for c in (*wanted.columns, "distance_km")), (F.coalesce("place_rank", F.lit(0)) + 1).alias("place_rank"))
+
+
+def _choices(queries: DataFrame, wanted: DataFrame, k: int, reach: float, same_park: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries with their park and finest cell, and for each of these the places (``held``) among which the k nearest are."""
+
+    # The finest cells decide all coarser ones, so that levels nest.
+    def fine(x: str) -> Column:
+        return F.floor(F.col(x) / (reach / 2**LEVELS))
+
+    def at_level(x: str, level: Column) -> Column:
+        return F.floor(F.col(x) / F.pow(F.lit(2.0), F.lit(LEVELS) - level))
+
+    park = F.col("place_park") if same_park else F.lit(0)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
+    placed = wanted.select("*", park.alias("in_park"), fine("place_lat").alias("fine_r"), fine("place_lon").alias("fine_c"), levels)
+    placed = placed.withColumns({"r": at_level("fine_r", F.col("level")), "c": at_level("fine_c", F.col("level"))}).drop("fine_r", "fine_c")
+    # Cells about which (nine cells together) there are k places: the k nearest lie within three such cells in distance.
+    counts = placed.groupBy("in_park", "level", "r", "c").agg(F.count(F.lit(1)).alias("n"))
+    nine = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
+    around = counts.select("in_park", "level", "r", "c", "n", nine).groupBy("in_park", "level", (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c")).agg(F.sum("n").alias("n"))
+    enough = around.where(F.col("n") >= k).drop("n")
+
+    keyed = queries.withColumns({"in_park": F.col("park_id") if same_park else F.lit(0), "fine_r": fine("lat"), "fine_c": fine("lon")})
+    cells = keyed.select("in_park", "fine_r", "fine_c").distinct()
+    tried = cells.select("*", levels).withColumns({"r": at_level("fine_r", F.col("level")), "c": at_level("fine_c", F.col("level"))})
+    deepest = tried.join(enough.withColumn("enough", F.lit(True)), ["in_park", "level", "r", "c"], "left").groupBy("in_park", "fine_r", "fine_c").agg(
+        F.coalesce(F.max(F.when(F.col("enough"), F.col("level"))), F.lit(0)).alias("level")
+    )
+    deepest = deepest.withColumns({"r": at_level("fine_r", F.col("level")), "c": at_level("fine_c", F.col("level"))})
+
+    side = F.lit(reach) / F.pow(F.lit(2.0), F.col("level"))
+    far = F.least(F.lit(89.9), F.greatest(F.abs("r"), F.abs(F.col("r") + 1)) * side + 3 * side)
+    box = F.pow(F.lit(2.0), F.col("level"))  # so many cells reach to the end of the box
+    down, across = F.least(F.lit(3.0), box).cast("int"), F.when(far >= 85, box).otherwise(F.least(F.ceil(2.9 / F.cos(F.radians(far))), box)).cast("int")
+    steps = deepest.select("in_park", "level", "r", "c").distinct().withColumn("i", F.explode(F.sequence(-down, down))).withColumn("j", F.explode(F.sequence(-across, across)))
+    looked = steps.select("in_park", "level", F.col("r").alias("of_r"), F.col("c").alias("of_c"), (F.col("r") + F.col("i")).alias("r"), (F.col("c") + F.col("j")).alias("c"))
+    held = looked.join(placed, ["in_park", "level", "r", "c"]).groupBy("in_park", "level", F.col("of_r").alias("r"), F.col("of_c").alias("c")).agg(F.collect_list(F.struct(*wanted.columns)).alias("held"))
+    choices = deepest.join(held, ["in_park", "level", "r", "c"]).select("in_park", "fine_r", "fine_c", "held")
+    return keyed, choices
+
+
+def _ranked_pairs(queries: DataFrame, wanted: DataFrame, key: list[str], k: int, reach: float, max_km: float | None, per_type: bool, by: str, same_park: bool, outer: bool) -> DataFrame:
+    """Nearest places by type, or where the limit measures another distance than the order: all pairs within reach, ranked."""
     # Places, which are fewer than queries as a rule, go into all cells they reach; a query looks into its own cell only.
     side = reach / 2
     by_row = F.explode(F.sequence(F.floor((F.col("place_lat") - reach) / side), F.floor((F.col("place_lat") + reach) / side)))
