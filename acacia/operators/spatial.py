@@ -117,6 +117,8 @@ def areas_near(points: DataFrame, boxes: DataFrame, name: str = "park_id") -> Da
 
 #: How often the cells of nearest places halve: from the reach to a 256th of it.
 LEVELS = 8
+#: Places in reach of a cell of queries, as counted, up to which each query simply meets all of them.
+CROWDED = 256
 
 
 def nearest_places(
@@ -128,7 +130,8 @@ def nearest_places(
     ``by`` orders by "haversine", "equirect" or "degrees"; ties go to the smaller place id. With ``outer`` a
     query without a place stays, with nulls.
 
-    Cells halve where places are many: a query looks at the finest level at which the nine cells about it hold k places,
+    Where a count of the places shows that no query can meet more than ``CROWDED`` of them, each meets those in reach.
+    Elsewhere cells halve where places are many: a query looks at the finest level at which the nine cells about it hold k places,
     and there only as far as the k nearest can lie. All queries of a cell share one list of places, from which each takes
     its k within its own row, so neither pairs nor sorts grow with the places within reach.
     """
@@ -137,7 +140,7 @@ def nearest_places(
         F.col("id").alias("place_id"), F.col("park_id").alias("place_park"), "place_type", F.col("name").alias("place_name"),
         F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"),
     )
-    if per_type or (max_km is not None and by == "degrees"):
+    if per_type or (max_km is not None and by == "degrees") or _most_in_reach(wanted, reach, same_park) <= CROWDED:
         return _ranked_pairs(queries, wanted, key, k, reach, max_km, per_type, by, same_park, outer)
 
     keyed, choices = _choices(queries, wanted, k, reach, same_park)
@@ -147,8 +150,9 @@ def nearest_places(
 
     def ranked(p: Column) -> Column:
         dy, dx = p["place_lat"] - y, p["place_lon"] - x
-        km = formula(y, x, p["place_lat"], p["place_lon"])
-        return F.struct((dy * dy + dx * dx if by == "degrees" else km).alias("order"), *(p[c].alias(c) for c in wanted.columns), km.alias("distance_km"))
+        km = formula(y, x, p["place_lat"], p["place_lon"]).alias("distance_km")
+        first = [(dy * dy + dx * dx).alias("order")] if by == "degrees" else [km]
+        return F.struct(*first, *(p[c].alias(c) for c in wanted.columns), *([km] if by == "degrees" else []))
 
     boxed = F.filter("held", lambda p: (F.abs(p["place_lat"] - y) <= reach) & (F.abs(p["place_lon"] - x) <= reach))
     found = F.transform(boxed, ranked)
@@ -159,6 +163,20 @@ def nearest_places(
     return met.select(*queries.columns, *(F.col(f"p.{c}").alias(c) for c in (*wanted.columns, "distance_km")), (F.coalesce("place_rank", F.lit(0)) + 1).alias("place_rank"))
 
 
+def _spread(wanted: DataFrame, reach: float) -> DataFrame:
+    """Places, which are fewer than queries as a rule, in all half-reach cells that they reach; a query looks into its own cell only."""
+    side = reach / 2
+    for cell, at in (("cell_lat", "place_lat"), ("cell_lon", "place_lon")):
+        wanted = wanted.withColumn(cell, F.explode(F.sequence(F.floor((F.col(at) - reach) / side), F.floor((F.col(at) + reach) / side))))
+    return wanted
+
+
+def _most_in_reach(wanted: DataFrame, reach: float, same_park: bool) -> int:
+    """The largest number of places that reach one half-reach cell (of one park)."""
+    by = ["cell_lat", "cell_lon", *(["place_park"] if same_park else [])]
+    return _spread(wanted, reach).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def _choices(queries: DataFrame, wanted: DataFrame, k: int, reach: float, same_park: bool) -> tuple[DataFrame, DataFrame]:
     """Queries with their park and finest cell, and for each of these the places (``held``) among which the k nearest are."""
 
@@ -200,11 +218,7 @@ def _choices(queries: DataFrame, wanted: DataFrame, k: int, reach: float, same_p
 
 def _ranked_pairs(queries: DataFrame, wanted: DataFrame, key: list[str], k: int, reach: float, max_km: float | None, per_type: bool, by: str, same_park: bool, outer: bool) -> DataFrame:
     """Nearest places by type, or where the limit measures another distance than the order: all pairs within reach, ranked."""
-    # Places, which are fewer than queries as a rule, go into all cells they reach; a query looks into its own cell only.
-    side = reach / 2
-    by_row = F.explode(F.sequence(F.floor((F.col("place_lat") - reach) / side), F.floor((F.col("place_lat") + reach) / side)))
-    by_column = F.explode(F.sequence(F.floor((F.col("place_lon") - reach) / side), F.floor((F.col("place_lon") + reach) / side)))
-    spread = wanted.withColumn("cell_lat", by_row).withColumn("cell_lon", by_column)
+    side, spread = reach / 2, _spread(wanted, reach)
     keyed = queries.withColumn("cell_lat", F.floor(F.col("lat") / side)).withColumn("cell_lon", F.floor(F.col("lon") / side))
     on = [keyed["cell_lat"] == spread["cell_lat"], keyed["cell_lon"] == spread["cell_lon"]]
     if same_park:

@@ -39,7 +39,9 @@ def spots():
     ("k", "by", "reach", "max_km", "same_park", "outer", "types"),
     [(1, "haversine", 1.0, None, True, True, None), (3, "haversine", 1.0, None, True, False, ["town"]), (4, "equirect", 0.7, 30.0, False, False, None), (2, "degrees", 3.0, None, True, False, None), (50, "haversine", 0.5, None, False, True, None)],
 )
-def test_against_all_pairs(spark, spots, k, by, reach, max_km, same_park, outer, types):
+@pytest.mark.parametrize("crowded", [0, 10_000])
+def test_against_all_pairs(spark, spots, monkeypatch, crowded, k, by, reach, max_km, same_park, outer, types):
+    monkeypatch.setattr(spatial, "CROWDED", crowded)
     places, queries = spots
     got = spatial.nearest_places(
         spark.createDataFrame(queries, "qid long, park_id string, lat double, lon double").repartition(3), spark.createDataFrame(places, PLACES), ["qid"], k, reach, types, max_km, False, by, same_park, outer
