@@ -84,3 +84,19 @@ def date_chunks(windows: DataFrame, days: int = 10) -> DataFrame:
     """Windows cut into requests of at most some days."""
     start = F.explode(F.sequence("start_date", "end_date", F.expr(f"INTERVAL {days} DAYS")))
     return windows.withColumn("chunk_start", start).withColumn("chunk_end", F.least(F.date_add("chunk_start", days - 1), "end_date"))
+
+
+def add_tiles(target: DataFrame, taken: DataFrame, batch: DataFrame, key: str, sums: list[str], firsts: list[str] = (), tile: str = "tile") -> tuple[DataFrame, DataFrame]:
+    """Sums by ``key`` grow by the batch's tiles that weren't taken yet; the second result is the ledger with these tiles in it.
+
+    A tile that comes again, in the batch or in a later one, counts once, so that a batch can be run again after a failure.
+    ``firsts`` are values of the first tile in the order of names and stay; ``tiles_available`` counts tiles. ``target`` has
+    key, sums, firsts and tiles_available, ``taken`` has key and tile. Of a tile's several rows the one with the least values counts.
+    """
+    fresh = without(_one(batch, [key, tile], [F.asc(c) for c in (*sums, *firsts)]), taken, [key, tile])
+    added = fresh.groupBy(key).agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.min_by(F.struct(c), F.struct(tile))[c].alias(c) for c in firsts], F.count(F.lit(1)).alias("tiles_available")
+    )
+    both = target.select(key, *sums, *firsts, "tiles_available", F.lit(0).alias("__turn")).unionByName(added.withColumn("__turn", F.lit(1)))
+    grown = both.groupBy(key).agg(*[F.sum(c).alias(c) for c in (*sums, "tiles_available")], *[F.min_by(F.struct(c), "__turn")[c].alias(c) for c in firsts])
+    return grown.select(key, *sums, *firsts, "tiles_available"), taken.select(key, tile).unionByName(fresh.select(key, tile))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from acacia.functions import projection
-from acacia.operators import roads, shapes
+from acacia.operators import merge, roads, shapes
 from acacia.plans import views
 from acacia.plans.catalog import _d, query
 from acacia.plans.views import read, view
@@ -140,3 +140,23 @@ def roaded_areas(spark, sf_dir):
 def road_statistics(spark, sf_dir):
     """Lengths, densities and roadless shares of all parks; lengths are geodesics, which SQL lacks."""
     return roads.statistics(roads_from_places(spark, sf_dir), park_shapes(spark))
+
+
+# --- Tiles ---------------------------------------------------------------------------------------
+
+_TILES = "CAST(p_partkey % 8 AS INT)"
+
+
+@query(
+    f"""WITH t AS (SELECT concat('p', CAST(p_partkey % 3 AS VARCHAR)) AS park_id, {_TILES} AS tile, CAST(sum(p_size) AS BIGINT) AS built_m2, count(*) AS settlements FROM part GROUP BY 1, 2)
+SELECT park_id, CAST(sum(built_m2) AS BIGINT) AS built_m2, CAST(sum(settlements) AS BIGINT) AS settlements, arg_min(built_m2 % 100, tile) AS share, count(*) AS tiles_available FROM t GROUP BY 1"""
+)
+def tile_sums_replayed(spark, sf_dir):
+    """Sums of parks from two batches of tiles, of which the second brings two tiles again."""
+    rows = read(spark, sf_dir, "part").selectExpr("concat('p', CAST(p_partkey % 3 AS STRING)) AS park_id", f"{_TILES} AS tile", "p_size")
+    tiles = rows.groupBy("park_id", "tile").agg(F.sum("p_size").alias("built_m2"), F.count(F.lit(1)).alias("settlements")).withColumn("share", F.col("built_m2") % 100)
+    sums, firsts = ["built_m2", "settlements"], ["share"]
+    target, taken = tiles.where("false").withColumn("tiles_available", F.lit(0).cast("long")).drop("tile"), tiles.where("false").select("park_id", "tile")
+    for batch in (tiles.where("tile <= 4"), tiles.where("tile >= 3")):
+        target, taken = merge.add_tiles(target, taken, batch, "park_id", sums, firsts)
+    return target
