@@ -251,6 +251,13 @@ def _km(metric: str, lat: float, lon: float, lats: np.ndarray, lons: np.ndarray)
     return 2 * 6371.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
 
 
+def scores(rule: Linking, lat: float, lon: float, size: float, lats: np.ndarray, lons: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How well clusters follow one, lower being better; infinite for those out of reach."""
+    km = _km(rule.metric, lat, lon, lats, lons)
+    ratio = np.maximum(sizes, size) / np.maximum(1, np.minimum(sizes, size))
+    return np.where(km < rule.max_km if rule.strict else km <= rule.max_km, km - rule.southward * (lat - lats) + rule.sizes * ratio, np.inf)
+
+
 def link(lat: np.ndarray, lon: np.ndarray, day: np.ndarray, size: np.ndarray, rule: Linking) -> list[list[int]]:
     """Trajectories as lists of cluster indices; clusters come by day and then in the order in which they are tried."""
     free = np.ones(len(day), bool)
@@ -261,13 +268,8 @@ def link(lat: np.ndarray, lon: np.ndarray, day: np.ndarray, size: np.ndarray, ru
         there = there[free[there]]
         if not len(there):
             return None
-        km = _km(rule.metric, lat[at], lon[at], lat[there], lon[there])
-        fits = km < rule.max_km if rule.strict else km <= rule.max_km
-        if not fits.any():
-            return None
-        ratio = np.maximum(size[there], size[at]) / np.maximum(1, np.minimum(size[there], size[at]))
-        score = np.where(fits, km - rule.southward * (lat[at] - lat[there]) + rule.sizes * ratio, np.inf)
-        return int(there[np.argmin(score)])  # the first of equals
+        score = scores(rule, lat[at], lon[at], size[at], lat[there], lon[there], size[there])
+        return int(there[np.argmin(score)]) if np.isfinite(score).any() else None  # the first of equals
 
     out = []
     for start in range(len(day)):
