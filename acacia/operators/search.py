@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acacia.functions import text
 
 
+#: Items that a checklist document may have.
+CHECKLIST_ITEMS = 10_000
+
+
 def matches(rows: DataFrame, columns: list[str], query: str, most: int, order: list[str], kind: str) -> DataFrame:
     """The first rows in some order of which a column contains the query, whatever the case. No query, no rows."""
     condition = F.lit(False)
@@ -86,9 +90,15 @@ def first_of_title(rows: DataFrame) -> DataFrame:
 
 
 def checklist(schema: DataFrame, status: DataFrame) -> DataFrame:
-    """Every item of the schema (category, item_id) for every park with a status, pending where there is none. The schema is one document and becomes one row."""
-    items = schema.agg(F.array_agg(F.struct("category", "item_id")).alias("items")).withColumn("one", F.lit(1))
-    rows = status.select("pa_id").distinct().withColumn("one", F.lit(1)).join(F.broadcast(items), "one").select("pa_id", F.inline("items"))
+    """Every item of the schema (category, item_id) for every park with a status, pending where there is none.
+
+    The schema is one document (``CHECKLIST_ITEMS`` bounds it) and becomes a literal that each park's row is opened by, so that nothing is joined for it.
+    """
+    items = schema.select("item_id").distinct().limit(CHECKLIST_ITEMS + 1).collect()
+    if len(items) > CHECKLIST_ITEMS:
+        raise ValueError(f"a checklist of more than {CHECKLIST_ITEMS} items")
+    ids = F.array(*[F.lit(i["item_id"]) for i in items]) if items else F.array().cast("array<string>")
+    rows = status.select("pa_id").distinct().select("pa_id", F.explode(ids).alias("item_id"))
     return rows.join(status.select("pa_id", "item_id", "status"), ["pa_id", "item_id"], "left").fillna("pending", ["status"])
 
 
@@ -117,3 +127,68 @@ def readiness(tables: dict[str, tuple[DataFrame, str]], park_id: str) -> DataFra
         one = rows.where(F.col("park_id") == park_id).agg(F.count(F.lit(1)).alias("n"), F.max(F.col(column).cast("string")).alias("latest")).select(F.lit(name).alias("dataset"), "n", "latest")
         out = one if out is None else out.unionByName(one)
     return out.withColumn("status", F.when(F.col("n") > 0, "ready").otherwise("pending"))
+
+
+def grams(value) -> Column:
+    """The distinct runs of one, two and three letters of a text, folded as ``matches`` folds it."""
+    low = F.lower(F.coalesce(value, F.lit("")))
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(low) - (n - 1))
+        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
+class NameIndex:
+    """An inverted index of rows by the runs of letters in some of their columns, so that a search reads no other rows.
+
+    Each run's rows lie in one of ``parts`` folders, sorted by run, and the runs' counts beside them. A search reads the counts of its own
+    runs, takes the rarest run's rows, and leaves it to ``matches`` to verify them: the same rows as a search over all. Rows are stored once for each
+    distinct run, for short texts such as names. A run that most rows have is spread over ``writers`` files.
+
+    Defined cases: null columns count as empty; an empty query finds nothing; one or two letters have runs of their own; repeated rows are all
+    found; rows without a letter are found by no query, as without an index; columns named ``gram`` or ``part`` aren't allowed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+
+    def _part(self, gram) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(self.parts)).cast("int")
+
+    def build(self, rows: DataFrame, columns: list[str], writers: int = 16) -> NameIndex:
+        if clash := {"gram", "part"} & set(rows.columns):
+            raise ValueError(f"columns of the index: {sorted(clash)}")
+        found = F.array_distinct(F.flatten(F.array(*map(grams, columns))))
+        postings = rows.withColumn("gram", F.explode(found)).withColumn("part", self._part("gram"))
+        dealt = postings.repartition("part", F.pmod(F.xxhash64(*columns), F.lit(writers))).sortWithinPartitions("part", "gram")
+        dealt.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings")
+        self._keep_schema("postings", postings)
+        counts = self._read("postings").groupBy("part", "gram").agg(F.count(F.lit(1)).alias("rows"))
+        self._keep_schema("counts", counts)
+        counts.repartition("part").sortWithinPartitions("part", "gram").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/counts")
+        return self
+
+    def _keep_schema(self, table: str, rows: DataFrame) -> None:
+        """An empty file beside a table says what its columns are, even where the table has no rows."""
+        self.spark.createDataFrame([], rows.schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{table}-schema")
+
+    def _read(self, table: str) -> DataFrame:
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.path}/{table}-schema").schema).parquet(f"{self.path}/{table}")
+
+    def _of(self, table: str, wanted: list[str]) -> DataFrame:
+        """Rows of some runs; parts and runs are literals, so that the scan is pruned by both."""
+        parts = [r[0] for r in self.spark.range(1).select(F.explode(F.array(*[self._part(F.lit(g)) for g in wanted]))).distinct().collect()]
+        return self._read(table).where(F.col("part").isin(parts) & F.col("gram").isin(wanted))
+
+    def candidates(self, query: str) -> DataFrame:
+        """All rows that can contain a query: those of its rarest run."""
+        runs = self.spark.range(1).select(grams(F.lit(query))).first()[0]  # as many as the query has letters, thrice at most
+        longest = max(map(len, runs), default=0)
+        runs = [g for g in runs if len(g) == longest]
+        if not runs:
+            return self._read("postings").drop("gram", "part").limit(0)
+        counts = {r["gram"]: r["rows"] for r in self._of("counts", runs).collect()}  # a row for each run of the query
+        rarest = min(runs, key=lambda g: (counts.get(g, 0), g))
+        return self._of("postings", [rarest]).drop("gram", "part")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acacia.functions import classify, geo, text
-from acacia.operators import fires, loss, marts, merge, narrative, search, spatial, tracks
+from acacia.operators import fires, loss, marts, merge, narrative, search, spatial, tracks, work
 from acacia.plans import views
 from acacia.plans.catalog import DET, PIX, SET, _d, query
 from acacia.plans.views import read, view
@@ -350,6 +353,17 @@ def index_entries(spark, sf_dir):
     return search.index_search("00003", index, index.where("wdpa_id <= 40").select("wdpa_id")).select("wdpa_id", "name", "loaded")
 
 
+@query(
+    "SELECT q AS query, id, name FROM (SELECT q, p_partkey AS id, p_name AS name, row_number() OVER (PARTITION BY q ORDER BY p_partkey) AS n FROM part, (SELECT unnest(['widget', 'LARGE b', 'w', 'od', 'zzz']) AS q) WHERE contains(lower(p_name), lower(q))) WHERE n <= 30"
+)
+def indexed_names(spark, sf_dir):
+    """Searches by the inverted index, which is built here over all names."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    index = search.NameIndex(spark, f"{work.run_folder(spark)}/names-{uuid.uuid4().hex}").build(rows, ["name"])
+    out = [search.matches(index.candidates(q), ["name"], q, 30, ["id"], q).select(F.col("kind").alias("query"), "id", "name") for q in ("widget", "LARGE b", "w", "od", "zzz")]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("SELECT 'a' || s_suppkey AS id, CAST(NULL AS TIMESTAMP) AS last_sync FROM supplier WHERE s_suppkey % 5 = 0 ORDER BY id LIMIT 3")
 def areas_never_synced(spark, sf_dir):
     areas = read(spark, sf_dir, "supplier").select(F.concat(F.lit("a"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_suppkey").alias("n"))
