@@ -8,13 +8,17 @@ siblings were given it before. Each leaf then takes its tokens as a prefix of se
 epoch orders the leaf's documents by a seeded digest; whole epochs are taken as far as they fit, and
 of the next one the documents that begin before the budget is used up.
 
-Prefix sums are taken over digest ranges, 256 of a leaf at a time: the range where the prefix ends is cut into
+The digest is that of a document's id and text, so that rows without ids, or with equal ones, are told apart by their
+texts. Prefix sums are taken over digest ranges, 256 of a leaf at a time: the range where the prefix ends is cut into
 256 again, and again; only the last range's documents are ordered one by one, so that no leaf has to be ordered
-in one task.
+in one task. Rows equal in id and text are interchangeable: they are dealt into ``SALTS`` parts, counted there, and
+numbered within their part alone.
+
+A leaf's last document goes in whole, so that a leaf may exceed its budget by less than its longest document.
 
 Defined cases: null texts have no tokens and null languages or sources count as ``""``; rows without
-tokens are never taken; a null doc_id takes part like an empty id, and rows of a leaf with one id are ordered
-and taken together; texts are counted whole, however long; an empty table gives no rows; other columns,
+tokens are never taken; a null doc_id takes part like an empty id, and repeated rows are taken one by one, as many as the
+budget has room for; texts are counted whole, however long; an empty table gives no rows; other columns,
 whatever their names, are kept in ``mixed``. The children of one node are ordered in one task: sources of a
 domain and language may be many thousands, but not a part of the corpus.
 """
@@ -34,6 +38,8 @@ WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de
 DOMAINS = 4
 #: Hexadecimal digits of the digest by which ranges are cut, round by round.
 RANGE_DIGITS = (2, 4, 6)
+#: Parts into which rows of one digest are dealt.
+SALTS = 1024
 
 
 def domain_of(source: Column) -> Column:
@@ -88,21 +94,22 @@ def budgets(leaves: DataFrame, fraction: float, epochs: int, weights: dict[str,
     return above.select(*LEVELS, F.floor(F.round("budget", 6)).cast("long").alias("budget"))
 
 
-def ordered(epoch: Column, seed: int) -> Column:
+def ordered(epoch: Column, identity: Column, seed: int) -> Column:
     """The digest that orders a leaf's documents in an epoch."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), identity))
 
 
-def selected(docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] | None = None, seed: int = SEED) -> DataFrame:
-    """doc_id, domain, lang, source, tokens and copies of every document that is taken."""
+def _taken(docs: DataFrame, row: Column, fraction: float, epochs: int, weights: dict[str, dict[str, int]] | None, seed: int) -> DataFrame:
+    """row, doc_id, domain, lang, source, tokens and copies of every row that is taken."""
     source = F.coalesce(F.col("source"), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), source.alias("source"), tokens_of(F.col("text")).alias("tokens"))
+    identity = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))
+    rows = docs.select(row.alias("row"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), source.alias("source"), tokens_of(F.col("text")).alias("tokens"), identity.alias("identity"))
     rows = written(rows.withColumn("domain", domain_of(F.col("source"))).where("tokens > 0"), "tokens")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = budgets(leaves, fraction, epochs, WEIGHTS if weights is None else weights).join(leaves, list(LEVELS))
     plan = written(plan.select(*LEVELS, F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest")), "budgets")
-    digest = ordered(F.col("whole"), seed)
-    placed = written(rows.join(plan, list(LEVELS)).withColumn("digest", digest), "placed")
+    placed = rows.join(plan, list(LEVELS)).withColumn("digest", ordered(F.col("whole"), F.col("identity"), seed)).drop("identity")
+    placed = written(placed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))), "placed")
     edges = plan.select(*LEVELS, "rest", F.lit(0).cast("long").alias("before"), F.lit("").alias("edge"))
     for digits in RANGE_DIGITS:
         # The first range in which the tokens exceed what is left: all before it are taken, and none after it.
@@ -115,27 +122,29 @@ def selected(docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS,
         edges = written(ends.select(*LEVELS, "rest", F.col("end.before").alias("before"), F.col("end.span").alias("edge")), "edges")
     met = placed.drop("rest").join(edges, list(LEVELS)).withColumn("span", range_)
     whole = met.where("span <> edge").withColumn("copies", F.col("whole") + (F.col("span") < F.col("edge")).cast("int"))
-    within = Window.partitionBy(*LEVELS).orderBy("digest").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = F.sum("tokens").over(Window.partitionBy(*LEVELS, "digest"))
-    edge = met.where("span = edge").withColumn("start", F.col("before") + F.sum("tokens").over(within) - same)
+    edge = met.where("span = edge")
+    part = [*LEVELS, "digest", "salt"]
+    sums = edge.groupBy(*part).agg(F.sum("tokens").alias("part_tokens"), F.max("before").alias("offset"))
+    upto = Window.partitionBy(*LEVELS).orderBy("digest", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("part_start", F.col("offset") + F.coalesce(F.sum("part_tokens").over(upto), F.lit(0))).drop("part_tokens", "offset")
+    own = Window.partitionBy(*part).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.join(sums, part).withColumn("start", F.col("part_start") + F.coalesce(F.sum("tokens").over(own), F.lit(0)))
     edge = edge.withColumn("copies", F.col("whole") + (F.col("start") < F.col("rest")).cast("int"))
-    out = ["doc_id", *LEVELS, "tokens", "copies"]
+    out = ["row", "doc_id", *LEVELS, "tokens", "copies"]
     return whole.select(*out).unionByName(edge.select(*out)).where("copies > 0")
 
 
-def mixed(docs: DataFrame, **parameters) -> DataFrame:
+def selected(docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, domain, lang, source, tokens and copies of every document that is taken."""
+    return _taken(docs, F.monotonically_increasing_id(), fraction, epochs, weights, seed).drop("row")
+
+
+def mixed(docs: DataFrame, fraction: float = FRACTION, epochs: int = EPOCHS, weights: dict[str, dict[str, int]] | None = None, seed: int = SEED) -> DataFrame:
     """The documents taken, with all their columns and ``copies``."""
-    copies = free_name("copies", docs.columns)
-    # A leaf's rows of one id are taken together, and only they: the id alone, or a missing one, names no row.
-    keys = {c: free_name(f"taken_{c}", docs.columns) for c in ("doc_id", *LEVELS)}
-    chosen = selected(docs, **parameters).groupBy(*(F.col(c).alias(k) for c, k in keys.items())).agg(F.max("copies").alias(copies))
-    chosen = written(chosen, "chosen")
-    source, lang = (F.coalesce(F.col(c), F.lit("")) for c in ("source", "lang"))
-    own = {"doc_id": F.col("doc_id"), "domain": domain_of(source), "lang": lang, "source": source}
-    same = F.lit(True)
-    for c, value in own.items():
-        same = same & (value.eqNullSafe(F.col(keys[c])) if c == "doc_id" else value == F.col(keys[c]))
-    return docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(chosen, same).drop(*keys.values())
+    copies, row = free_name("copies", docs.columns), free_name("row", docs.columns)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # a row keeps its number if tasks are run again
+    chosen = _taken(numbered, F.col(row), fraction, epochs, weights, seed).select(F.col("row").alias(row), F.col("copies").alias(copies))
+    return numbered.join(chosen, row).drop(row)
 
 
 #: DuckDB twin of ``selected`` with the parameters above.
@@ -146,8 +155,8 @@ def oracle(fraction: float = FRACTION, epochs: int = EPOCHS, seed: int = SEED) -
 
     parts = [
         f"""rows_ AS (
-  SELECT doc_id, lang, source, tokens, concat('d', CASE WHEN regexp_extract(source, '[0-9]{{1,9}}$') = '' THEN 0 ELSE CAST(regexp_extract(source, '[0-9]{{1,9}}$') AS INT) % {DOMAINS} END) AS domain
-  FROM (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  SELECT doc_id, letters, lang, source, tokens, concat('d', CASE WHEN regexp_extract(source, '[0-9]{{1,9}}$') = '' THEN 0 ELSE CAST(regexp_extract(source, '[0-9]{{1,9}}$') AS INT) % {DOMAINS} END) AS domain
+  FROM (SELECT doc_id, md5(text) AS letters, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents)
   WHERE tokens > 0
 )""",
@@ -176,7 +185,7 @@ def oracle(fraction: float = FRACTION, epochs: int = EPOCHS, seed: int = SEED) -
   SELECT {leaf}, CAST(floor(CAST(round(take, 6) AS DOUBLE) / tokens) AS INT) AS whole, CAST(floor(round(take, 6)) AS BIGINT) % CAST(tokens AS BIGINT) AS rest
   FROM t2 JOIN (SELECT {leaf}, sum(tokens) AS tokens FROM rows_ GROUP BY {leaf}) USING ({leaf})
 )""",
-        f"placed AS (SELECT doc_id, {leaf}, tokens, whole, rest, md5(concat_ws(':', '{seed}', CAST(whole AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''))) AS digest FROM rows_ JOIN plan_ USING ({leaf}))",
-        f"summed AS (SELECT *, sum(tokens) OVER (PARTITION BY {leaf} ORDER BY digest RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(tokens) OVER (PARTITION BY {leaf}, digest) AS start FROM placed)",
+        f"placed AS (SELECT doc_id, {leaf}, tokens, whole, rest, md5(concat_ws(':', '{seed}', CAST(whole AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''), letters)) AS digest FROM rows_ JOIN plan_ USING ({leaf}))",
+        f"summed AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY {leaf} ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM placed)",
     ]
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, {leaf}, tokens, whole + CAST(start < rest AS INT) AS copies FROM summed WHERE whole + CAST(start < rest AS INT) > 0"
