@@ -18,7 +18,8 @@ A name of class or id counts if it is such a word, or if most of its words are a
 where it stands (``ad-slot-3``, but not ``ad-hoc-query``). Names of the second sort never skip html, body, main,
 article, the container or what holds it, and neither sort skips a paragraph, heading, list item or run of text
 unless all its names are such words. Paragraphs and headings that a main element holds beside its article belong to
-the text; so do articles side by side, where no template says which is meant. Template text stays where a page's
+the text; so do articles side by side, where no template says which is meant. Forms, dialogs and tags of which only some names are such words are kept
+where they wrap the page (see ``_released``); of an attribute only its own value counts, and ``role="main"`` marks as a main element does. Template text stays where a page's
 container would keep less than half of its text, so that copies of a page don't erase each other.
 
 Defined cases: null or empty html gives empty text; a page without a marked container and without a
@@ -56,11 +57,14 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute after another, with its value, so that no word of a value is taken for an attribute.
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MARKING = re.compile(r"class|id|role|hidden", re.I)
 _SPLIT = re.compile(r"[\s_-]+")
 _SPACE = re.compile(r"\s+")
 #: Paths that end in a tag of running text, which is no container.
 _TEXT_TAG = r"/(?:p|h[1-6]|li|d[dt]|tr|pre|blockquote|a|b|i|em|strong|span|font|small|u|br|hr|img)(?:[.][^/]*)?$"
+_RUNNING = re.compile(r"p$|h[1-6]$|blockquote$")
 _LINK = re.compile(r"/a(?:[./]|$)")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,8 +74,13 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _SKIP = frozenset(
-    "nav aside footer form script style noscript template iframe svg canvas button select option textarea menu dialog head title input fieldset audio video".split()
+    "nav aside footer script style noscript template iframe svg canvas button select option textarea menu head title input audio video".split()
 )
+#: Tags and roles that are skipped, too, but that some sites wrap whole pages in.
+_WRAPS = frozenset("form dialog fieldset".split())
+_WRAP_ROLES = frozenset("form dialog alertdialog".split())
+#: Words of ``_SKIP_WORDS`` that no wrapper of a page has.
+_NO_WRAP = frozenset("ad ads adv advert adverts advertisement advertising cookie cookies consent comment comments reply replies respondent disqus related recommended nav navbar menu footer".split())
 #: Words of a class or id that mark what is no main text.
 _SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar "
@@ -85,18 +94,22 @@ _PLACE_WORDS = frozenset(
 )
 #: Tags of running text, which a part of a name doesn't skip.
 _TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption figcaption pre blockquote a b i em strong span font small u code q cite mark sub sup label".split())
-_SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+_SKIP_ROLES = frozenset("navigation banner contentinfo complementary search alert menu menubar".split())
 #: A page header is skipped, an article's own header is not, unless it holds a menu.
 _CLOSES = {"p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset("tr td th".split()), "td": frozenset("td th".split()), "th": frozenset("td th".split())}
 
 
 class Node:
-    """An open tag: its name, path key, whether it and all in it are skipped (1 by a part of a class name only, 2 for sure), and whether it is in the container, or in an article."""
+    """An open tag: its name, path key, whether it and all in it are skipped, whether it is in the container, or in an article.
 
-    __slots__ = ("name", "key", "skipped", "inside", "article")
+    Degrees of skipping: 1 by a part of a class name only, 2 by a tag, role or name that may wrap a page, 3 for sure. ``mark`` is the article or main
+    that a tag or its role says it is; ``wrap`` is the outermost tag of degree 2 around it, and ``may_wrap`` whether that may be a wrapper.
+    """
 
-    def __init__(self, name: str, key: str, skipped: int, inside: bool, article: bool):
-        self.name, self.key, self.skipped, self.inside, self.article = name, key, skipped, inside, article
+    __slots__ = ("name", "key", "skipped", "inside", "article", "mark", "wrap", "may_wrap")
+
+    def __init__(self, name: str, key: str, skipped: int, inside: bool, article: bool, mark: str = "", wrap: str = "", may_wrap: bool = False):
+        self.name, self.key, self.skipped, self.inside, self.article, self.mark, self.wrap, self.may_wrap = name, key, skipped, inside, article, mark, wrap, may_wrap
 
 
 def _marks(attributes: str) -> tuple[set[str], set[str], str, bool]:
@@ -104,14 +117,19 @@ def _marks(attributes: str) -> tuple[set[str], set[str], str, bool]:
     words: set[str] = set()
     whole: set[str] = set()
     role, hidden = "", False
-    if attributes:
+    if attributes and _MARKING.search(attributes):
+        seen: set[str] = set()
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), html.unescape(a or b or c).lower()
+            name = name.lower()
+            if name not in ("class", "id", "role", "hidden", "aria-hidden") or name in seen:
+                continue
+            seen.add(name)  # of an attribute that comes twice, the first counts
+            value = html.unescape(a or b or c).lower()
             if name in ("class", "id"):
                 words.update(_SPLIT.split(value))
                 whole.update(value.split())
             elif name == "role":
-                role = value
+                role = value.strip()
             else:
                 hidden = hidden or name == "hidden" or value == "true"
     words.discard("")
@@ -130,7 +148,7 @@ def _named(names: set[str]) -> int:
     return 0
 
 
-def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, Node | None]]:
+def walk(page: str, container: str | None = None, released: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, Node | None]]:
     """("open", name, node), ("break", name, None) at block borders, and ("text", decoded text, node in which it stands)."""
     stack: list[Node] = []
     raw_until = 0
@@ -177,17 +195,24 @@ def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, No
         words, whole, role, hidden = _marks(m[3] or m[6] or "")
         above = top()
         path = above.key if len(above.key) <= LONGEST_PATH else "~" + xxhash.xxh64_hexdigest(above.key)
-        key = f"{path}/{name}" + "".join("." + w.replace("/", "|") for w in sorted(words))
+        key = f"{path}/{name}" + "".join("." + w.replace("/", "|") for w in sorted(words)) + (".role=main" if role == "main" else "")
+        may_wrap = False
         if name in _SKIP or (name == "header" and not above.article) or role in _SKIP_ROLES or hidden:
-            skipped = 2
-        elif name in ("html", "body") or (container is not None and (container + "/").startswith(key + "/")):
+            skipped = 3
+        elif name in ("html", "body") or key in released or (container is not None and (container + "/").startswith(key + "/")):
             skipped = 0
+        elif name in _WRAPS or role in _WRAP_ROLES:
+            skipped, may_wrap = 2, True
         elif name in ("article", "main") or name in _TEXT_TAGS:
             skipped = 2 if whole and whole <= _SKIP_WORDS else 0
         else:
             skipped = _named(whole)
+            may_wrap = not whole <= _SKIP_WORDS and not whole & _NO_WRAP
         inside = above.inside or (container is not None and key == container)
-        node = Node(name, key, max(above.skipped, skipped), inside, above.article or name in ("article", "main"))
+        mark = name if name in ("article", "main") else "main" if role == "main" else ""
+        node = Node(name, key, max(above.skipped, skipped), inside, above.article or mark != "", mark, above.wrap, above.may_wrap)
+        if skipped == 2 and above.skipped < 2:
+            node.wrap, node.may_wrap = key, may_wrap
         yield "open", name, node
         closed = (m[3] or m[6] or "").endswith("/")
         if name in _RAW and not closed:
@@ -201,27 +226,55 @@ def walk(page: str, container: str | None = None) -> Iterator[tuple[str, str, No
         yield "text", html.unescape(page[at:]), top()
 
 
-def _marked(page: str, slot: str | None = None) -> tuple[str | None, list[str], bool]:
+def _marked(page: str, slot: str | None = None, released: frozenset[str] = frozenset()) -> tuple[str | None, list[str], bool]:
     """The path of the page's own main container (its first article that is not skipped, else its main, else one skipped by
     a part of a class name), the paths of articles that stand beside each other, and whether ``slot`` is on the page."""
     found: dict[tuple[int, str], str] = {}
     low = page.lower()
-    if "<article" not in low and "<main" not in low and slot is None:
+    if "<article" not in low and "main" not in low and slot is None:
         return None, [], False
     beside: list[str] = []
     has_slot = False
-    for what, name, node in walk(page):
+    for what, _, node in walk(page, None, released):
         if what == "open" and node is not None:
             has_slot = has_slot or node.key == slot
-            if node.skipped < 2 and name in ("article", "main"):
-                first = found.setdefault((node.skipped, name), node.key)
-                if name == "article" and node.skipped == 0 and not any((node.key + "/").startswith(other + "/") for other in beside):
+            if node.skipped < 2 and node.mark:
+                first = found.setdefault((node.skipped, node.mark), node.key)
+                if node.mark == "article" and node.skipped == 0 and not any((node.key + "/").startswith(other + "/") for other in beside):
                     beside.append(node.key)
                 if node.key == slot and first == slot:
                     break
     return next((found[k] for k in ((0, "article"), (0, "main"), (1, "article"), (1, "main")) if k in found), None), beside, has_slot
 
 
+def _released(page: str) -> frozenset[str]:
+    """Paths of forms, dialogs and tags with a skipped name beside others that wrap the page: running text is in them, and ten times
+    what is outside, or more than that with the page's only article. Wrappers in wrappers are found one after the other."""
+    released: frozenset[str] = frozenset()
+    while True:
+        outside = 0
+        held: dict[str, int] = {}
+        marks: dict[str, int] = {}
+        running: set[str] = set()
+        for what, text, node in walk(page, None, released):
+            if node is None or node.skipped > 2:
+                continue
+            if what == "open" and node.may_wrap and node.wrap:
+                marks[node.wrap] = marks.get(node.wrap, 0) + (node.mark != "")
+                if node.mark or _RUNNING.match(node.name):
+                    running.add(node.wrap)
+            elif what == "text":
+                size = len(text.strip())
+                if node.skipped == 0:
+                    outside += size
+                elif node.wrap and node.may_wrap:
+                    held[node.wrap] = held.get(node.wrap, 0) + size
+        most = max(((n, path) for path, n in held.items() if path in running), default=(0, ""))
+        if not most[0] or not (10 * outside < most[0] or (marks[most[1]] == 1 and outside < most[0])):
+            return released
+        released |= {most[1]}
+
+
 def _common(paths: list[str]) -> str:
     """The innermost path that holds all of some paths."""
     steps = [p.split("/") for p in paths]
@@ -229,19 +282,19 @@ def _common(paths: list[str]) -> str:
     return "/".join(steps[0][:n])
 
 
-def _widened(page: str, container: str) -> str:
+def _widened(page: str, container: str, released: frozenset[str]) -> str:
     """The main element that holds a container, if all else in it are paragraphs and headings of its own."""
     at = container.find("/main")
     if at < 0 or container.rfind("/") <= at:
         return container
     end = container.find("/", at + 1)
     main = container[:end]
-    beside = [path for path, *_ in _blocks(page, main) if not (path + "/").startswith(container + "/")]
+    beside = [path for path, *_ in _blocks(page, main, 0, released) if not (path + "/").startswith(container + "/")]
     return main if beside and all(path.startswith(main + "/") and path[len(main) + 1 :].split(".")[0] in _TEXT_TAGS for path in beside) else container
 
 
-def _container(page: str, slot: str | None) -> str | None:
-    own, beside, has_slot = _marked(page, slot)
+def _container(page: str, slot: str | None, released: frozenset[str] = frozenset()) -> str | None:
+    own, beside, has_slot = _marked(page, slot, released)
     if slot is None or not has_slot:
         chosen = _common(beside) or own if len(beside) > 1 else own
     elif own is None or own == slot:
@@ -250,14 +303,14 @@ def _container(page: str, slot: str | None) -> str | None:
         chosen = own
     else:
         chosen = own if own.startswith(slot + "/") and len(beside) < 2 else slot
-    return chosen if chosen is None else _widened(page, chosen)
+    return chosen if chosen is None else _widened(page, chosen, released)
 
 
-def _blocks(page: str, container: str | None = None, upto: int = 0) -> Iterator[tuple[str, int, str, int]]:
+def _blocks(page: str, container: str | None = None, upto: int = 0, released: frozenset[str] = frozenset()) -> Iterator[tuple[str, int, str, int]]:
     """Blocks of text in the container that are skipped ``upto`` that degree: path outside links at which it begins, degree, text, characters outside links."""
     parts: list[str] = []
     path, degree, chars = "", 0, 0
-    for what, text, node in walk(page, container):
+    for what, text, node in walk(page, container, released):
         if what == "break":
             block = _SPACE.sub(" ", "".join(parts)).strip()
             if block:
@@ -285,11 +338,14 @@ def extract(page: str | None, slot: str | None = None, template: frozenset[int]
     """Blocks of main text, a line each."""
     if not page:
         return ""
-    container = _container(page, slot)
-    blocks = list(_blocks(page, container))
+    container, released = _container(page, slot), frozenset()
+    if container is None:
+        released = _released(page)
+        container = _container(page, slot, released) if released else None
+    blocks = list(_blocks(page, container, 0, released))
     if container is None or not blocks:
         # Parts of class names don't decide where nearly all of the page would go by them.
-        wide = list(_blocks(page, container, 1))
+        wide = list(_blocks(page, container, 1, released))
         if 10 * sum(len(b[2]) for b in blocks) < sum(len(b[2]) for b in wide):
             blocks = wide
     if template:
