@@ -118,7 +118,7 @@ def copied(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["nearest_of_each_type", "nearest_settlements"])
+@pytest.mark.parametrize("name", ["nearest_of_each_type", "nearest_settlements", "settlement_descriptions"])
 def test_queries_on_copies(spark, copied, name):
     folder, con = copied
     df = entry.queries()[name](spark, folder)
