@@ -94,6 +94,18 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def inverted_index(value) -> Column:
+    """Map of each word between single spaces to its positions from 0, in order: the words sorted, and each run of equal ones cut out."""
+    in_order = F.array_sort(F.transform(F.split(_c(value), " "), lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+
+    def runs(s: Column) -> Column:
+        places = F.transform(s, lambda e, i: F.when((i == 0) | ~e["w"].eqNullSafe(F.get(s, i - 1)["w"]), i))
+        starts = F.filter(places, lambda i: i.isNotNull())
+        return _once(starts, lambda t: F.transform(t, lambda i, n: F.struct(F.get(s, i)["w"].alias("w"), F.transform(F.slice(s, i + 1, F.coalesce(F.get(t, n + 1), F.size(s)) - i), lambda e: e["p"]).alias("ps"))))
+
+    return F.map_from_entries(_once(in_order, runs))
+
+
 def abstract_text(index, limit: int = 1000) -> Column:
     """Text of an inverted index (word to positions): gaps give empty words, and over ``limit`` bytes it is cut and marked.
 

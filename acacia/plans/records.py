@@ -503,11 +503,9 @@ def numbers_and_lists_as_text(spark, sf_dir):
 @query("SELECT doc_id, CAST(least(b, 1000) + CASE WHEN b > 1000 THEN 3 ELSE 0 END AS INT) AS octets, md5(CASE WHEN b > 1000 THEN encode(t)[1:1000] || '...'::BLOB ELSE encode(t) END) AS digest FROM (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS b FROM documents)")
 def abstract_cuts(spark, sf_dir):
     """Every document's text as an abstract, cut after 1,000 bytes and marked: its bytes and their digest."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    words = F.split("t", " ")
-    index = docs.select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("i"))
-    cut = text.abstract_text("i", 1000).cast("binary")
-    return index.select("doc_id", F.octet_length(cut).alias("octets"), F.md5(cut).alias("digest"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).repartition(F.xxhash64("doc_id", "t"))
+    cut = F.transform(F.array(text.abstract_text(text.inverted_index("t"), 1000)), lambda a: a.cast("binary"))[0]
+    return docs.select("doc_id", F.octet_length(cut).alias("octets"), F.md5(cut).alias("digest"))
 
 
 @query(
