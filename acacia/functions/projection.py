@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +86,12 @@ def _points(line) -> np.ndarray:
     return np.array([(p["lat"], p["lon"]) for p in line], float).reshape(-1, 2)
 
 
+def length_km(p: np.ndarray, rows: int = 1 << 16) -> float:
+    """Geodesic length of a line of points (lat, lon), by stretches of so many points."""
+    parts = range(0, len(p) - 1, rows)
+    return float(sum(geodesic_m(*p[:-1][i : i + rows].T, *p[1:][i : i + rows].T).sum() for i in parts) / 1000)
+
+
 @F.pandas_udf(T.DoubleType())
 def line_km(lines: pd.Series) -> pd.Series:
     """Geodesic length of arrays of points (lat, lon)."""
@@ -127,6 +134,26 @@ def simplified(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([run(line, t) for line, t in zip(lines, tolerance, strict=True)])
 
 
+_LINE = "file string, points int, km double, points_left int, km_left double"
+_LINE_NAMES = [c.split()[0] for c in _LINE.split(", ")]
+
+
+def lines(points: DataFrame, tolerance: float) -> DataFrame:
+    """Each file's points (file, pt_no, lat, lon) as a line: their number and length, and both after simplification.
+
+    A task holds one line's numbers at a time, however many lines and points there are.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        number, lat, lon = (table[c].to_numpy() for c in ("pt_no", "lat", "lon"))
+        p = np.stack([lat, lon], axis=1)[np.lexsort((lon, lat, number))]
+        less = p[simplify(p, tolerance)]
+        told = [[table["file"][0].as_py()], [len(p)], [length_km(p)], [len(less)], [length_km(less)]]
+        return pa.table([pa.array(v, t) for v, t in zip(told, (pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.float64()), strict=True)], _LINE_NAMES)
+
+    return points.select("file", "pt_no", "lat", "lon").groupBy("file").applyInArrow(run, _LINE)
+
+
 # --- Transverse Mercator as Column functions -----------------------------------------------------
 
 _N = FLATTENING / (2 - FLATTENING)

@@ -1015,7 +1015,5 @@ def equal_area_round_trip(spark, sf_dir):
 @query()
 def track_lines(spark, sf_dir):
     """Each track as a line: its length on the ellipsoid, and its points and length after simplification."""
-    line = F.transform(F.array_sort(F.collect_list(F.struct("pt_no", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
-    lines = views.track_points(spark, sf_dir).groupBy("file").agg(line.alias("line"))
-    out = lines.withColumn("less", projection.simplified("line", F.lit(0.01)))
-    return out.select("file", F.size("line").alias("points"), F.round(projection.line_km("line"), 5).alias("km"), F.size("less").alias("points_left"), F.round(projection.line_km("less"), 5).alias("km_left"))
+    out = projection.lines(views.track_points(spark, sf_dir), 0.01)
+    return out.select("file", "points", F.round("km", 5).alias("km"), "points_left", F.round("km_left", 5).alias("km_left"))
