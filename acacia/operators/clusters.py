@@ -21,10 +21,28 @@ from acacia.functions import geo
 from acacia.operators.work import written
 
 
-def _close(a: np.ndarray, b: np.ndarray, eps: float, rows: int = 1 << 20) -> bool:
-    """Whether a point of ``a`` lies within ``eps`` of one of ``b``; looked at in blocks, and no further than the first hit."""
-    step = max(1, rows // max(1, len(b)))
-    return any((((a[i : i + step, None] - b[None]) ** 2).sum(axis=2) <= eps * eps).any() for i in range(0, len(a), step))
+def _close(a: np.ndarray, b: np.ndarray, eps: float, pairs: int = 1 << 20) -> bool:
+    """Whether a point of ``a`` lies within ``eps`` of one of ``b``: boxes that lie apart are left out, and those that don't are halved down to so many pairs."""
+    todo, limit = [(a, b)], eps * eps
+    while todo:
+        a, b = todo.pop()
+        (low_a, high_a), (low_b, high_b) = ((x.min(axis=0), x.max(axis=0)) for x in (a, b))
+        if (np.maximum(0, np.maximum(low_a - high_b, low_b - high_a)) ** 2).sum() > limit * (1 + 1e-12):
+            continue
+        if (np.maximum(high_a - low_b, high_b - low_a) ** 2).sum() <= limit * (1 - 1e-12):
+            return True
+        a = a[(np.maximum(0, np.maximum(low_b - a, a - high_b)) ** 2).sum(axis=1) <= limit * (1 + 1e-12)]
+        if not len(a):
+            continue
+        if len(a) * len(b) <= pairs:
+            if (((a[:, None] - b[None]) ** 2).sum(axis=2) <= limit).any():
+                return True
+            continue
+        if len(a) < len(b):
+            a, b = b, a
+        half = np.argpartition(a[:, np.ptp(a, axis=0).argmax()], len(a) // 2)
+        todo += [(a[half[: len(a) // 2]], b), (a[half[len(a) // 2 :]], b)]
+    return False
 
 
 class Density:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -114,3 +115,16 @@ def test_links_against_plain(spark, rule, preset):
     want = sorted((park, t, s, *n) for park, nodes in groups.items() for t, path in enumerate(plain_links(nodes, rule)) for s, n in enumerate(path))
     got = sorted((r.park_id, r.traj_id, r.seq, r.acq_date.toordinal(), r.cid) for r in clusters.trajectories(daily, rule).collect())
     assert got == want and got
+
+
+def test_close_needs_no_pairs_of_all_points():
+    """Two crowded cells just out of each other's reach; all pairs of them would be 40 thousand million."""
+    rng = np.random.default_rng(5)
+    a, b = rng.random((200_000, 3)), rng.random((200_000, 3)) + [3.0, 0, 0]
+    began = time.perf_counter()
+    assert not clusters._close(a, b, 2.0 - 1e-3) and clusters._close(a, b, 2.3)
+    assert time.perf_counter() - began < 20
+    for n in range(200):
+        a, b, eps = rng.random((n % 40 + 1, 2)), rng.random((n % 7 + 1, 2)) + [rng.random(), 0.5], 0.3
+        d = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+        assert clusters._close(a, b, eps, 4) == bool((d <= eps * eps).any())
