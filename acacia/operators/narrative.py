@@ -124,9 +124,11 @@ def loss_description(name, country, year, area_km2, pattern, lat, lon) -> Column
     )
 
 
-def settlement_description(area_m2, people, place, km, heading) -> Column:
+def settlement_description(area_m2, people, place, km, heading, at_place: bool = False) -> Column:
+    """A settlement's size and its nearest place; a place at the settlement's own spot, which it lies in no direction of, is named only with ``at_place``."""
     where = F.concat(F.lit(", "), text.fixed(km, 0), F.lit(" km "), _c(heading), F.lit(" of "), _c(place))
-    return F.concat(F.lit("Building cluster "), text.fixed(area_m2, 0), F.lit("m², ~"), _c(people).cast("string"), F.lit(" people"), F.coalesce(F.when(_c(km) > 0, where), F.lit("")))
+    named = _c(km) >= 0 if at_place else _c(km) > 0
+    return F.concat(F.lit("Building cluster "), text.fixed(area_m2, 0), F.lit("m², ~"), _c(people).cast("string"), F.lit(" people"), F.coalesce(F.when(named, where), F.lit("")))
 
 
 def settlement_summary(stats: DataFrame) -> DataFrame:

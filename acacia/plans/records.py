@@ -473,10 +473,9 @@ SELECT id, 'Building cluster ' || printf('%.0f', area_m2) || 'm², ~' || populat
 )
 def settlement_descriptions(spark, sf_dir):
     rows = view(spark, sf_dir, "settlements").withColumn("lat", F.col("lat") + 4).withColumn("lon", F.col("lon") + 20)
-    near = spatial.nearest_places(rows.select("id", "park_id", "lat", "lon"), view(spark, sf_dir, "places"), ["id"], 1, 1.0, narrative.SETTLEMENTS)
+    near = spatial.nearest_places(rows.select("id", "park_id", "lat", "lon", "area_m2", "population_est"), view(spark, sf_dir, "places"), ["id"], 1, 1.0, narrative.SETTLEMENTS, outer=True)
     heading = geo.compass_words(geo.bearing("place_lat", "place_lon", "lat", "lon"))
-    joined = rows.join(near.select("id", "place_name", "distance_km", heading.alias("heading")), "id", "left")
-    return joined.select("id", narrative.settlement_description("area_m2", "population_est", "place_name", "distance_km", "heading").alias("description"))
+    return near.select("id", narrative.settlement_description("area_m2", "population_est", "place_name", "distance_km", heading, at_place=True).alias("description"))
 
 
 @query(f"WITH {SET} SELECT park_id, id, CAST(row_number() OVER (PARTITION BY park_id ORDER BY area_m2 DESC, id) AS INT) AS place FROM settlements")

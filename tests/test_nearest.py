@@ -136,3 +136,14 @@ def test_queries_of_one_file_part_are_dealt_to_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(rows) == 4 and max(r["count"] for r in rows) < 250 and sum(r["count"] for r in rows) == 500
+
+
+def test_settlements_at_a_place_are_told_as_in_sql_and_joined_once(spark, tmp_path):
+    con = duckdb.connect()
+    for table, columns in {"supplier": "*", "customer": "* REPLACE (CAST(0 AS BIGINT) AS c_nationkey)"}.items():
+        con.sql(f"COPY (SELECT {columns} FROM '{SMALL}/{table}.parquet') TO '{tmp_path}/{table}.parquet'")
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    df = entry.queries()["settlement_descriptions"](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()['settlement_descriptions']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and any(", 0 km " in d for _, d in want)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
