@@ -96,12 +96,16 @@ def _once(value: Column, use) -> Column:
 
 def inverted_index(value) -> Column:
     """Map of each word between single spaces to its positions from 0, in order: the words sorted, and each run of equal ones cut out."""
-    in_order = F.array_sort(F.transform(F.split(_c(value), " "), lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    in_order = F.sort_array(F.transform(F.split(_c(value), " "), lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
 
     def runs(s: Column) -> Column:
         places = F.transform(s, lambda e, i: F.when((i == 0) | ~e["w"].eqNullSafe(F.get(s, i - 1)["w"]), i))
-        starts = F.filter(places, lambda i: i.isNotNull())
-        return _once(starts, lambda t: F.transform(t, lambda i, n: F.struct(F.get(s, i)["w"].alias("w"), F.transform(F.slice(s, i + 1, F.coalesce(F.get(t, n + 1), F.size(s)) - i), lambda e: e["p"]).alias("ps"))))
+        starts, found = F.filter(places, lambda i: i.isNotNull()), F.transform(s, lambda e: e["p"])
+
+        def run(i: Column, n: Column, t: Column, ps: Column) -> Column:
+            return F.struct(F.get(s, i)["w"].alias("w"), F.slice(ps, i + 1, F.coalesce(F.get(t, n + 1), F.size(s)) - i).alias("ps"))
+
+        return _once(starts, lambda t: _once(found, lambda ps: F.transform(t, lambda i, n: run(i, n, t, ps))))
 
     return F.map_from_entries(_once(in_order, runs))
 
@@ -113,7 +117,7 @@ def abstract_text(index, limit: int = 1000) -> Column:
     Positions below 0 or null are left out; of several words at one position the last in order counts; no index gives an empty text.
     """
     entries = F.flatten(F.transform(F.map_entries(_c(index)), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    in_order = F.array_sort(F.filter(entries, lambda e: e["p"] >= 0))
+    in_order = F.sort_array(F.filter(entries, lambda e: e["p"] >= 0))
     last_of_each = _once(in_order, lambda s: F.filter(s, lambda e, i: ~e["p"].eqNullSafe(F.get(s, i + 1)["p"])))
     spaced = _once(last_of_each, lambda s: F.transform(s, lambda e, i: F.concat(F.repeat(F.lit(" "), (e["p"] - F.coalesce(F.get(s, i - 1)["p"], F.lit(0))).cast("int")), e["w"])))
     cut = _once(F.array_join(spaced, ""), lambda t: F.when(F.octet_length(t) > limit, F.concat(F.substring(t.cast("binary"), 1, limit).cast("string"), F.lit("..."))).otherwise(t))
